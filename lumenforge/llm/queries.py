@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, pii, quality, secrets, sharding
+from . import bpe, html_extract, licenses, mixing, pii, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary_file: str | None = None
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_file or vocabulary_path())
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
