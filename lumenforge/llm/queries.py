@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, licenses, mixing, pii, quality, secrets, sharding
+from . import bpe, html_extract, licenses, minhash, mixing, pii, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary_file: str | None = None) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_file or vocabulary_path())
 
