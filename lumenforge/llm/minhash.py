@@ -235,3 +235,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = sk.drop("sig").join(placed, ["id", "k1", "k2"], "left")
     comp = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+
+
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that near_duplicates() keeps, with all their columns: one id of each component, and rows without an id or words."""
+    found = near_duplicates(df, id_col, text_col, k, percent)
+    gone = materialise(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

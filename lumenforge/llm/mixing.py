@@ -34,6 +34,34 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return s.withColumn("target", F.least("cap", F.col("level") * F.col("weight"))).select("skey", "snull", "source_size", "weight", "target")
 
 
+def _keys(id_col: str, source_col: str, seed: int) -> dict[str, Column]:
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    return {"skey": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "snull": F.col(source_col).isNull(), "d": digest}
+
+
+def _planned(df: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[float], budget: float, max_epochs: float, seed: int) -> DataFrame:
+    """(id, skey, snull, size, source_size, target, d, whole, more) of every row: whole takes, and whether there is one more."""
+    rows = materialise(
+        df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in _keys(id_col, source_col, seed).items()], word_count(F.col(text_col)).alias("size"))
+        .withColumn("b", F.conv(F.substring("d", 1, 3), 16, 10).cast("int")),
+        "mix-rows",
+    )
+    src = ["skey", "snull"]
+    ranges = materialise(rows.groupBy(*src, "b").agg(F.sum("size").alias("words")), "mix-ranges")
+    sources = ranges.groupBy(*src).agg(F.sum("words").alias("source_size"))
+    place = F.row_number().over(W.orderBy("snull", "skey")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    sources = materialise(water_fill(sources.withColumn("weight", weight), budget, max_epochs), "mix-sources")
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy(*src).orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
+    plan = ranges.join(sources, src)
+    key = [*src, "b"]
+    inner = rows.withColumn("before", F.sum("size").over(W.partitionBy(*key).orderBy("d", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    out = inner.join(plan, key).withColumn("whole", whole.cast("int"))
+    missing = F.col("target") - F.col("whole") * F.col("source_size")
+    return out.withColumn("more", (2 * (F.col("base") + F.col("before")) + F.col("size") < 2 * missing) & (F.col("whole") < F.lit(max_epochs)))
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -56,34 +84,7 @@ def mix_sources(
     columns are not looked at. A source's order is cut into 4,096 ranges of the hash; only their sums meet
     by source, so a source with most of the rows is spread over as many keys.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = materialise(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("skey"),
-            F.col(source_col).isNull().alias("snull"),
-            word_count(F.col(text_col)).alias("size"),
-            digest.alias("d"),
-        ).withColumn("b", F.conv(F.substring("d", 1, 3), 16, 10).cast("int")),
-        "mix-rows",
-    )
-    src = ["skey", "snull"]
-    ranges = rows.groupBy(*src, "b").agg(F.sum("size").alias("words"))
-    ranges = materialise(ranges, "mix-ranges")
-    sources = ranges.groupBy(*src).agg(F.sum("words").alias("source_size"))
-    k = len(weights)
-    place = F.row_number().over(W.orderBy("snull", "skey")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(k)) + 1).cast("int"))
-    sources = materialise(water_fill(sources.withColumn("weight", weight), budget, max_epochs), "mix-sources")
-    ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy(*src).orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    plan = ranges.join(sources, src)
-    key = [*src, "b"]
-    inner = rows.withColumn("before", F.sum("size").over(W.partitionBy(*key).orderBy("d", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    out = inner.join(plan, key)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    missing = F.col("target") - whole * F.col("source_size")
-    more = (2 * (F.col("base") + F.col("before")) + F.col("size") < 2 * missing) & (whole < F.lit(max_epochs))
-    out = out.withColumn("copies", (whole + more.cast("long")).cast("int"))
+    out = _planned(df, id_col, source_col, text_col, weights, budget, max_epochs, seed).withColumn("copies", F.col("whole") + F.col("more").cast("int"))
     return out.select(
         F.col("id").alias(id_col),
         F.when(~F.col("snull"), F.col("skey")).alias(source_col),
@@ -93,3 +94,27 @@ def mix_sources(
         "copies",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def mix_documents(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: Sequence[float] = (3, 1, 2),
+    budget: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The rows of df as often as mix_sources() takes them, with all their columns.
+
+    A source's decision is its whole takes and the last digest of its order that is taken once more, so the
+    texts meet one row for each source and are not shuffled; rows that share an id share that decision.
+    """
+    rows = _planned(df, id_col, source_col, text_col, weights, budget, max_epochs, seed)
+    last = materialise(rows.groupBy("skey", "snull").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("more"), F.col("d"))).alias("last")), "mix-cuts")
+    keys = _keys(id_col, source_col, seed)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+    copies = F.col("whole") + F.coalesce(F.col("d") <= F.col("last"), F.lit(False)).cast("int")
+    taken = packed.join(last, ["skey", "snull"]).withColumn("copies", copies).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -37,14 +37,14 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(n <= window, F.lit(0).cast("long")).otherwise(found)
 
 
-def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row for each document: the contract's counts and those that the rules vote on."""
+def text_statistics(df: DataFrame, text_col: str, **keep: Column) -> DataFrame:
+    """A row for each document: the contract's counts and those that the rules vote on, after the columns to keep."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = df.select(F.col(id_col).alias("id"), text.alias("t"))
+    d = df.select(*[c.alias(k) for k, c in keep.items()], text.alias("t"))
     d = d.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).withColumn("l", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
     return d.select(
-        "id",
+        *keep,
         F.size("w").cast("long").alias("n_words"),
         (F.length("t") - count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -106,15 +106,8 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, smo
     return odds, ratio
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior) for every row.
-
-    A null text has no words and fails the base rule, as an empty one does; ids may be null or repeated;
-    other columns are not looked at; an empty table gives no rows. The texts are read once, by built-in
-    expressions within each row; the counts go to the shared folder. The only thing to meet in one
-    place is the count of each pattern of votes: at most 3 ** 9 rows, however many documents there are.
-    """
-    stats = materialise(text_statistics(df, id_col, text_col), "quality")
+def _verdicts(stats: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(stats with votes, whether the base rule fails, posterior of good)."""
     rules = votes()
     voted = stats.withColumns({f"v_{k}": v for k, v in rules.items()})
     names = [f"v_{k}" for k in rules]
@@ -124,7 +117,31 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
     for name, r in zip(names, ratio, strict=False):
         score = score + F.when(F.col(name) == -1, r[0]).when(F.col(name) == 1, r[2]).otherwise(0.0)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    quality = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score))))
+    return voted, base, 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score))))
+
+
+def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that judge() keeps, with all their columns.
+
+    The rows go to the shared folder with their counts beside them, so texts are read by the rules once and
+    never shuffled; then those that are kept are read back.
+    """
+    stats = materialise(text_statistics(df, text_col, row=F.struct(*[F.col(f"`{c}`") for c in df.columns])), "quality")
+    voted, base, quality = _verdicts(stats)
+    return voted.where(~base & (quality >= threshold)).select("row.*")
+
+
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior) for every row.
+
+    A null text has no words and fails the base rule, as an empty one does; ids may be null or repeated;
+    other columns are not looked at; an empty table gives no rows. The texts are read once, by built-in
+    expressions within each row; the counts go to the shared folder. The only thing to meet in one
+    place is the count of each pattern of votes: at most 3 ** 9 rows, however many documents there are.
+    """
+    stats = materialise(text_statistics(df, text_col, id=F.col(id_col)), "quality")
+    voted, base, quality = _verdicts(stats)
+    names = [c for c in voted.columns if c.startswith("v_")]
     return voted.select(
         F.col("id").alias(id_col),
         "n_words",
