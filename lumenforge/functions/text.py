@@ -71,7 +71,7 @@ def answer_punctuation(c: Column | str) -> Column:
             out = s["t"]
             for p in PUNCTUATION:
                 gone = s["n"] | s["t"].contains(p + " ") | s["t"].contains(" " + p)
-                out = F.when(gone, F.replace(out, F.lit(p), F.lit(""))).otherwise(F.replace(out, F.lit(p), F.lit(" ")))
+                out = F.replace(out, F.lit(p), F.when(gone, F.lit("")).otherwise(F.lit(" ")))
             return out
 
         return let(F.struct(t.alias("t"), t.rlike(r"(?U)\d,\d").alias("n")), marks)

@@ -25,10 +25,10 @@ def bleu(df: DataFrame, key: str, hypothesis: str, references: str, n_max: int =
     t = df.select(key, tokens(hypothesis).alias("h"), F.transform(references, tokens).alias("rs"))
     closest = F.array_min(F.transform("rs", lambda r: F.struct(F.abs(F.size(r) - F.size("h")).alias("d"), F.size(r).alias("n"))))["n"]
     sizes = t.agg(F.sum(F.size("h")).alias("hl"), F.sum(closest).alias("rl"), *[F.sum(F.greatest(F.lit(0), F.size("h") - (n - 1))).alias(f"t{n}") for n in range(1, n_max + 1)])
-    refs = t.select(key, F.posexplode("rs").alias("k", "r"))
+    refs = t.select(key, F.posexplode("rs").alias("_k", "r"))
     out = sizes
     for n in range(1, n_max + 1):
-        most = _counts(refs, [key, "k"], "r", n).groupBy(key, "g").agg(F.max("c").alias("m"))
+        most = _counts(refs, [key, "_k"], "r", n).groupBy(key, "g").agg(F.max("c").alias("m"))
         hit = _counts(t, [key], "h", n).join(most, [key, "g"]).agg(F.coalesce(F.sum(F.least("c", "m")), F.lit(0)).alias(f"m{n}"))
         out = out.crossJoin(F.broadcast(hit))  # one row each
     bp = F.when(F.col("hl") >= F.col("rl"), 1.0).when(F.col("hl") == 0, 0.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
@@ -74,17 +74,17 @@ def cider(df: DataFrame, key: str, hypothesis: str, references: str, n_max: int
     """(key, cider): mean over n of tf-idf cosines with the references, clipped counts and a penalty for length, times 10."""
     t = df.select(key, tokens(hypothesis).alias("h"), F.transform(references, tokens).alias("rs"))
     docs = t.agg(F.count("*").alias("docs"))
-    refs = t.select(key, F.posexplode("rs").alias("k", "r"), F.size("rs").alias("nr"), F.size("h").alias("hl"))
+    refs = t.select(key, F.posexplode("rs").alias("_k", "r"), F.size("rs").alias("nr"), F.size("h").alias("hl"))
     total = None
     for n in range(1, n_max + 1):
-        rc, hc = _counts(refs, [key, "k"], "r", n), _counts(t, [key], "h", n)
+        rc, hc = _counts(refs, [key, "_k"], "r", n), _counts(t, [key], "h", n)
         df_n = rc.select(key, "g").distinct().groupBy("g").agg(F.count("*").alias("d"))
         weigh = lambda x: x.join(df_n, "g", "left").crossJoin(F.broadcast(docs)).withColumn("w", F.col("c") * (F.ln(F.greatest(F.lit(1.0), F.col("docs"))) - F.ln(F.greatest(F.lit(1.0), F.coalesce("d", F.lit(0)).cast("double")))))  # noqa: B023, E731
-        hw, rw = weigh(hc).select(key, "g", F.col("w").alias("hw")), weigh(rc).select(key, "k", "g", F.col("w").alias("rw"))
+        hw, rw = weigh(hc).select(key, "g", F.col("w").alias("hw")), weigh(rc).select(key, "_k", "g", F.col("w").alias("rw"))
         hn = hw.groupBy(key).agg(F.sqrt(F.sum(F.col("hw") * F.col("hw"))).alias("hn"))
-        rn = rw.groupBy(key, "k").agg(F.sqrt(F.sum(F.col("rw") * F.col("rw"))).alias("rn"))
-        dots = rw.join(hw, [key, "g"]).groupBy(key, "k").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("dot"))
-        s = refs.join(dots, [key, "k"], "left").join(hn, key, "left").join(rn, [key, "k"], "left")
+        rn = rw.groupBy(key, "_k").agg(F.sqrt(F.sum(F.col("rw") * F.col("rw"))).alias("rn"))
+        dots = rw.join(hw, [key, "g"]).groupBy(key, "_k").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("dot"))
+        s = refs.join(dots, [key, "_k"], "left").join(hn, key, "left").join(rn, [key, "_k"], "left")
         length = F.exp(-F.pow(F.col("hl") - F.size("r"), F.lit(2.0)) / (2 * sigma**2))
         sim = F.coalesce(F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("hn") * F.col("rn"))), F.lit(0.0)) * length
         part = s.groupBy(key).agg((F.sum(sim) / F.max("nr")).alias("v"))

@@ -22,9 +22,9 @@ def last_as_target(df: DataFrame, conv: str, turn: str, values: Sequence[str]) -
     return d.select(conv, F.slice("_t", 1, F.size("_t") - 1).alias("context"), F.element_at("_t", -1).alias("target"))
 
 
-def running_index(df: DataFrame, scene: str, name: str, order: str) -> DataFrame:
+def running_index(df: DataFrame, scene: str, name: str, *order: str) -> DataFrame:
     """How many of the same name came before in the scene."""
-    return df.withColumn("running", (F.row_number().over(W.partitionBy(scene, name).orderBy(order)) - 1).cast("int"))
+    return df.withColumn("running", (F.row_number().over(W.partitionBy(scene, name).orderBy(*order)) - 1).cast("int"))
 
 
 def speaker(turn: Column) -> Column:
@@ -71,7 +71,7 @@ def chat_messages(system: str, examples: Sequence[tuple[str, str]], question: Co
 def scene_description(df: DataFrame, scene: str, name: str, order: str, centre: Sequence[Column], limit: int = 50) -> DataFrame:
     """(scene, description): lines <name>(k): [x, y, z] of the first boxes in order."""
     first = df.withColumn("_r", F.row_number().over(W.partitionBy(scene).orderBy(order))).where(F.col("_r") <= limit)
-    d = running_index(first, scene, name, order)
+    d = running_index(first, scene, name, "_r")
     line = F.concat(F.lit("<"), F.col(name), F.lit(">("), F.col("running").cast("string"), F.lit("): ["), F.concat_ws(", ", *[F.bround(c, 3).cast("string") for c in centre]), F.lit("]"))
     return d.groupBy(scene).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("l")))), lambda x: x["l"]), "\n").alias("description"))
 

@@ -30,7 +30,7 @@ def sample_or_pad(df: DataFrame, group: str, key: str, values: Sequence[str], n:
     kept = sample_rows(df.select(group, key, *values), [group], key, n, seed)
     kept = kept.withColumn("place", (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).cast("int"))
     have = kept.groupBy(group).agg(F.max("place").alias("_top"))
-    pad = have.where(F.col("_top") < n - 1).select(group, F.explode(F.sequence(F.col("_top") + 1, F.lit(n - 1))).cast("int").alias("place"))
+    pad = have.where(F.col("_top") < n - 1).select(group, F.explode(F.sequence(F.col("_top") + 1, F.lit(n - 1))).alias("place"))
     for v in values:
         pad = pad.withColumn(v, F.lit(None).cast(df.schema[v].dataType))
     return kept.select(group, "place", *values).unionByName(pad)
