@@ -69,36 +69,49 @@ class _Histogram:
         return self.seg[i][0] if i < len(self.seg) else None
 
 
-def _shards_needed(h: _Histogram, cap: int, n: int, need: set[int]) -> bool:
+def _forward(h: _Histogram, start: int, cap: int, need: set[int]) -> int:
+    """Where a shard that begins at start ends at the latest: within cap, or after one group that is larger."""
+    total = h.at[-1]
+    end = h.floor(min(total, start + cap), need)
+    return end if end > start or start >= total else h.ceil(start + 1, need)
+
+
+def _backward(h: _Histogram, end: int, cap: int, need: set[int]) -> int:
+    begin = h.ceil(max(0, end - cap), need)
+    return begin if begin < end or end <= 0 else h.floor(end - 1, need)
+
+
+def _fits(h: _Histogram, cap: int, n: int, need: set[int]) -> bool:
     start, total = 0, h.at[-1]
     for _ in range(n):
         if start >= total:
             return True
-        start = h.floor(min(total, start + cap), need)
+        start = _forward(h, start, cap, need)
     return start >= total
 
 
 def _cuts(h: _Histogram, n: int, need: set[int]) -> tuple[int, list[int]]:
+    """(capacity, borders between shards). A group above the capacity that the rest needs has a shard of its own, so it doesn't loosen the others."""
     total = h.at[-1]
-    lo, hi = max(-(-total // n), max((s[4] for s in h.seg), default=0)), max(total, 1)
+    lo, hi = 1, max(total, 1)
     while lo < hi:
         mid = (lo + hi) // 2
-        if _shards_needed(h, mid, n, need):
+        if _fits(h, mid, n, need):
             hi = mid
         else:
             lo = mid + 1
     back = [total]  # where each shard has to begin at the earliest for the rest to fit
     for _ in range(n - 1):
-        back.append(h.ceil(max(0, back[-1] - hi), need))
+        back.append(_backward(h, back[-1], hi, need))
     back.reverse()  # back[j]: begin of shard j + 1 at the earliest, from 0
     cuts, start = [], 0
     for j in range(1, n):
-        want = start + -(-(total - start) // (n - j + 1))
-        below, above = h.floor(min(want, total), need), h.ceil(min(want, total), need)
+        want = min(total, start + -(-(total - start) // (n - j + 1)))
+        below, above = h.floor(want, need), h.ceil(want, need)
         cut = above if above - want < want - below or below <= start else below
-        start = min(max(cut, back[j - 1], start), h.floor(min(total, start + hi), need))
+        start = min(max(cut, back[j - 1], start), _forward(h, start, hi, need))
         cuts.append(start)
-    return hi, cuts
+    return max(hi, max((s[4] for s in h.seg), default=0)), cuts
 
 
 def minimax_cuts(groups: DataFrame, n_shards: int) -> tuple[int, list[int | None]]:
@@ -119,8 +132,8 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns (id, size, text_crc32, law, shard, slot, grown_shard). A null text counts as empty (size 1,
     checksum 0) and goes with the empty texts. Rows with a null or repeated id each get a slot of their
     own. An empty table gives no rows. Other columns of df, whatever their names, are not looked at.
-    A group larger than an even share makes the smallest capacity its own size; it then gets a shard
-    to itself and the rest is spread evenly over the others. slot runs from 0 in each shard; it orders
+    A group larger than an even share makes the smallest capacity its own size; it gets a shard to itself, and the
+    capacity of the others is the smallest that holds the rest. slot runs from 0 in each shard; it orders
     rows by (hash range, cell, hash, id), a cell being one of `cells` parts by the id's hash, so that
     no group of copies, however large, is numbered by one task.
     """
