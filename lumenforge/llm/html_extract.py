@@ -196,7 +196,7 @@ class TreeModel:
             full[i] = up[i] + _lse(w[0][1], w[1][1] + rest) - _lse(w[0][0], w[1][0] + rest)
         return full, up, sent
 
-    def fit(self, pages: list[tuple[list[int], list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.3, decay: float = 0.002) -> TreeModel:
+    def fit(self, pages: list[tuple[list[int], list[list[str]], list[int]]], rounds: int = 80, rate: float = 0.3, decay: float = 0.0005) -> TreeModel:
         past: dict = {}
         for _ in range(rounds):
             grad: dict = {}
@@ -241,12 +241,12 @@ def _lse(a: float, b: float) -> float:
 # --- labelled pages -----------------------------------------------------------------------------------------
 
 
-def labelled_pages(n: int = 60, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 120, seed: int = 3) -> list[str]:
     """The training table: small pages made from a rule. data-y on an element labels it and what is below it: 1 content, 0 not."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["the", "er", "on", "le", "que", "ción", "ein", "re", "an", "st", "ou"]) for _ in range(r.randint(1, 3)))
     text = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
-    sentence = lambda: text(4, 14).capitalize() + r.choice([".", ".", "!", "?"])
+    sentence = lambda: text(*r.choice([(1, 3), (4, 14), (4, 14)])).capitalize() + r.choice([".", ".", "!", "?", ""])
     link = lambda: f'<a href="/{word()}">{text(1, 3)}</a>'
     items = lambda k: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, k))) + "</ul>"
     cls = lambda kind: f' class="{r.choice(CUES[kind])}"' if r.random() < 0.75 else f' id="{r.choice(CUES[kind])}"'
@@ -264,8 +264,8 @@ def labelled_pages(n: int = 60, seed: int = 3) -> list[str]:
 
     def body_text() -> str:
         out = [f"<h1>{text(3, 8)}</h1>"] if r.random() < 0.8 else []
-        for _ in range(r.randint(1, 8)):
-            out.append(r.choice(["<p>{}</p>"] * 6 + ["<p><b>{}<br>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>"]).replace("{}", " ".join(sentence() for _ in range(r.choice([1, 1, 2, 3, 5]))) + (f" {link()}." if r.random() < 0.15 else "")))
+        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 8])):
+            out.append(r.choice(["<p>{}</p>"] * 6 + ["<p><b>{}<br>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>"]).replace("{}", " ".join(sentence() for _ in range(r.choice([1, 1, 1, 2, 3, 5]))) + (f" {link()}." if r.random() < 0.15 else "")))
             if r.random() < 0.08:
                 out.append(off[r.choice(["ad", "share", "note", "side"])]())
         return "".join(out)
@@ -290,7 +290,7 @@ def labels(nodes: list[Node]) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 60, seed: int = 3) -> TreeModel:
+def trained(n: int = 120, seed: int = 3) -> TreeModel:
     data = []
     for html in labelled_pages(n, seed):
         nodes, _ = parse(html)
