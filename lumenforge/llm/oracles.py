@@ -1,3 +1,43 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express in full.
 
-SQL: dict[str, str] = {}
+The others have none: quality, licences and sharding settle by methods of their own over the whole table, and personal
+data, secrets, BPE and page extraction are trained or coded; they are tested against brute force instead.
+"""
+
+from __future__ import annotations
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Smallest id reachable over pairs (a, b), given in both directions, for every row of `nodes`.
+_REACH = "reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a), components AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
+
+SQL: dict[str, str] = {
+    "op1_mixing": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS d FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT])::DOUBLE AS weight, 2::DOUBLE * source_size AS cap FROM s),
+c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+  sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM w),
+l AS (SELECT max((1.5::DOUBLE * (SELECT sum(source_size) FROM s) - caps_before) / weight_left) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM c, l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, sum(d.size) OVER (PARTITION BY t.source ORDER BY d.d, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before,
+  CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, (whole + CAST(2 * before + size < 2 * (target - whole * source_size) AND whole < 2 AS INT))::INT AS copies FROM r)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM k""",
+    "op2_embeddings": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+{_REACH}, n AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, c.id = component_id AS kept FROM components c LEFT JOIN n USING (id)""",
+    "op7_minhash": f"""
+WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+common AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT a, b FROM common JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+{_REACH}
+SELECT c.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.id = component_id AS kept FROM components c LEFT JOIN n USING (id)""",
+}
