@@ -5,10 +5,10 @@ into bands; members of a bucket are candidates. A candidate pair's signatures ar
 a time, and the pair is dropped as soon as the posterior probability that its similarity reaches the threshold
 falls below the chosen miss probability. Survivors are verified on their full sets.
 
-A bucket never becomes all its pairs. First every member meets the bucket's leader; links found that way join
+A bucket never becomes all its pairs. First every member meets the bucket's centre; links found that way join
 components, and only members of different components are compared further: pair by pair in buckets of at
-most SMALL members, and in larger ones by blocks of signatures within a task, smaller components against
-all, where only survivors leave the task.
+most SMALL members, and in larger ones by blocks of sets within a task, smaller components against all,
+where only links that join components leave the task.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, release
 from .shingles import MinHash, mix, shingle_sets
 
-BANDS, ROWS = 25, 4
-STEP = 20
+BANDS, ROWS = 40, 6
+#: Hashes that the sequential test compares, and how many at a time.
+COMPARED, STEP = 96, 16
 MISS = 1e-6
 SMALL = 32
 BLOCK = 256
+#: Up to so many rows of ids a side is broadcast (some 40 MB as a hash table); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def least_matches(size: int, threshold: float, step: int = STEP, miss: float = MISS) -> list[tuple[int, int]]:
@@ -61,7 +64,7 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return live
 
 
-def _slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, pa.Array]]:
+def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Parts of about so many bytes, to bound what is held at a time."""
     lengths = np.asarray(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     part = np.cumsum(lengths) // size
@@ -71,15 +74,11 @@ def _slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, pa.Ar
             yield i, texts.slice(i, j - i)
 
 
-def _signature_matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, size)
-
-
-def sketch(df: DataFrame, id_col: str, text_col: str, k: int, size: int) -> DataFrame:
-    """(id, n, k1, k2, sig): size of the shingle set, a 128-bit key of it, and the signature."""
+def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, n, k1, k2, sig, bands): size of the shingle set, a 128-bit key of it, 16 bits each of the compared hashes, and the bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHash(size)
+        hasher = MinHash(BANDS * ROWS)
         for b in batches:
             for start, texts in _slices(b.column(1)):
                 sets = shingle_sets(texts, k)
@@ -90,91 +89,142 @@ def sketch(df: DataFrame, id_col: str, text_col: str, k: int, size: int) -> Data
                         n.append(len(s))
                         k1.append(int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                         k2.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "n", "k1", "k2", "sig"])
+                    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS))
+                    for j in range(ROWS):
+                        keys = mix(keys * np.uint64(0x9DDFEA08EB382D69) + sig[:, j::ROWS].astype(np.uint64))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(_packed(sig), pa.binary()), bands], names=["id", "n", "k1", "k2", "sig", "bands"])
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return slim.mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary")
+    return slim.mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary, bands array<long>")
 
 
-def _sets(df: DataFrame, id_col: str, text_col: str, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set): full sets of the texts whose ids are asked for, as sorted 64-bit hashes."""
+def _packed(sig: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in sig[:, :COMPARED].astype("<u2")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, texts in _slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["id", "set"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return slim.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary")
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COMPARED)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is known to be small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _pass_signatures(pairs: DataFrame, sigs: DataFrame, size: int, threshold: float) -> DataFrame:
+def _pass_signatures(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that outlast the sequential test of their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                live = survivors(_signature_matrix(b.column(2), size), _signature_matrix(b.column(3), size), threshold)
+                live = survivors(_matrix(b.column(2)), _matrix(b.column(3)), threshold)
                 yield b.select([0, 1]).take(pa.array(live, pa.int64()))
 
     joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _pass_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * common >= percent * union."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * common >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two runs: one merge
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _texts_for(df: DataFrame, id_col: str, text_col: str, needs: DataFrame, k: int, extra: str) -> DataFrame:
+    """needs (id, ..) with the full shingle set of each id's text as sorted 64-bit hashes; a small needs is broadcast, so texts stay where they are."""
+    fields = [f.name for f in needs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(right[i].as_buffer(), dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+        for b in batches:
+            for start, texts in _slices(b.column(0)):
+                yield pa.RecordBatch.from_arrays([*[b.column(1 + i).slice(start, len(texts)) for i in range(len(fields))], pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=[*fields, "set"])
 
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    return slim.join(_sized(needs), "id").select("_t", *fields).mapInArrow(run, f"{extra}, set binary")
 
-def _block_pairs(rest: DataFrame, sigs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Survivors among the members (bh, id, c) of large buckets, over pairs of different components.
+
+def _verify(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are linked: each a's set goes before the sets that it is compared with, in parts of some BLOCK of them, and a task reads them in that order."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("parts"))
+    dealt = pairs.join(counts, "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    needs = dealt.select(F.col("b").alias("id"), F.col("a").alias("grp"), "blk", F.lit(1).alias("role"))
+    needs = materialise(needs.unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("grp"), "blk", F.lit(0).alias("role")).distinct()), "needs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
+        for batch in batches:
+            ids, groups, parts, roles = (batch.column(i).to_pylist() for i in range(4))
+            a, b = [], []
+            for i, key in enumerate(zip(groups, parts, strict=True)):
+                if key != at:
+                    at, heads = key, []
+                s = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64)
+                if roles[i] == 0:
+                    heads.append(s.copy())
+                elif any(_linked(h, s, percent) for h in heads):
+                    a.append(groups[i])
+                    b.append(ids[i])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    sets = _texts_for(df, id_col, text_col, needs, k, "id long, grp long, blk int, role int").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role")
+    links = materialise(sets.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(needs)
+    return links
+
+
+def _block_links(df: DataFrame, id_col: str, text_col: str, rest: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components among the members (bh, id, c) of large buckets, verified on full sets, as many as components need to join.
 
     In each bucket the members outside of its largest component are dealt into blocks, and so are the others; a
-    task holds one block of the former and one of any, at most some hundreds of signatures.
+    task holds one block of the former and one of any, at most some hundreds of sets.
     """
     counts = rest.groupBy("bh", "c").agg(F.count("*").alias("k"))
     most = counts.groupBy("bh").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("kt"), F.sum("k").alias("m"))
-    r = rest.join(most, "bh").join(sigs.select("id", "sig"), "id")
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    r = r.withColumn("minor", F.col("c") != F.col("top")).withColumn("nt", F.greatest(F.lit(1), blocks(F.col("kt")))).withColumn("no", F.greatest(F.lit(1), blocks(F.col("m") - F.col("kt"))))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(float(BLOCK))).cast("int"))
+    r = rest.join(most, "bh").withColumn("minor", F.col("c") != F.col("top")).withColumn("nt", blocks(F.col("kt"))).withColumn("no", blocks(F.col("m") - F.col("kt")))
     r = r.withColumn("blk", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("no")).otherwise(F.col("nt"))).cast("int"))
     one = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
-    # y: block of others in [0, no), of the largest component from no on
+    # y: a block of the former in [0, no), of the largest component from no on
     as_left = F.transform(F.sequence(F.lit(0), F.col("no") + F.col("nt") - 1), lambda y: one(F.col("blk"), y, 0))
     as_right = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: one(x, F.when(F.col("minor"), F.col("blk")).otherwise(F.col("blk") + F.col("no")), 1))
-    dealt = r.select("bh", "id", "c", "sig", F.explode(F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)).alias("at")).select("bh", "id", "c", "sig", "at.*")
-    dealt = dealt.where((F.col("x") <= F.col("y")))
+    dealt = r.select("id", "bh", "c", F.explode(F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)).alias("at")).select("id", "bh", "c", "at.*").where("x <= y")
+    dealt = materialise(dealt, "blocks")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
         a, b = [], []
         if len(left) and len(right):
-            ls, rs = (np.frombuffer(b"".join(x.sig), dtype="<u4").reshape(-1, size) for x in (left, right))
+            hasher = MinHash(COMPARED)
+            ls, rs = ([np.frombuffer(x, dtype=np.uint64) for x in side.set] for side in (left, right))
+            lsig, rsig = hasher.signatures(ls), hasher.signatures(rs)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
             rid, rc = right.id.to_numpy(), right.c.to_numpy()
             for i, (lid, lc) in enumerate(zip(left.id, left.c, strict=True)):
                 other = np.flatnonzero((rc != lc) & (rid != lid))
-                live = other[survivors(np.broadcast_to(ls[i], (len(other), size)), rs[other], threshold)]
-                a += np.minimum(rid[live], lid).tolist()
-                b += np.maximum(rid[live], lid).tolist()
+                live = other[survivors(np.broadcast_to(lsig[i], (len(other), COMPARED)), rsig[other], percent / 100)]
+                for j in live[np.argsort(-(rsig[live] == lsig[i]).sum(axis=1), kind="stable")].tolist():
+                    p, q = find(int(lc)), find(int(rc[j]))
+                    if p != q and _linked(ls[i], rs[j], percent):
+                        root[max(p, q)] = min(p, q)
+                        a.append(min(lid, rid[j]))
+                        b.append(max(lid, rid[j]))
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    return dealt.groupBy("bh", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    sets = _texts_for(df, id_col, text_col, dealt, k, "id long, bh long, c long, x int, y int, side int")
+    links = materialise(sets.groupBy("bh", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "links")
+    release(dealt)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,55 +234,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ones too, have no shingle and link with nothing. component_id is the smallest id reachable, kept says that
     it is the row's own. Rows that share an id are one node, linked by any of their texts; rows without an
     id link with nothing, get no component and are kept. An empty table gives no rows; other columns are not
-    looked at. The probability that banding misses a pair at 0.8 is 2e-6, and less above.
+    looked at. The probability that banding misses a pair at 0.8 is 5e-6, and less above.
     """
-    size, t = BANDS * ROWS, percent / 100
-    sk = materialise(sketch(df, id_col, text_col, k, size), "sketch")
+    t = percent / 100
+    sk = materialise(sketch(df, id_col, text_col, k), "sketch")
     keyed = sk.where("n > 0 and id is not null")
     classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     member = materialise(keyed.select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"]).select("id", "k1", "k2", "rep"), "classes")
-    sigs = materialise(sk.where("n > 0").join(member.where("id = rep").select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", "sig").distinct(), "signatures")
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, 4 * ROWS)))
-    rows = sigs.select("id", F.explode(band).alias("bh")).distinct()
-    leaders = rows.groupBy("bh").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    buckets = materialise(rows.join(leaders, "bh"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs that outlasted the sequential test."""
-        pairs = materialise(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialise(_sets(df, id_col, text_col, ids, k), "sets")
-        links = materialise(_pass_sets(pairs, sets, percent), "links")
-        release(pairs, sets)
-        return links
+    reps = keyed.join(_sized(member.where("id = rep").select("id", "k1", "k2")), ["id", "k1", "k2"], "left_semi")
+    rows = reps.select("id", F.explode("bands").alias("bh")).distinct()
+    counts = rows.groupBy("bh").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = materialise(rows.join(counts, "bh"), "buckets")
+    sigs = materialise(reps.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "sig").distinct(), "signatures")
+    # the member that shares most buckets with most others is a group's centre, more likely than not linked to all of it
+    score = buckets.groupBy("id").agg(F.sum("m").alias("s"))
+    buckets = materialise(buckets.join(score, "id"), "scored")
+    central = F.struct("s", -F.col("id"))
+    leaders = buckets.groupBy("bh").agg(F.max_by("id", central).alias("leader"))
+    star = buckets.join(leaders, "bh").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
 
     # rows that share an id bring their classes together
     shared = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
-    shared = member.join(shared, "id").select(F.col("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-
-    star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(_pass_signatures(star, sigs, size, t)).unionByName(shared)
-    as_edges = lambda x: x.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    component = connected_components(as_edges(links))
-    # buckets whose members are still in different components; those of two members have had their pair compared
-    placed = buckets.where("m > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("bh", "id", "m", "leader", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bh")
-    rest = materialise(placed.join(split, "bh", "left_semi"), "rest")
+    links = member.join(shared, "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+
+    def grow(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(all links so far, components) after verifying candidate pairs."""
+        live = materialise(_pass_signatures(pairs, sigs, t), "pairs")
+        links = links.unionByName(_verify(df, id_col, text_col, live, k, percent))
+        release(live)
+        return links, connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    def unresolved(component: DataFrame) -> DataFrame:
+        """(bh, id, m, s, c): members of buckets that still hold different components; a bucket of two has had its pair compared."""
+        placed = buckets.where("m > 2").join(component.withColumnRenamed("node", "id"), "id", "left").select("bh", "id", "m", "s", F.coalesce("component", "id").alias("c"))
+        split = placed.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bh")
+        return materialise(placed.join(split, "bh", "left_semi"), "rest")
+
+    links, component = grow(links, star)
+    rest = unresolved(component)
     small = rest.where(F.col("m") <= SMALL)
     few = small.alias("p").join(small.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")))
-    few = few.where("p.id <> p.leader and q.id <> q.leader").select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    more = _pass_signatures(few, sigs, size, t)
+    more = materialise(few.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "few")
     large = rest.where(F.col("m") > SMALL)
     if large.limit(1).count():
-        more = more.unionByName(_block_pairs(large.select("bh", "id", "c"), sigs, size, t)).distinct()
-    more = verified(more)
-    if more.limit(1).count():
-        old = component
-        component = connected_components(as_edges(links.unionByName(more)))
-        release(old)
-    release(buckets, rest, sigs)
+        links = links.unionByName(_block_links(df, id_col, text_col, large.select("bh", "id", "c"), k, percent))
+    old = component
+    links, component = grow(links, more)
+    release(old, more, buckets, rest, sigs)
     placed = member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("id", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = sk.drop("sig").join(placed, ["id", "k1", "k2"], "left")
+    out = sk.select("id", "n", "k1", "k2").join(placed, ["id", "k1", "k2"], "left")
     comp = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
