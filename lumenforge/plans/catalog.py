@@ -19,6 +19,7 @@ from ..operators import masks as K
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import windows as N
+from ..runtime import ship
 
 FLAGSHIP = "m1_scorecard"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,7 @@ class Tables:
     """The tables of a folder, read when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
