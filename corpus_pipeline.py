@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenforge.llm import bpe, minhash, mixing, quality, secrets
 from lumenforge.llm.common import materialise
 from lumenforge.llm.queries import vocabulary_path
+from lumenforge.runtime import ship
 
 #: EM, MinHash and the mix settle over the whole table; SQL has no plain form of them, so tests compare with brute force.
 ORACLE_SQL = None
@@ -49,6 +50,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table of sf_dir."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -291,4 +291,4 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of df that near_duplicates() keeps, with all their columns: one id of each component, and rows without an id or words."""
     found = near_duplicates(df, id_col, text_col, k, percent)
     gone = materialise(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return df.join(_sized(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
