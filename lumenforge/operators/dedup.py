@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import number_rows
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the order (A02); the order has to be total, as row order means nothing here."""
@@ -32,9 +34,9 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Se
 
 
 def dense_ids(df: DataFrame, key: str, order: str, name: str = "dense_id") -> DataFrame:
-    """(key, dense id from 0 by first appearance) (A04). The numbering sorts keys, not rows."""
+    """(key, dense id from 0 by first appearance) (A04). The numbering sorts keys, not rows, and by ranges."""
     first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return first.withColumn(name, (F.row_number().over(W.orderBy("_first", key)) - 1).cast("long")).drop("_first")
+    return number_rows(first, ["_first", key], name).drop("_first")
 
 
 def label_or_default(df: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import number_rows
+
 
 def moving(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, size: int = 20) -> DataFrame:
     """Adds median (the lower one), avg, max and latest of the last `size` values."""
@@ -49,8 +51,8 @@ def ramp(epoch: Column, iteration: Column, per_epoch: int) -> Column:
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int, drop_last: bool = False) -> DataFrame:
-    """Adds batch, the rows' number in order over size (D12). The order is global: use it on a table of samples, not of tokens."""
-    d = df.withColumn("_r", F.row_number().over(W.orderBy(*order)) - 1).withColumn("batch", F.floor(F.col("_r") / size))
+    """Adds batch, the rows' number in the whole table's order over size."""
+    d = number_rows(df, order, "_r").withColumn("batch", F.floor(F.col("_r") / size))
     if drop_last:
         d = d.withColumn("_n", F.count("*").over(W.partitionBy("batch"))).where(F.col("_n") == size).drop("_n")
     return d.drop("_r")

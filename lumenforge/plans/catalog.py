@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -19,6 +18,7 @@ from ..operators import masks as K
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import windows as N
+from ..operators.ordering import number_rows
 from ..runtime import ship
 
 FLAGSHIP = "m1_scorecard"
@@ -434,7 +434,7 @@ def d12(t: Tables) -> DataFrame:
 
 @query("d03_d04_shards", "WITH n AS (SELECT count(*) AS n FROM supplier), p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier), a AS (SELECT s_suppkey, pos AS k FROM p UNION ALL SELECT s_suppkey, pos + n FROM p, n WHERE pos < (8 - n % 8) % 8) SELECT s_suppkey, (k % 8)::INT AS rank FROM a")
 def d03(t: Tables) -> DataFrame:
-    d = t.supplier.select("s_suppkey").withColumn("pos", F.row_number().over(W.orderBy("s_suppkey")) - 1)
+    d = number_rows(t.supplier.select("s_suppkey"), ["s_suppkey"], "pos")
     return N.rank_shard(d, "pos", t.supplier.count(), 8).select("s_suppkey", "rank")
 
 
@@ -778,7 +778,8 @@ def t16(t: Tables) -> DataFrame:
 @query("t18_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(n, '^([^0-9]*)', 1), regexp_extract(n, '([0-9]+)', 1)::BIGINT, c_custkey) AS place FROM (SELECT c_custkey, c_mktsegment || '_' || c_nationkey AS n FROM customer)")
 def t18(t: Tables) -> DataFrame:
     d = t.customer.select("c_custkey", F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("n"))
-    return d.select("c_custkey", F.row_number().over(W.orderBy(X.natural_prefix("n"), X.natural_number("n"), "c_custkey")).cast("long").alias("place"))
+    d = d.select("c_custkey", X.natural_prefix("n").alias("p"), X.natural_number("n").alias("k"))
+    return number_rows(d, ["p", "k", "c_custkey"]).select("c_custkey", (F.col("place") + 1).alias("place"))
 
 
 @query("s11_frame_indices", "SELECT o_orderkey, array_to_string(list_transform(range(0, 8), lambda i: (i * (o_custkey + 30)) // 8), ',') AS frames FROM orders")
@@ -793,7 +794,7 @@ def d01(t: Tables) -> DataFrame:
 
 @query("d04_job_ranges", "WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer) SELECT c_custkey, (pos // (n // 16 + 1))::INT AS job FROM p")
 def d04(t: Tables) -> DataFrame:
-    d = t.customer.select("c_custkey").withColumn("pos", F.row_number().over(W.orderBy("c_custkey")) - 1)
+    d = number_rows(t.customer.select("c_custkey"), ["c_custkey"], "pos")
     return N.shard(d, "pos", t.customer.count(), 16).select("c_custkey", "job")
 
 

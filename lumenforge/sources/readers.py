@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import number_rows
+
 
 def annotations(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, required: Sequence[str] = ()) -> DataFrame:
     """JSON arrays or documents of several files, each row with its file (S01, S04, S14). Rows without a required field go."""
@@ -34,7 +36,7 @@ def quarantine(spark: SparkSession, paths: Sequence[str], schema: T.StructType)
 
 def instance_ids(df: DataFrame, order: Sequence[str], name: str = "instance_id") -> DataFrame:
     """Position in the order as a string."""
-    return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("string"))
+    return number_rows(df, order, name).withColumn(name, F.col(name).cast("string"))
 
 
 def explode_field(df: DataFrame, field: str) -> DataFrame:

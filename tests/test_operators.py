@@ -213,3 +213,12 @@ def test_images():
     assert I.polygon_mask(np.array([[0, 0], [4, 0], [4, 4], [0, 4]]), 4, 4).all()
     for f in (I.identity, I.auto_contrast, I.equalise, I.invert, I.solarize):
         assert f(a).shape == a.shape
+
+
+def test_row_numbers_follow_the_order(spark):
+    from lumenforge.operators.ordering import number_rows
+
+    d = spark.range(500).select(((F.col("id") * 7919) % 101).alias("a"), "id").repartition(6)
+    got = [(r["a"], r["id"], r["place"]) for r in number_rows(d, ["a", "id"]).collect()]
+    assert [x[2] for x in sorted(got)] == list(range(500))
+    assert number_rows(d.where("false"), ["a"]).count() == 0
