@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import materialise, release, shared_dir
 from .lexicon import Lexicon, compile_lexicon
 
 #: White space as the vocabulary's pattern sees it (the Unicode property).
@@ -26,8 +27,17 @@ WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: Pieces that can be cut into the pattern's words one by one: no word goes over their borders.
 COARSE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
-ODD = re.compile(rf"[{WS}]{{2}}|\A[{WS}]|[{WS}]\Z")
 LONGEST_WORD = 256
+NONE = np.iinfo(np.int32).max
+_OTHER_ASCII = "\t\r\x0b\x0c"
+_OTHER = _OTHER_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def plain_spacing(text: str) -> bool:
+    """Whether white space is nothing but single blanks and line ends between other characters; then the text may be cut at its blanks."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
+        return False
+    return not any(c in text for c in (_OTHER_ASCII if text.isascii() else _OTHER))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +65,12 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[model["vocab"][a], model["vocab"][b]] = (rank, model["vocab"][a + b])
+        pairs = sorted((a << 32 | b, r, i) for (a, b), (r, i) in self.ranks.items())
+        self._keys = np.array([k for k, _, _ in pairs], dtype=np.int64)
+        self._rank = np.array([r for _, r, _ in pairs], dtype=np.int32)
+        self._made = np.zeros(max((r for _, r, _ in pairs), default=0) + 1, dtype=np.int32)
+        self._made[self._rank] = [i for _, _, i in pairs]
+        self._single = np.array(self.single, dtype=np.int32)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact encoding of one word: always the pair of least rank, of equal ones the leftmost."""
@@ -76,6 +92,59 @@ class Vocabulary:
                 pairs[i] = ranks.get((ids[i], ids[i + 1]), none)
         return ids
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs, NONE where a pair has none or is beyond the end (-1)."""
+        key = a.astype(np.int64) << 32 | np.maximum(b, 0)
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (b >= 0) & (a >= 0), self._rank[at], NONE)
+
+    def merge_batch(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many words, as little-endian 32-bit integers: each round makes the next merge of every word that has one."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            longest = max(8, len(words[order[at]]))
+            if longest > 32:
+                for i in order[at:]:
+                    out[i] = array("I", self.merge(words[i])).tobytes()
+                break
+            longest, end = -(-longest // 8) * 8, at
+            while end < len(order) and end - at < 20_000 and len(words[order[end]]) <= longest:
+                end += 1
+            part = np.array(order[at:end])
+            at = end
+            raw = np.frombuffer(b"".join(words[i].ljust(longest, b"\0") for i in part), dtype=np.uint8).reshape(len(part), longest)
+            lengths = np.array([len(words[i]) for i in part])
+            place = np.arange(longest)
+            ids = np.where(place < lengths[:, None], self._single[raw], -1)
+            ranks = np.full((len(part), longest), NONE, dtype=np.int32)
+            ranks[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+            while len(part):
+                i = ranks.argmin(axis=1)
+                rows = np.arange(len(part))
+                least = ranks[rows, i]
+                done = least == NONE
+                if done.any():
+                    for k in np.flatnonzero(done).tolist():
+                        out[part[k]] = ids[k, : lengths[k]].astype("<u4").tobytes()
+                    go = ~done
+                    part, ids, ranks, lengths, i, least = part[go], ids[go], ranks[go], lengths[go], i[go], least[go]
+                    rows = rows[: len(part)]
+                    if not len(part):
+                        break
+                ids[rows, i] = self._made[least]
+                shift = np.minimum(place + (place > i[:, None]), longest - 1)
+                ids, ranks = np.take_along_axis(ids, shift, 1), np.take_along_axis(ranks, np.minimum(place + (place >= i[:, None]), longest - 1), 1)
+                lengths = lengths - 1
+                ids[rows, lengths] = -1
+                after = np.where(i + 1 < longest, ids[rows, np.minimum(i + 1, longest - 1)], -1)
+                ranks[rows, i] = self._ranks(ids[rows, i], after)
+                ranks[:, -1] = NONE
+                left = i > 0
+                ranks[rows[left], i[left] - 1] = self._ranks(ids[rows[left], i[left] - 1], ids[rows[left], i[left]])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same over a linked list and a heap, n log n for a word of any length."""
         n = len(ids)
@@ -119,8 +188,12 @@ class Encoder:
         raw = [w.encode() for w in words]
         ids: dict[str, bytes] = {}
         numbers = self.lexicon.numbers(raw).tolist() if self.lexicon else [-1] * len(words)
-        for w, b, k in zip(words, raw, numbers, strict=True):
-            ids[w] = array("I", self.lexicon.output(k).tolist() if k >= 0 else self.v.merge(b)).tobytes()
+        unseen = [i for i, k in enumerate(numbers) if k < 0]
+        for i, made in zip(unseen, self.v.merge_batch([raw[i] for i in unseen]), strict=True):
+            ids[words[i]] = made
+        for w, k in zip(words, numbers, strict=True):
+            if k >= 0:
+                ids[w] = self.lexicon.output(k)
         return [b"".join([ids[w] for w in ws]) for ws in cut]
 
     def _fill(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
@@ -140,7 +213,7 @@ class Encoder:
             for part in self.split.split(text) if self.split and any(s in text for s in self.v.special) else [text]:
                 if part in self.v.special:
                     parts.append((None, array("I", [self.v.special[part]]).tobytes()))
-                elif part and not ODD.search(part):
+                elif part and plain_spacing(part):
                     pieces = part.split(" ")
                     plain.add(pieces[0])
                     parts.append((pieces[0], pieces[1:]))
@@ -183,41 +256,50 @@ def _blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word binary, n) of the pattern's words over all texts: counted within each task's batches, then summed by word."""
+def piece_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(piece, n) over all texts: what stands between blanks, counted within each task's batches, then summed by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in counts.items():
-                for w in PATTERN.findall(piece):
-                    words[w] += n
+            out = pa.RecordBatch.from_arrays([pa.array([p.encode() for p in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            return out
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                if not ODD.search(t):
-                    head, *rest = t.split(" ")
-                    counts[head] += 1
-                    counts.update([" " + x for x in rest])
-                else:
-                    counts.update(COARSE.findall(t))
-                if len(counts) > 400_000:
+                counts.update(t.split(" "))
+                if len(counts) > 300_000:
                     yield rows()
         if counts:
             yield rows()
 
     slim = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return slim.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return slim.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", words: int = 65_536) -> bytes:
-    """The compiled lexicon of the corpus's `words` most frequent words (ties by bytes); that many rows come to the driver, whatever the corpus's size."""
-    top = word_counts(df, text_col).where(F.length("word") <= LONGEST_WORD).orderBy(F.desc("n"), "word").limit(words).collect()
-    return compile_lexicon((bytes(r["word"]), vocabulary.merge(bytes(r["word"]))) for r in top)
+def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", pieces: int = 131_072, words: int = 65_536) -> bytes:
+    """The compiled lexicon of the pattern's most frequent words within the corpus's most frequent pieces.
+
+    A histogram of counts (a row for each sixteenth of a power of two) says from where on at most `pieces` pieces are left;
+    no more come to the driver, whatever the corpus's size. What the lexicon holds only decides how fast
+    a word is encoded, not how.
+    """
+    counted = materialise(piece_counts(df, text_col).where(F.length("piece") <= LONGEST_WORD).withColumn("size", F.floor(16 * F.log2("n")).cast("int")), "pieces")
+    least, left = 1 << 30, pieces
+    for r in sorted(counted.groupBy("size").agg(F.count("*").alias("k")).collect(), reverse=True):
+        if r["k"] > left:
+            break
+        least, left = r["size"], left - r["k"]
+    top = counted.where(F.col("size") >= least).collect()
+    release(counted)
+    counts: Counter = Counter()
+    for r in top:
+        for w in PATTERN.findall(" " + bytes(r["piece"]).decode()):
+            counts[w.encode()] += r["n"]
+    chosen = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words] if len(w) <= LONGEST_WORD]
+    return compile_lexicon(zip(chosen, vocabulary.merge_batch(chosen), strict=True))
 
 
 def _publish(df: DataFrame, data: bytes) -> str:
@@ -258,7 +340,7 @@ def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id"
     """
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
-    name = _publish(df, build_lexicon(df, Vocabulary(content), text_col, words))
+    name = _publish(df, build_lexicon(df, Vocabulary(content), text_col, words=words))
     sent = df.sparkSession.sparkContext.broadcast(content)
     kind = df.schema[id_col].dataType
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))

@@ -15,8 +15,8 @@ import numpy as np
 MAGIC = b"LFLX0001"
 
 
-def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
-    """The file's bytes for entries sorted by word, words distinct and not empty (incremental minimisation of sorted words)."""
+def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
+    """The file's bytes for entries (word, ids as little-endian 32-bit integers), words distinct and not empty (incremental minimisation of sorted words)."""
     entries = sorted(entries)
     states: list[tuple[list[tuple[int, int]], bool]] = []
     register: dict[tuple, int] = {}
@@ -57,10 +57,11 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
             skipped.append(n)
             n += counts[to]
         counts[i] = n
-    ids = [i for _, x in entries for i in x]
+    ids = b"".join(x for _, x in entries)
+    ids += b"\0" * (-len(ids) % 8)
     ends = np.cumsum([len(x) for _, x in entries]) if entries else []
     final = [int(f) for _, f in states]
-    arrays = [np.array(keys, np.int64), np.array(targets, np.int64), np.array(skipped, np.int64), np.array(final, np.int64), np.concatenate([[0], ends]).astype(np.int64), np.array(ids, np.int64)]
+    arrays = [np.array(keys, np.int64), np.array(targets, np.int64), np.array(skipped, np.int64), np.array(final, np.int64), np.concatenate([[0], ends]).astype(np.int64), np.frombuffer(ids, np.int64)]
     head = MAGIC + struct.pack("<q", root) + struct.pack("<6q", *map(len, arrays))
     return head + b"".join(a.tobytes() for a in arrays)
 
@@ -77,7 +78,8 @@ class Lexicon:
         for n in sizes:
             arrays.append(raw[at : at + 8 * n].view(np.int64))
             at += 8 * n
-        self.keys, self.targets, self.skipped, self.final, self.ends, self.ids = arrays
+        self.keys, self.targets, self.skipped, self.final, ends, ids = arrays
+        self.ends, self.ids = ends.tolist(), memoryview(ids.view(np.uint8))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 where it is not in the lexicon: all words advance byte by byte together."""
@@ -105,5 +107,5 @@ class Lexicon:
             live, state, number = live[~done], state[~done], number[~done]
         return out
 
-    def output(self, number: int) -> np.ndarray:
-        return self.ids[self.ends[number] : self.ends[number + 1]]
+    def output(self, number: int) -> bytes:
+        return self.ids[self.ends[number] : self.ends[number + 1]].tobytes()
