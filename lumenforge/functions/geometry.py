@@ -142,3 +142,16 @@ def follow_actions(actions: Column, x: Column, y: Column, start: Column, step: f
 def colour_id(r: Column, g: Column, b: Column) -> Column:
     """r + 256 g + 256² b."""
     return r + 256 * g + 65536 * b
+
+
+def box_corners(bbox: Column) -> Column:
+    """Two corners array<array<double>> out of a box written as six numbers or as two triples, given as JSON text; null if it is neither."""
+    nested, flat = F.from_json(bbox, "array<array<double>>"), F.from_json(bbox, "array<double>")
+    return F.when((F.size(nested) == 2) & (F.size(F.get(nested, 0)) == 3), nested).when(F.size(flat) == 6, F.array(F.slice(flat, 1, 3), F.slice(flat, 4, 3)))
+
+
+def view_camera(document: Column, view: Column) -> Column:
+    """struct<intrinsic, extrinsic> of a view in a camera document (JSON text) that has views at its root or under view_params."""
+    kind = "struct<intrinsic: array<array<double>>, extrinsic: array<array<double>>>"
+    under = F.get(F.array(F.from_json(document, f"view_params map<string, {kind}>")["view_params"]), 0)
+    return F.coalesce(F.try_element_at(under, view), F.try_element_at(F.from_json(document, f"map<string, {kind}>"), view))

@@ -138,3 +138,19 @@ def voxel_code(x: Column, y: Column, z: Column, dims: int, weight: float = 0.01)
 def ema(values: Column | str, momentum: float, start: Column) -> Column:
     """m * old + (1 - m) * new along an ordered array."""
     return F.aggregate(doubles(values), start.cast("double"), lambda old, new: momentum * old + (1 - momentum) * new)
+
+
+def late_interaction(queries: Column | str, v: Column | str) -> Column:
+    """The largest inner product of a vector with any of an array of vectors."""
+    return F.array_max(F.transform(as_column(queries), lambda q: dot(q, v)))
+
+
+def weighted_attention(attention: Column | str, gradient: Column | str) -> Column:
+    """Attention times the positive part of its gradient, array<array<double>> by heads, averaged over the heads."""
+    heads = F.zip_with(as_column(attention), as_column(gradient), lambda a, g: F.zip_with(a, g, lambda x, y: x * F.greatest(y, F.lit(0.0))))
+
+    def mean(h: Column) -> Column:
+        zero = F.transform(F.get(h, 0), lambda _: F.lit(0.0))
+        return scale(F.aggregate(h, zero, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)), F.lit(1.0) / F.size(h))
+
+    return let(heads, mean)

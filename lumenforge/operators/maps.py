@@ -97,3 +97,8 @@ def seen_map(points: DataFrame, x: str, y: str, z: str, heading: Column, px: Col
     return occupied_map(d.select(F.col("_m.x").alias("mx"), F.col("_m.y").alias("my"), F.col("_m.z").alias("mz")), "mx", "my", "mz", size, bins, resolution)
 
 
+
+
+def semantic_points(points: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Points with their object's label by id; points of unknown objects go."""
+    return points.join(labels.select(key, label), key)

@@ -935,3 +935,27 @@ def m2(t: Tables) -> DataFrame:
     """Consensus accuracy over all and by two kinds of type (M2: J03, F03, F04, A07, A08)."""
     d = _priorities(t).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "c_nationkey", M.consensus(F.lit("5-LOW"), F.col("answers")).alias("score"))
     return M.by_group(d, ["c_mktsegment", "c_nationkey"], accuracy=F.round(F.avg("score") * 100, 4))
+
+
+@query("j15_semantic_points", _POINTS + "SELECT vec_id, n_name AS label FROM p JOIN nation ON p.scene = n_nationkey")
+def j15(t: Tables) -> DataFrame:
+    labels = t.nation.select(F.col("n_nationkey").alias("scene"), F.col("n_name").alias("label"))
+    return P.semantic_points(_points(t), labels, "scene", "label").select("vec_id", "label")
+
+
+@query("a23_token_totals", "SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')))::BIGINT AS tokens FROM conversations GROUP BY 1")
+def a23(t: Tables) -> DataFrame:
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    return t.conversations.groupBy("conv_id").agg(F.sum(F.size(words)).cast("long").alias("tokens"))
+
+
+@query("f06_f10_match_by_type", "SELECT o_orderstatus::VARCHAR AS type, round(avg((o_orderpriority = '5-LOW')::INT::DOUBLE), 6) AS score FROM orders GROUP BY 1")
+def f06(t: Tables) -> DataFrame:
+    """Equality scores by a typed class."""
+    return t.orders.groupBy(F.col("o_orderstatus").cast("string").alias("type")).agg(r6(F.avg((F.col("o_orderpriority") == "5-LOW").cast("double"))).alias("score"))
+
+
+@query("v04_late_interaction", _DOUBLES + "SELECT vec_id, round(greatest(list_dot_product(v, list_transform(range(0, 64), lambda i: (i % 2)::DOUBLE)), list_dot_product(v, list_transform(range(0, 64), lambda i: (i % 3)::DOUBLE))), 6) AS best FROM e")
+def v04(t: Tables) -> DataFrame:
+    q = F.array(*[F.transform(F.sequence(F.lit(0), F.lit(63)), mod) for mod in (lambda i: (i % 2).cast("double"), lambda i: (i % 3).cast("double"))])
+    return t.embeddings.select("vec_id", r6(V.late_interaction(q, "embedding")).alias("best"))

@@ -222,3 +222,17 @@ def test_row_numbers_follow_the_order(spark):
     got = [(r["a"], r["id"], r["place"]) for r in number_rows(d, ["a", "id"]).collect()]
     assert [x[2] for x in sorted(got)] == list(range(500))
     assert number_rows(d.where("false"), ["a"]).count() == 0
+
+
+def test_boxes_and_cameras_of_either_form(spark):
+    d = spark.createDataFrame([("[1,2,3,4,5,6]",), ("[[1,2,3],[4,5,6]]",), ("[1]",)], "b string")
+    assert [r[0] for r in d.select(G.box_corners(F.col("b"))).collect()] == [[[1, 2, 3], [4, 5, 6]]] * 2 + [None]
+    cam = '{"intrinsic": [[1.0]], "extrinsic": [[2.0]]}'
+    d = spark.createDataFrame([('{"view_params": {"v": %s}}' % cam,), ('{"v": %s}' % cam,)], "d string")
+    assert [r[0]["intrinsic"] for r in d.select(G.view_camera(F.col("d"), F.lit("v"))).collect()] == [[[1.0]]] * 2
+
+
+def test_attention_heads(spark):
+    a = F.array(arr(1, 2), arr(3, 4))
+    assert value(spark, V.weighted_attention(a, F.array(arr(1, -1), arr(1, 1)))) == [2.0, 2.0]
+    assert value(spark, V.late_interaction(a, arr(1, 0))) == 3.0
