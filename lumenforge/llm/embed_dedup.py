@@ -114,7 +114,10 @@ def near_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     member = good.select("id", *group).distinct().join(classes, group)
     reps = good.select("id", *group, "vec").join(classes.withColumnRenamed("rep", "id"), [*group, "id"]).dropDuplicates(["id", *group]).withColumnRenamed("id", "rep")
     reps = materialise(reps.select("rep", "label", "dim", "m", "vec"), "reps")
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # a bounded sample, for pivots alone
+    # some SAMPLE vectors by hash, for pivots alone: rows below a share of the hashes that leaves about so many
+    share = min(1.0, SAMPLE / max(1, reps.count()))
+    chosen = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = sorted(chosen.select("rep", "vec").collect(), key=lambda r: r["rep"])
     pivots: dict[int, np.ndarray] = {}
     for d in {len(r["vec"]) for r in sample}:
         pivots[d // 8] = farthest_first(np.frombuffer(b"".join(r["vec"] for r in sample if len(r["vec"]) == d), dtype=np.float64).reshape(-1, d // 8), PIVOTS)
