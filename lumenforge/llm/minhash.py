@@ -109,7 +109,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _sized(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is known to be small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _pass_signatures(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -276,7 +276,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = small.alias("p").join(small.alias("q"), (F.col("p.bh") == F.col("q.bh")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")))
     more = materialise(few.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "few")
     large = rest.where(F.col("m") > SMALL)
-    if large.limit(1).count():
+    if not large.isEmpty():
         links = links.unionByName(_block_links(df, id_col, text_col, large.select("bh", "id", "c"), k, percent))
     old = component
     links, component = grow(links, more)
