@@ -20,6 +20,8 @@ from .common import ascii_lower, let
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between two words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Fixed by the contract: phrases whose every place counts, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -66,6 +68,12 @@ def index(templates=TEMPLATES) -> tuple[dict[str, float], list[dict]]:
     return idf, out
 
 
+def _gate(phrase: list[str]) -> str:
+    """What any text with the phrase matches, case aside: its longest word, or all of it where that is short and would match everywhere."""
+    longest = max(phrase, key=len)
+    return longest if len(longest) >= 5 else BETWEEN.join(phrase)
+
+
 def _stands(words: Column, at: Column, phrase: list[str]) -> Column:
     ok = F.lit(True)
     for j, w in enumerate(phrase):
@@ -97,12 +105,11 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf, known = index(templates)
     phrases = [(p.split(), label) for p, label in BASE]
     looked = sorted({w for t in known for w, _ in t["anchors"]} | {p[0] for p, _ in phrases})
-    gates = {t["anchors"][0][0] for t in known} | {max(p, key=len) for p, _ in phrases}
-    gates = sorted(g for g in gates if not any(o != g and o in g for o in gates))
+    gates = sorted({_gate(t["key"]) for t in known} | {_gate(p) for p, _ in phrases})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = df.select(F.col(id_col).alias("id"), text.alias("t"))
     d = d.withColumn("n_words", F.regexp_count("t", F.lit(RAW_WORD)).cast("long"))
-    maybe = F.col("t").rlike("(?i)" + "|".join(gates))
+    maybe = F.col("t").rlike("(?i)" + "|".join(g for g in gates if not any(o != g and o in g for o in gates)))
     d = d.withColumn("w", F.when(maybe, F.regexp_extract_all(ascii_lower(F.col("t")), F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))).drop("t")
     d = d.withColumn("h", F.filter(F.transform("w", lambda w, i: F.when(w.isin(looked), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull()))
     words, hits = F.col("w"), F.col("h")
