@@ -153,8 +153,9 @@ def f27(t: Tables) -> DataFrame:
 
 @query("f21_accept_new")
 def f21(t: Tables) -> DataFrame:
-    d = t.documents.groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 3).alias("c")))).alias("s"))
-    return d.select("source", "lang", F.array_join(X.accept_new(F.transform("s", lambda x: x["c"])), "|").alias("accepted"))
+    """Whole turns as captions, in the order of each conversation."""
+    d = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    return d.select("conv_id", F.array_join(X.accept_new(F.filter(F.col("s")["text"], lambda c: c.isNotNull())), "|").alias("accepted"))
 
 
 @query("f25_inverted_index", "SELECT w AS word, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS keys FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark) GROUP BY w")
