@@ -101,6 +101,22 @@ def context_for_answers(df: DataFrame, key: str, answers: str, captions: str) ->
     return df.select(key, fold.alias("contexts"))
 
 
+def first_captions(df: DataFrame, key: str, caption: str, answers: Sequence[str]) -> DataFrame:
+    """(key, answers, captions) of every key for context_for_answers(): of each answer the first different captions that mention it, in order.
+
+    An answer finds at most len(answers) - 1 captions used, so the first len(answers) that mention it hold its pick,
+    whatever the length of the captions or the number of a key's rows; no key's captions are gathered whole.
+    """
+    a = F.array(*[F.lit(x) for x in answers])
+    held = df.select(F.col(key).alias("_key"), F.col(caption).alias("_caption"), F.explode(F.array_distinct(a)).alias("_answer")).where(F.col("_caption").contains(F.col("_answer")))
+    w = W.partitionBy("_key", "_answer").orderBy("_caption")
+    first = held.withColumn("_place", F.dense_rank().over(w)).where(F.col("_place") <= len(answers))
+    first = first.groupBy("_key").agg(F.array_sort(F.collect_set("_caption")).alias("captions"))
+    keys = df.select(key).distinct()
+    none = F.array().cast("array<string>")
+    return keys.join(first, keys[key].eqNullSafe(first["_key"]), "left").select(key, a.alias("answers"), F.coalesce("captions", none).alias("captions"))
+
+
 def inverted_index(df: DataFrame, key: str, text: str, word: str = "word") -> DataFrame:
     """(word, keys): the sorted distinct keys of the texts that hold each word."""
     from .captions import tokens
