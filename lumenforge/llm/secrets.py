@@ -22,6 +22,7 @@ CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pwd|pass(?:phrase|code)?|credentials?|a
 #: RE2 forms of what a text must hold for any of the patterns to match; ACCESS and HEX are their own.
 HAS_NAME = r"passw|secret|token|api_?key|pwd|pass|credential|auth|private[_ -]?key|access[_ -]?key|client[_ -]?id|signing[_ -]?key"
 KINDS = ("assign", "access", "hex", "guess")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Frequent parts of chosen passwords, by rank.
 COMMON = "password pass admin root user login welcome letmein secret token test demo default changeme example master monkey dragon shadow sunshine princess football baseball superman batman hello freedom whatever trust hunter summer winter spring autumn love money access server database public private key none null true false enabled disabled your here insert placeholder sample string value name company january february march april june july august september october november december monday friday sunday".split()
@@ -100,15 +101,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _like_words(value: str) -> bool:
+    """Whether prose could read like the value: no digit, and every run of letters in one case or capitalised. Brute force overrates words that COMMON lacks."""
+    return not any(c.isdigit() for c in value) and all(w in (w.lower(), w.upper(), w.capitalize()) for w in _LETTERS.findall(value))
+
+
 def guessed_spans(text: str, least: float) -> tuple[list[tuple[int, int, int]], float]:
-    """Values in a credential's place that take 10 ** least guesses or more, and the largest cost seen in any such place."""
+    """Values in a credential's place that take 10 ** least guesses or more, and the largest cost seen in any such place.
+
+    The cost alone decides; after a name of CONTEXT, which prose has too, a value that reads like words takes 10 ** (2 * least).
+    """
     out, most = [], 0.0
     for m in CONTEXT.finditer(text):
         value = m.group(2).rstrip(".!?)]}")
         if len(value) >= 6:
             cost = guess_cost(value)
             most = max(most, cost)
-            if cost >= least and any(c.isdigit() for c in value):
+            if cost >= (2 * least if _like_words(value) else least):
                 out.append((m.start(2), 3, m.start(2) + len(value)))
     for m in ASSIGN.finditer(text):
         if len(m.group(2)) >= 6:
