@@ -16,36 +16,40 @@ class LinearChainCRF:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.emit[x].sum(axis=-2)
 
-    def _forward_backward(self, e: np.ndarray):
-        t, k = e.shape
-        a, b = np.empty((t, k)), np.zeros((t, k))
-        a[0] = self.start + e[0]
+    def _forward_backward(self, e: np.ndarray, lengths: np.ndarray):
+        """Log sums up to and after each token, and over all labellings, of a padded batch e [sequence, token, label]."""
+        n, t, k = e.shape
+        a, b = np.empty((n, t, k)), np.zeros((n, t, k))
+        a[:, 0] = self.start + e[:, 0]
         for i in range(1, t):
-            a[i] = e[i] + _lse(a[i - 1][:, None] + self.move, 0)
+            a[:, i] = e[:, i] + _lse(a[:, i - 1, :, None] + self.move, 1)
         for i in range(t - 2, -1, -1):
-            b[i] = _lse(self.move + (e[i + 1] + b[i + 1])[None, :], 1)
-        z = _lse(a[-1], 0)
+            inside = (i + 1 < lengths)[:, None]
+            b[:, i] = np.where(inside, _lse(self.move + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2), 0.0)
+        z = _lse(a[np.arange(n), lengths - 1], 1)
         return a, b, z
 
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 0.01) -> LinearChainCRF:
         """Batch gradient ascent on the regularised log likelihood, steps scaled per weight by past gradients (Adagrad)."""
         params = [self.emit, self.move, self.start]
         past = [np.full_like(p, 1e-6) for p in params]
+        lengths = np.array([len(y) for _, y in sequences])
+        inside = np.arange(lengths.max()) < lengths[:, None]
+        x, y = np.concatenate([x for x, _ in sequences]), np.concatenate([y for _, y in sequences])
+        gold = np.zeros((*inside.shape, len(self.start)))
+        gold[inside] = np.eye(len(self.start))[y]
+        follows = inside[:, 1:]
+        moves = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+        e = np.zeros_like(gold)
         for _ in range(rounds):
             grads = [-decay * p for p in params]
-            for x, y in sequences:
-                e = self.scores(x)
-                a, b, z = self._forward_backward(e)
-                node = np.exp(a + b - z)
-                gold = np.zeros_like(node)
-                gold[np.arange(len(y)), y] = 1
-                diff = gold - node
-                np.add.at(grads[0], x.ravel(), np.repeat(diff, x.shape[1], axis=0))
-                grads[2] += diff[0]
-                for i in range(1, len(y)):
-                    pair = np.exp(a[i - 1][:, None] + self.move + (e[i] + b[i])[None, :] - z)
-                    grads[1] -= pair
-                    grads[1][y[i - 1], y[i]] += 1
+            e[inside] = self.scores(x)
+            a, b, z = self._forward_backward(e, lengths)
+            diff = gold - np.exp(a + b - z[:, None, None])
+            np.add.at(grads[0], x.ravel(), np.repeat(diff[inside], x.shape[1], axis=0))
+            grads[2] += diff[:, 0].sum(0)
+            pair = (a[:, :-1, :, None] + self.move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])[follows]
+            grads[1] += moves - np.exp(pair).sum(0)
             for p, g, s in zip(params, grads, past, strict=True):
                 s += g * g
                 p += rate * g / np.sqrt(s)

@@ -99,16 +99,43 @@ def shape(token: str) -> str:
     return token if token in "+-()./:@#[]{}<>,;=!?'\"" else "sym"
 
 
-def _features(shapes: list[str]) -> list[tuple[str, ...]]:
-    n, out, cue = len(shapes), [], ("none", 99)
-    for i, s in enumerate(shapes):
-        at = lambda k: shapes[k] if 0 <= k < n else "edge"  # noqa: E731, B023
-        near = cue[0] if i - cue[1] <= 6 else "none"
-        digit = s[0] == "9" and len(s) > 1
-        out.append((f"s={s}", f"p={at(i - 1)}|{s}", f"n={s}|{at(i + 1)}", f"q={at(i - 2)}|{at(i - 1)}|{s[:1]}", f"m={s[:1]}|{at(i + 1)}|{at(i + 2)}", f"c={near}|{s}", f"d={near}|{digit}"))
-        if s.startswith("cue:") and s[4:] in ("tel", "id", "mail"):
-            cue = (s[4:], i)
-    return out
+_SHAPES = {x: i for i, x in enumerate(["edge", *(f"cue:{k}" for k in CUES), *(f"9{n}" for n in range(1, 13)), "9x", "XX", "X", "Xx", "x", "sym", *"+-()./:@#[]{}<>,;=!?'\""])}
+_HEAD = np.array([{c: i for i, c in enumerate(dict.fromkeys(x[0] for x in _SHAPES))}[x[0]] for x in _SHAPES])
+_DIGIT = np.array([x[0] == "9" for x in _SHAPES])
+#: What a token announces: 1 to 3 for a cue of tel, id or mail.
+_NEAR = np.array([1 + ["cue:tel", "cue:id", "cue:mail"].index(x) if x in ("cue:tel", "cue:id", "cue:mail") else 0 for x in _SHAPES])
+#: So many tokens back a cue counts, over line ends too.
+REACH = 6
+
+
+class _Numbers(dict):
+    """Number of each token's shape; forgets all when it gets large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[token] = _SHAPES[shape(token)]
+        return n
+
+
+def _features(lines: list[list[int]], before: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes [token, slot] of all lines' tokens, where each line starts) for the shapes of lines and of up to REACH tokens before each."""
+    starts, a, c = [], [], []
+    for x, b in zip(lines, before, strict=True):
+        a += [0] * REACH
+        c += [*[0] * (REACH - len(b)), *b, *x]
+        starts.append(len(a))
+        a += x
+    a = np.array([*a, 0, 0])
+    cue = _NEAR[np.array([*c, 0, 0])]
+    at = np.arange(len(a))
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(cue > 0, at, -1))[:-1]])
+    near = np.where((last >= 0) & (at - last <= REACH), cue[last], 0)
+    back = lambda k: np.concatenate([np.zeros(k, a.dtype), a[:-k]])
+    on = lambda k: np.concatenate([a[k:], np.zeros(k, a.dtype)])
+    h = _HEAD[a]
+    slots = [a, back(1) << 6 | a, a << 6 | on(1), back(2) << 12 | back(1) << 6 | h, h << 12 | on(1) << 6 | on(2), near << 6 | a, near << 1 | _DIGIT[a]]
+    return np.stack([x | k << 18 for k, x in enumerate(slots)], axis=1), np.array(starts)
 
 
 def training_table(seed: int = 5, repeats: int = 4) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -121,6 +148,9 @@ def training_table(seed: int = 5, repeats: int = 4) -> list[tuple[str, list[tupl
     ids = [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f"ES{d(22)}", lambda: f"{d(8)}{r.choice('ABCDEFGH')}", lambda: f"C{d(8)}"]
     box = [lambda: f"{w()} at {w()} dot {r.choice(['com', 'org', 'net'])}", lambda: f"{w()} [at] {w()} [dot] {r.choice(['com', 'de', 'es'])}", lambda: f"{w()}(at){w()}(dot)com"]
     plain = [lambda: f"{w()} {d(1)}.{d(1)}.", lambda: f"Version {d(1)}.{d(1)}", lambda: d(16), lambda: f"{d(4)}", lambda: f"{d(2)}", lambda: f"version {d(1)}.", lambda: f"$ {d(3)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"page {d(3)}", lambda: f"{d(3)}.{d(2)}.{d(3)}.{d(2)}", lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{w()}@{w()}.com", lambda: f"chapter {d(2)}, section {d(1)}", lambda: f"{d(3)} {w()} {d(4)}", lambda: f'"{d(2)}a{d(3)}b{d(4)}c{d(2)}f"', lambda: f"{w()} at {w()}", lambda: f"{d(3)}-{d(4)} pages", lambda: f"{d(1)}/{d(2)} and {d(2)}-{d(2)}"]
+    x = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    u, c = lambda: w().upper(), lambda: w().capitalize()
+    prose = [lambda: f"{c()} {w()} {w()}.", lambda: f"A {w()}, {w()} a {w()}.", lambda: f"{c()}, {w()} at {w()}.", lambda: f"{u()}!! AT!! {u()},!! A!! {u()}.!!", lambda: f"{u()} AT {u()}", lambda: f"I {w()} at {c()} {c()}", lambda: f"{c()} {d(2)} {w()} at {d(1)}:{d(2)}.", lambda: f"{c()} {w()} at {w()} {w()}, {w()} com {w()}.", lambda: f"{c()}. A {w()} es {w()} de {w()}.", lambda: f"({c()}) at {d(3)} {c()}", lambda: f"{u()}!! {d(4)}!! NO.!! {u()} {c()[:2]}!!", lambda: f'{u()} = "{d(4)}A{d(1)}EC{d(1)}F{d(2)}B"!!', lambda: f"DE {w()} {c()[:2].upper()} {w()} C {w()} ES", lambda: f'"{x(32)}"### {w()}###', lambda: f'= "{x(32)}" {w()}']
     out: list[tuple[str, list[tuple[int, int, str]]]] = []
 
     def row(before: str, value: str, label: str) -> None:
@@ -137,6 +167,17 @@ def training_table(seed: int = 5, repeats: int = 4) -> list[tuple[str, list[tupl
         for f in plain:
             row(r.choice(["", w(), w() + ",", "the", "token =", "see"]), f(), "")
         row("", words(), "")
+    for _ in range(repeats):  # spans that nothing announces
+        for forms, label in ((tel, "tel"), (ids, "id"), (box, "mailbox")):
+            for f in forms:
+                row(r.choice(["", w(), w() + ",", w() + " |"]), f(), label)
+                value = f()
+                out.append((value, [(0, len(value), label)]))
+        for f in plain:
+            row(r.choice(["", w(), w() + ",", w() + " |"]), f(), "")
+            out.append((f(), []))
+        for f in prose:
+            out.append((" ".join(f() for _ in range(r.randint(1, 4))), []))
     return out
 
 
@@ -144,19 +185,22 @@ class Tagger:
     """The trained field with its feature table; pickled to the workers."""
 
     def __init__(self, table: list[tuple[str, list[tuple[int, int, str]]]]):
-        ids: dict[str, int] = {"?": 0}
+        self._numbers = _Numbers()
+        ids: dict[int, int] = {-1: 0}
         data = []
         for line, spans in table:
             tokens = list(_TOKEN.finditer(line))
             if not tokens:
                 continue
-            x = [[ids.setdefault(f, len(ids)) for f in fs] for fs in _features([shape(m.group()) for m in tokens])]
+            codes, starts = _features([self.shapes(line)], [[]])
+            x = [[ids.setdefault(f, len(ids)) for f in fs] for fs in codes[starts[0] : starts[0] + len(tokens)].tolist()]
             y = []
             for m in tokens:
                 tag = next(((lb, s) for s, e, lb in spans if s <= m.start() < e), None)
                 y.append(LABELS.index(f"{'B' if m.start() == tag[1] else 'I'}-{tag[0]}") if tag else 0)
             data.append((np.array(x), np.array(y)))
-        self.ids = ids
+        self.codes = np.array(sorted(ids))
+        self.rows = np.array([ids[f] for f in self.codes.tolist()])
         self.crf = LinearChainCRF(len(ids), len(LABELS)).fit(data)
         for j in range(len(LABELS)):  # a span begins with B and goes on with I
             for i in range(len(LABELS)):
@@ -164,40 +208,50 @@ class Tagger:
                     self.crf.move[i, j] = -1e4
             if LABELS[j][0] == "I":
                 self.crf.start[j] = -1e4
-        self._rows: dict[tuple[str, ...], list[int]] = {}
-
-    def _row(self, fs: tuple[str, ...]) -> list[int]:
-        row = self._rows.get(fs)
-        if row is None:
-            if len(self._rows) > 200_000:
-                self._rows.clear()
-            row = self._rows[fs] = [self.ids.get(f, 0) for f in fs]
-        return row
-
-    def tag(self, lines: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Spans (start, end, label) of each line; lines of like length are decoded together."""
+
+    def shapes(self, line: str) -> list[int]:
+        n = self._numbers
+        return [n[t] for t in _TOKEN.findall(line)]
+
+    def last_shapes(self, text: str, end: int) -> list[int]:
+        """Shapes of the last REACH tokens before a place where a line begins."""
+        start = end
+        while start > 0:
+            start = max(0, start - 200)
+            found = self.shapes(text[start:end])
+            if len(found) > REACH or start == 0:  # the first one may be cut
+                return found[-REACH:]
+        return []
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.crf.scores(np.where(self.codes[at] == codes, self.rows[at], 0))
+
+    def tag(self, lines: list[str], before: list[list[int]] | None = None) -> list[list[tuple[int, int, str]]]:
+        """Spans (start, end, label) of each line, given the shapes before it; lines of like length are decoded together."""
         found: list[list[tuple[int, int, str]]] = [[] for _ in lines]
-        tokens = [list(_TOKEN.finditer(x)) for x in lines]
-        order = sorted((i for i in range(len(lines)) if tokens[i]), key=lambda i: len(tokens[i]))
+        shapes = [self.shapes(x) for x in lines]
+        order = sorted((i for i in range(len(lines)) if shapes[i]), key=lambda i: len(shapes[i]))
         at = 0
         while at < len(order):
             part, size = [], 0
-            while at < len(order) and (not part or size + len(tokens[order[at]]) <= 60_000):
+            while at < len(order) and (not part or size + len(shapes[order[at]]) <= 60_000):
                 part.append(order[at])
-                size += len(tokens[order[at]])
+                size += len(shapes[order[at]])
                 at += 1
-            lengths = np.array([len(tokens[i]) for i in part])
+            lengths = np.array([len(shapes[i]) for i in part])
+            codes, starts = _features([shapes[i] for i in part], [before[i] if before else [] for i in part])
+            inside = np.arange(lengths.max()) < lengths[:, None]
             e = np.zeros((len(part), lengths.max(), len(LABELS)))
-            for k, i in enumerate(part):
-                x = np.array([self._row(fs) for fs in _features([shape(m.group()) for m in tokens[i]])])
-                e[k, : lengths[k]] = self.crf.scores(x)
+            e[inside] = self.scores(codes[(starts[:, None] + np.arange(lengths.max()))[inside]])
             best = self.crf.decode(e, lengths)
-            for k, i in enumerate(part):
-                start = None
+            for k in np.flatnonzero((best > 0).any(1)).tolist():
+                i, start = part[k], None
+                tokens = list(_TOKEN.finditer(lines[i]))
                 for j in range(lengths[k] + 1):
                     label = LABELS[best[k, j]] if j < lengths[k] else "O"
                     if start is not None and label[0] != "I":
-                        found[i].append((tokens[i][start].start(), tokens[i][j - 1].end(), LABELS[best[k, start]][2:]))
+                        found[i].append((tokens[start].start(), tokens[j - 1].end(), LABELS[best[k, start]][2:]))
                         start = None
                     if label[0] == "B":
                         start = j
@@ -208,7 +262,9 @@ class Tagger:
 
 SCHEMA = T.StructType([*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_found", T.LongType())])
 _EMPTY = hashlib.sha256(b"").hexdigest()
-_LIKELY = re.compile(r"\d{2}|\bat\b|\barroba\b", re.I)
+#: No span of the field is without a digit or an at word.
+_LIKELY = re.compile(r"\d|(?<![^\W\d_])(?:" + "|".join(CUES["at"]) + r")(?![^\W\d_])", re.I)
+_MAYBE = r"\p{Nd}|@|(?:^|\PL)(?:" + "|".join(CUES["at"]) + r")(?:\PL|$)"
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -218,21 +274,23 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan_batch(texts: pa.Array, tagger: Tagger) -> list[tuple]:
     """A row of SCHEMA for each text. A span needs a digit or an at sign or its word; RE2 picks the texts that have one."""
     rows: list[tuple] = [(0, 0, 0, 0, _EMPTY, "", 0)] * len(texts)
-    maybe = pc.match_substring_regex(texts, pattern=r"\d|@|\b(at|arroba)\b", ignore_case=True)
+    maybe = pc.match_substring_regex(texts, pattern=_MAYBE, ignore_case=True)
     owners: list[tuple[int, int]] = []
     lines: list[str] = []
+    before: list[list[int]] = []
     held: dict[int, list[tuple[int, int, int]]] = {}
     for i in pc.indices_nonzero(maybe).to_pylist():
         text = texts[i].as_py()
         held[i] = base_spans(text)
         start = 0
         for line in text.split("\n"):
-            if _LIKELY.search(line) and _cued(line):
+            if _LIKELY.search(line):
                 owners.append((i, start))
                 lines.append(line)
+                before.append(tagger.last_shapes(text, start))
             start += len(line) + 1
     extra: dict[int, list[tuple[int, int, int]]] = {}
-    for (i, start), spans in zip(owners, tagger.tag(lines), strict=True):
+    for (i, start), spans in zip(owners, tagger.tag(lines, before), strict=True):
         for s, e, label in spans:
             s, e = s + start, e + start
             if not any(a < e and s < b for a, _, b in held[i]):
@@ -245,14 +303,6 @@ def scan_batch(texts: pa.Array, tagger: Tagger) -> list[tuple]:
     return rows
 
 
-_CUED = re.compile(r"\b(?:" + "|".join(sorted({w for k in ("tel", "id", "mail") for w in CUES[k]}, key=len, reverse=True)) + r")\b", re.I)
-
-
-def _cued(line: str) -> bool:
-    """Whether a word of the line announces a span; the training table labels none without one."""
-    return _CUED.search(line) is not None
-
-
 def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list | None = None) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) of every row.
 
