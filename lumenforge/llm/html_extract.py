@@ -67,7 +67,7 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.hidden:
-            if tag == "body" and self.hidden[0] == "head":
+            if self.hidden[0] == "head" and (tag == "body" or (tag in BLOCKS and tag != "html" and len(self.hidden) == 1)):
                 self.hidden.clear()
             else:
                 if tag == self.hidden[-1] and tag not in VOID:
