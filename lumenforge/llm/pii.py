@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,18 +72,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the conditional random field ---------------------------------------------------------------------------
 
 LABELS = ("O", "B-tel", "I-tel", "B-id", "I-id", "B-mailbox", "I-mailbox")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_", re.U)
-#: Words before or within the spans to find, by what they announce.
+#: A token with the white space before it: letters, digits, or one mark.
+_TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)", re.U)
+#: Words that announce a span, stand within one, or say that a number is something else.
 CUES = {
-    "tel": "phone tel telephone mobile cell call fax telefon teléfono téléphone handy whatsapp".split(),
-    "id": "ssn social passport iban account tax nif dni nie ausweis passnummer konto steuer license licence permit national identity sozialversicherung".split(),
-    "mail": "email mail e contact write reach correo courriel".split(),
+    "tel": "phone tel telephone mobile cell call fax telefon teléfono téléphone handy whatsapp ring rufen text sms móvil portable".split(),
+    "id": "ssn social passport iban account acct tax nif dni nie nino ausweis passnummer konto steuer license licence permit national identity sozialversicherung passeport pasaporte reisepass cuenta compte patient".split(),
+    "mail": "email mail e contact write reach correo courriel mailto inbox".split(),
     "num": "no number nr num nummer numéro número id".split(),
+    "other": "version page pages chapter section figure table isbn issn order invoice ref ticket room bus line lines model part item sku build commit release issue vol volume year zip score port token kapitel seite página versión article paragraph step step row rows code tracking batch serial factura bestellung commande rechnung".split(),
     "at": ["at", "arroba", "chez"],
     "dot": ["dot", "punkt", "punto", "point"],
-    "top": "com org net edu gov de fr es io".split(),
+    "top": "com org net edu gov de fr es io uk info".split(),
+    "unit": "am pm km kg cm mm mb gb ms s h usd eur euros dollars percent years days hours minutes january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec".split(),
 }
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
+#: No span of the field is without a digit, an at sign or an at word.
+_LIKELY = re.compile(r"[\d@]|(?<![^\W\d_])(?:" + "|".join(CUES["at"]) + r")(?![^\W\d_])", re.I)
+_MARKS = "+-()./:@#[]{}<>,;=!?'\"|$€%*"
 
 
 def shape(token: str) -> str:
@@ -93,111 +101,303 @@ def shape(token: str) -> str:
         cue = _CUE.get(token.lower())
         if cue:
             return f"cue:{cue}"
-        if len(token) == 2 and token.isupper():
+        if len(token) <= 2 and token.isupper():
             return "XX"
         return "X" if token.isupper() else "Xx" if c.isupper() else "x"
-    return token if token in "+-()./:@#[]{}<>,;=!?'\"" else "sym"
+    return token if token in _MARKS else "sym"
 
 
-_SHAPES = {x: i for i, x in enumerate(["edge", *(f"cue:{k}" for k in CUES), *(f"9{n}" for n in range(1, 13)), "9x", "XX", "X", "Xx", "x", "sym", *"+-()./:@#[]{}<>,;=!?'\""])}
+_SHAPES = {x: i for i, x in enumerate(["edge", *(f"cue:{k}" for k in CUES), *(f"9{n}" for n in range(1, 13)), "9x", "XX", "X", "Xx", "x", "sym", *_MARKS])}
 _HEAD = np.array([{c: i for i, c in enumerate(dict.fromkeys(x[0] for x in _SHAPES))}[x[0]] for x in _SHAPES])
 _DIGIT = np.array([x[0] == "9" for x in _SHAPES])
-#: What a token announces: 1 to 3 for a cue of tel, id or mail.
-_NEAR = np.array([1 + ["cue:tel", "cue:id", "cue:mail"].index(x) if x in ("cue:tel", "cue:id", "cue:mail") else 0 for x in _SHAPES])
+#: What a token announces: 1 for a number's word, 2 to 5 for a cue of other, tel, id or mail.
+_CALLS = ("cue:other", "cue:tel", "cue:id", "cue:mail")
+_NEAR = np.array([1 + _CALLS.index(x) if x in _CALLS else 0 for x in _SHAPES])
 #: So many tokens back a cue counts, over line ends too.
 REACH = 6
+#: A token's number is its shape and, in this bit, whether it follows the last one without white space.
+GLUED = 64
 
 
 class _Numbers(dict):
-    """Number of each token's shape; forgets all when it gets large."""
+    """Number of each token; forgets all when it gets large."""
 
     def __missing__(self, token: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        n = self[token] = _SHAPES[shape(token)]
+        bare = token.lstrip()
+        n = self[token] = _SHAPES[shape(bare)] | (GLUED if len(bare) == len(token) else 0)
         return n
 
 
-def _features(lines: list[list[int]], before: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes [token, slot] of all lines' tokens, where each line starts) for the shapes of lines and of up to REACH tokens before each."""
+def _features(parts: list[list[int]], before: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes [token, slot] of all parts' tokens, where each part starts) for the numbers of parts and of up to REACH tokens before each."""
     starts, a, c = [], [], []
-    for x, b in zip(lines, before, strict=True):
+    for x, b in zip(parts, before, strict=True):
         a += [0] * REACH
         c += [*[0] * (REACH - len(b)), *b, *x]
         starts.append(len(a))
         a += x
     a = np.array([*a, 0, 0])
-    cue = _NEAR[np.array([*c, 0, 0])]
+    glued, a = a >> 6, a & (GLUED - 1)
+    cue = _NEAR[np.array([*c, 0, 0]) & (GLUED - 1)]
     at = np.arange(len(a))
     last = np.concatenate([[-1], np.maximum.accumulate(np.where(cue > 0, at, -1))[:-1]])
     near = np.where((last >= 0) & (at - last <= REACH), cue[last], 0)
-    back = lambda k: np.concatenate([np.zeros(k, a.dtype), a[:-k]])
-    on = lambda k: np.concatenate([a[k:], np.zeros(k, a.dtype)])
-    h = _HEAD[a]
-    slots = [a, back(1) << 6 | a, a << 6 | on(1), back(2) << 12 | back(1) << 6 | h, h << 12 | on(1) << 6 | on(2), near << 6 | a, near << 1 | _DIGIT[a]]
-    return np.stack([x | k << 18 for k, x in enumerate(slots)], axis=1), np.array(starts)
-
-
-def training_table(seed: int = 5, repeats: int = 4) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The labelled table: (line, spans). Small, made from a rule: patterns of contact lines and of lines with other numbers, filled with seeded digits."""
+    back = lambda x, k: np.concatenate([np.zeros(k, x.dtype), x[:-k]])
+    on = lambda x, k: np.concatenate([x[k:], np.zeros(k, x.dtype)])
+    h, g1 = _HEAD[a], on(glued, 1)
+    slots = [
+        a << 2 | glued << 1 | g1,
+        (back(a, 1) << 6 | a) << 1 | glued,
+        (a << 6 | on(a, 1)) << 1 | g1,
+        back(a, 2) << 12 | back(a, 1) << 6 | h,
+        h << 12 | on(a, 1) << 6 | on(a, 2),
+        (back(h, 1) << 6 | h) << 6 | on(h, 1),
+        near << 6 | a,
+        near << 3 | _DIGIT[a] << 2 | _DIGIT[back(a, 1)] << 1 | _DIGIT[on(a, 1)],
+        (back(glued, 1) << 3 | glued << 2 | g1 << 1 | on(glued, 2)) << 6 | a,
+    ]
+    return np.stack([x | k << 19 for k, x in enumerate(slots)], axis=1), np.array(starts)
+
+
+#: The labelled table: lines as they stand in mails, forms, posts, tables and prose, spans marked {label|span}. Every 9 is any
+#: digit, every Q any letter; ~ is a word or a few.
+LABELLED = """
+Phone: {tel|(999) 999-9999}
+Tel.: {tel|999-999-9999}, Fax: {tel|999-999-9999}
+Call me on {tel|07999 999999} after ~.
+tel {tel|999.999.9999}
+~ reach us at {tel|1-800-999-9999} for ~
+Mobile no. {tel|09999/9999999}
+Telefon: {tel|(0999) 999 99 99}
+Téléphone : {tel|09 99 99 99 99}
+Teléfono {tel|999 999 999}
+Handy {tel|0999 9999999}, Büro {tel|099 999999-99}
+WhatsApp {tel|9999999999}
+~, {tel|(999) 999-9999} ~ ask for ~
+My cell is {tel|999 999 9999}.
+or ring {tel|020 9999 9999} between 9am and 9pm
+{tel|999-999-9999}
+{tel|(999) 999-9999}
+~ | {tel|999-999-9999} | ~
+{tel|09 99 99 99 99}
+{tel|0999 999 9999}
+~ Xx, {tel|999.999.9999}, ~
+Contact Ann: {tel|(999)999-9999}
+T {tel|0999 / 99 99 99} F {tel|0999 / 99 99 99}
+Ms. Xx ({tel|999-999-9999})
+SSN: {id|999-99-9999}
+~ social security number {id|999-99-9999} ~
+{id|999-99-9999}
+~ | {id|999-99-9999} | ~
+IBAN: {id|DE99 9999 9999 9999 9999 99}
+IBAN {id|ES9999999999999999999999}
+{id|FR99 9999 9999 9999 9999 9999 999}
+{id|GB99 QQQQ 9999 9999 9999 99}
+Transfer to {id|NL99 QQQQ 9999 9999 99}, ~
+DNI {id|99999999Q}
+NIE: {id|Q9999999Q}
+dni: {id|99999999-Q} ~
+{id|99999999Q}
+Passport no. {id|Q99999999}
+passport number {id|QQ9999999}, issued ~
+Reisepass {id|Q99Q99Q99}
+NI number {id|QQ 99 99 99 Q}
+national insurance: {id|QQ999999Q}
+Steuer-ID {id|99 999 999 999}
+Tax ID {id|99-9999999}
+account number {id|99999999}
+Account no: {id|9999 9999 99}
+Kontonummer {id|9999999999}
+patient id {id|9999999} ~
+driver's license {id|Q999-9999-9999}
+driving licence {id|QQQQQ999999QQ9QQ}
+write to {mailbox|anna at web dot de}
+{mailbox|anna [at] web [dot] de}
+email: {mailbox|j.smith(at)firm(dot)com}
+mail {mailbox|info at city-hall dot org} ~
+contact: {mailbox|peter AT host DOT net}
+{mailbox|luis arroba correo punto es}
+correo: {mailbox|ana.ruiz arroba uni punto edu}
+courriel {mailbox|marie chez poste point fr}
+{mailbox|first.last [at] lab.uni.edu}
+~, {mailbox|kim {at} mail {dot} com}, ~
+e-mail {mailbox|bob99 at server dot io}
+{mailbox|max_muster (at) web (punkt) de}
+reach me: {mailbox|sue <at> box <dot> org}
+{mailbox|a.b at c.com}
+Email {mailbox|team @ group . org}
+~ ~ at ~ ~.
+~ at ~, ~ at ~ ~
+~ at 9:99 pm ~
+met at 99 Xx Street, Xx
+~ at X Xx. De ~ ~
+Look at me! ~ at all
+~ com ~ at ~ de ~.
+I stayed at Xx. Com pare ~
+AT! ~ AT ~!! NO!! AT!!
+~ at the dot com bubble ~
+A point at which ~ fr ~
+chez Xx, ~ point ~ de ~
+~ chez ~ de ~
+Released under version 9.9.9
+Version 9.9
+licensed under the Xx License, Version 9.9.
+version 9. ~
+chapter 99, section 9
+Figure 9.99 shows 999 of 9,999 ~
+page 999-999
+pp. 999-9999
+on 99.99.9999 ~
+9999-99-99
+99/99/9999 ~
+9999-99-99T99:99:99Z
+99:99:99,999 --> 99:99:99,999
+~ in 9999, ~ in 9999-99
+between 9999 and 9999
+$ 999.99
+$9,999,999
+€ 99,99 ~
+~ 99 % ~ 9.9%
+99 km, 999 kg
+order 999-9999999-9999999
+Order #99999999
+invoice 9999-99999 ~
+ISBN 999-9-99-999999-9
+ISBN 9-999-99999-9
+ISSN 9999-999Q
+ticket 999999
+~ 999.999.999.999 ~
+999.999.9.9:9999
++9 (999) 999-9999
++99 99 999 9999 ~
+~ user@host9.com ~
+~ 9999 9999 9999 9999 ~
+9999999999999999
+~ 9999999999999999 ~
+Xx. De 9999999999999999 ~
+de 9999999999999999 la ~
+X!! 9999999999999999!! X!!
+99999999999999 ~
+token = "9q9q9q9q9q999q9q9999999q99q99q999"
+"99q99q99999q99q9q999q9999q999" ~
+q99999999q q9999999qqq99q
+sha 9999999q99qq9999q9
+0x9QQ9 99QQ99
+commit 999q9q9
+id="sec-99" width="999" height="99"
+x9 = 99 * y9 + 9
+a[9] = b[99][999]
+for i in range(999):
+line 999, in ~
+port 9999
+room 99Q, floor 9
+bus 999 to Xx
+QQ-999-QQ
+model Q9999
+Q99 9QQ
+size 99-99-99
+serial QQ9999999999
+SKU 99999-999
+part 999-9999
+zip 99999-9999
+Xx, QQ 99999
+score 99-99, 999-99
+9-9-9-9-9-9
+9 999 999 ~
+99,999,999.99 ~
+~ 9. ~ 99. ~ 999.
+(9999) 99 (9), 999-999
+doi 99.9999/9999.99.999
+1. ~ 2. ~ 3. ~
+[9] [99] [999]
+{"a": 999, "b": [9, 99, 999.9]}
+99 | 999 | 9999 | 99999
+9,99 9,99 99,99
+No. 9 of 99
+number 999 ~
+call 99 of them
+account for 99 of ~
+tax of 99.9 percent
+social media 9999
+~ mail 9 times
+e.g. 999
+!! ~!! 9999!! ~!! 99!!
+### 99%%% ~$$$ 999&&& ~*** 9### +9 (999) 999-9999%%%
+~&&& ~&&& ~%%% at$$$ ~*** the&&& ~&&& ~
+~*** was&&& ~### ~&&& at%%% a&&& ~$$$ the&&& of%%%
+~. The ~ es ~, from ~, fr ~. An ~ io ~
+~ ~ ~ ~ ~ ~ ~ ~, ~ ~ ~. At ~ ~ ~ ~
+<div id="x99"><a href="#at">~</a> & ~ | ~</div>
+if (a && b || c > 9) { return x[9]; }
+~ -- ~ -- 99 ~ -- ~ (~) ~ [~] ~ {~} ~
+@user9 ~ #tag99 ~ @other
+/path/to/file99.txt at line 99
+at com.server.Xx.run(Xx.java:99)
+~ | ~ | ~ | ~ | 9 | ~
+| ~ | ~ | 99 | 9.9 |
+""".strip().split("\n")
+
+
+def training_table(seed: int = 5, repeats: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(line, spans) for training: every labelled line `repeats` times, with seeded digits, letters and words."""
     r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice(["th", "er", "on", "le", "que", "ción", "ein", "re", "an", "st"]) for _ in range(r.randint(1, 4)))
-    words = lambda: " ".join(w() for _ in range(r.randint(0, 5)))
-    tel = [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"0{d(3)}/{d(7)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}"]
-    ids = [lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", lambda: f"ES{d(22)}", lambda: f"{d(8)}{r.choice('ABCDEFGH')}", lambda: f"C{d(8)}"]
-    box = [lambda: f"{w()} at {w()} dot {r.choice(['com', 'org', 'net'])}", lambda: f"{w()} [at] {w()} [dot] {r.choice(['com', 'de', 'es'])}", lambda: f"{w()}(at){w()}(dot)com"]
-    plain = [lambda: f"{w()} {d(1)}.{d(1)}.", lambda: f"Version {d(1)}.{d(1)}", lambda: d(16), lambda: f"{d(4)}", lambda: f"{d(2)}", lambda: f"version {d(1)}.", lambda: f"$ {d(3)}.{d(2)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"page {d(3)}", lambda: f"{d(3)}.{d(2)}.{d(3)}.{d(2)}", lambda: f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", lambda: f"{w()}@{w()}.com", lambda: f"chapter {d(2)}, section {d(1)}", lambda: f"{d(3)} {w()} {d(4)}", lambda: f'"{d(2)}a{d(3)}b{d(4)}c{d(2)}f"', lambda: f"{w()} at {w()}", lambda: f"{d(3)}-{d(4)} pages", lambda: f"{d(1)}/{d(2)} and {d(2)}-{d(2)}"]
-    x = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
-    u, c = lambda: w().upper(), lambda: w().capitalize()
-    prose = [lambda: f"{c()} {w()} {w()}.", lambda: f"A {w()}, {w()} a {w()}.", lambda: f"{c()}, {w()} at {w()}.", lambda: f"{u()}!! AT!! {u()},!! A!! {u()}.!!", lambda: f"{u()} AT {u()}", lambda: f"I {w()} at {c()} {c()}", lambda: f"{c()} {d(2)} {w()} at {d(1)}:{d(2)}.", lambda: f"{c()} {w()} at {w()} {w()}, {w()} com {w()}.", lambda: f"{c()}. A {w()} es {w()} de {w()}.", lambda: f"({c()}) at {d(3)} {c()}", lambda: f"{u()}!! {d(4)}!! NO.!! {u()} {c()[:2]}!!", lambda: f'{u()} = "{d(4)}A{d(1)}EC{d(1)}F{d(2)}B"!!', lambda: f"DE {w()} {c()[:2].upper()} {w()} C {w()} ES", lambda: f'"{x(32)}"### {w()}###', lambda: f'= "{x(32)}" {w()}']
-    out: list[tuple[str, list[tuple[int, int, str]]]] = []
-
-    def row(before: str, value: str, label: str) -> None:
-        head = f"{words()} {before} ".lstrip()
-        out.append((f"{head}{value}{r.choice([' ', '.', ', '])}{words()}", [(len(head), len(head) + len(value), label)] if label else []))
-
-    for _ in range(repeats):
-        for f in tel:
-            row(r.choice(CUES["tel"][:8]) + r.choice(["", ":", " no.", " number:"]), f(), "tel")
-        for f in ids:
-            row(r.choice(["SSN", "ssn:", "passport no.", "IBAN", "IBAN:", "tax id", "national id:", "DNI", "NIF:", "passport number"]), f(), "id")
-        for f in box:
-            row(r.choice(["email", "mail:", "contact", "write to", "reach me:"]), f(), "mailbox")
-        for f in plain:
-            row(r.choice(["", w(), w() + ",", "the", "token =", "see"]), f(), "")
-        row("", words(), "")
-    for _ in range(repeats):  # spans that nothing announces
-        for forms, label in ((tel, "tel"), (ids, "id"), (box, "mailbox")):
-            for f in forms:
-                row(r.choice(["", w(), w() + ",", w() + " |"]), f(), label)
-                value = f()
-                out.append((value, [(0, len(value), label)]))
-        for f in plain:
-            row(r.choice(["", w(), w() + ",", w() + " |"]), f(), "")
-            out.append((f(), []))
-        for f in prose:
-            out.append((" ".join(f() for _ in range(r.randint(1, 4))), []))
-    return out
+    word = lambda: r.choice("the of and found about street later many said house went of la casa und der haus les maison sur".split())
+    some = lambda: " ".join(r.choice([str.lower, str.lower, str.lower, str.capitalize, str.upper])(word()) + r.choice(["", "", "", ","]) for _ in range(r.randint(1, 6)))
+    lower = "abcdef"
+
+    def fill(text: str) -> str:
+        out = []
+        for c in text:
+            if c == "9":
+                out.append(r.choice("0123456789"))
+            elif c == "Q":
+                out.append(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ"))
+            elif c == "q":
+                out.append("".join(r.choice(lower) for _ in range(r.randint(1, 3))))
+            elif c == "~":
+                out.append(some())
+            else:
+                out.append(c)
+        return "".join(out)
+
+    rows = []
+    for k in range(repeats):
+        for line in LABELLED:
+            text, spans = some() + " " if k % 3 == 2 else "", []
+            at = 0
+            for m in re.finditer(r"\{(tel|id|mailbox)\|((?:[^{}]|\{[^{}]*\})*)\}", line):
+                text += fill(line[at : m.start()])
+                value = fill(m.group(2))
+                spans.append((len(text), len(text) + len(value), m.group(1)))
+                text += value
+                at = m.end()
+            text += fill(line[at:]) + (" " + some() if k % 3 == 1 else "")
+            rows.append((text, spans))
+    return rows
 
 
 class Tagger:
     """The trained field with its feature table; pickled to the workers."""
 
+    #: Cells (sequences times the longest) of a padded batch, and tokens that are scored at a time.
+    CELLS = 40_000
+
     def __init__(self, table: list[tuple[str, list[tuple[int, int, str]]]]):
         self._numbers = _Numbers()
         ids: dict[int, int] = {-1: 0}
         data = []
         for line, spans in table:
-            tokens = list(_TOKEN.finditer(line))
+            tokens = self._places(line)
             if not tokens:
                 continue
             codes, starts = _features([self.shapes(line)], [[]])
             x = [[ids.setdefault(f, len(ids)) for f in fs] for fs in codes[starts[0] : starts[0] + len(tokens)].tolist()]
             y = []
-            for m in tokens:
-                tag = next(((lb, s) for s, e, lb in spans if s <= m.start() < e), None)
-                y.append(LABELS.index(f"{'B' if m.start() == tag[1] else 'I'}-{tag[0]}") if tag else 0)
+            for at, _ in tokens:
+                tag = next(((lb, s) for s, e, lb in spans if s <= at < e), None)
+                y.append(LABELS.index(f"{'B' if at == tag[1] else 'I'}-{tag[0]}") if tag else 0)
             data.append((np.array(x), np.array(y)))
         self.codes = np.array(sorted(ids))
         self.rows = np.array([ids[f] for f in self.codes.tolist()])
@@ -213,8 +413,13 @@ class Tagger:
         n = self._numbers
         return [n[t] for t in _TOKEN.findall(line)]
 
+    @staticmethod
+    def _places(line: str) -> list[tuple[int, int]]:
+        """(begin, end) of each token without the white space before it."""
+        return [(m.end() - len(m.group().lstrip()), m.end()) for m in _TOKEN.finditer(line)]
+
     def last_shapes(self, text: str, end: int) -> list[int]:
-        """Shapes of the last REACH tokens before a place where a line begins."""
+        """Numbers of the last REACH tokens before a place in the text."""
         start = end
         while start > 0:
             start = max(0, start - 200)
@@ -224,20 +429,24 @@ class Tagger:
         return []
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return self.crf.scores(np.where(self.codes[at] == codes, self.rows[at], 0))
+        """[token, label] of codes [token, slot]; bounded parts at a time, since the weights of all slots are gathered."""
+        out = np.empty((len(codes), len(LABELS)))
+        for s in range(0, len(codes), self.CELLS):
+            part = codes[s : s + self.CELLS]
+            at = np.minimum(np.searchsorted(self.codes, part), len(self.codes) - 1)
+            out[s : s + self.CELLS] = self.crf.scores(np.where(self.codes[at] == part, self.rows[at], 0))
+        return out
 
     def tag(self, lines: list[str], before: list[list[int]] | None = None) -> list[list[tuple[int, int, str]]]:
-        """Spans (start, end, label) of each line, given the shapes before it; lines of like length are decoded together."""
+        """Spans (start, end, label) of each line, given the tokens before it; lines of like length are decoded together, so many that padding stays within CELLS."""
         found: list[list[tuple[int, int, str]]] = [[] for _ in lines]
         shapes = [self.shapes(x) for x in lines]
         order = sorted((i for i in range(len(lines)) if shapes[i]), key=lambda i: len(shapes[i]))
         at = 0
         while at < len(order):
-            part, size = [], 0
-            while at < len(order) and (not part or size + len(shapes[order[at]]) <= 60_000):
+            part: list[int] = []
+            while at < len(order) and (not part or (len(part) + 1) * len(shapes[order[at]]) <= self.CELLS):
                 part.append(order[at])
-                size += len(shapes[order[at]])
                 at += 1
             lengths = np.array([len(shapes[i]) for i in part])
             codes, starts = _features([shapes[i] for i in part], [before[i] if before else [] for i in part])
@@ -247,24 +456,64 @@ class Tagger:
             best = self.crf.decode(e, lengths)
             for k in np.flatnonzero((best > 0).any(1)).tolist():
                 i, start = part[k], None
-                tokens = list(_TOKEN.finditer(lines[i]))
+                tokens = self._places(lines[i])
                 for j in range(lengths[k] + 1):
                     label = LABELS[best[k, j]] if j < lengths[k] else "O"
                     if start is not None and label[0] != "I":
-                        found[i].append((tokens[start].start(), tokens[j - 1].end(), LABELS[best[k, start]][2:]))
+                        s, e = tokens[start][0], tokens[j - 1][1]
+                        if _LIKELY.search(lines[i], s, e):
+                            found[i].append((s, e, LABELS[best[k, start]][2:]))
                         start = None
                     if label[0] == "B":
                         start = j
         return found
 
 
+@lru_cache(maxsize=1)
+def trained() -> Tagger:
+    return Tagger(training_table())
+
+
 # --- the operator ---------------------------------------------------------------------------------------------
 
-SCHEMA = T.StructType([*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_found", T.LongType())])
+SCHEMA = T.StructType([*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_found", T.LongType()), T.StructField("n_pii", T.LongType())])
 _EMPTY = hashlib.sha256(b"").hexdigest()
-#: No span of the field is without a digit or an at word.
-_LIKELY = re.compile(r"\d|(?<![^\W\d_])(?:" + "|".join(CUES["at"]) + r")(?![^\W\d_])", re.I)
 _MAYBE = r"\p{Nd}|@|(?:^|\PL)(?:" + "|".join(CUES["at"]) + r")(?:\PL|$)"
+#: A sequence of the field is a line's stretch around such places: from so many characters before the first to as many after the last, next blanks included.
+MARGIN = 120
+#: Characters of stretches that are decoded together.
+BLOCK = 1_000_000
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the parts of text that may hold a span of the field: each place of _LIKELY with MARGIN characters either side, up to the next blank, within its line; parts that meet are one."""
+    begin = end = last = -1
+    for m in _LIKELY.finditer(text):
+        if begin >= 0 and m.start() <= last + MARGIN and text.find("\n", last, m.start()) < 0:
+            last = m.end()
+            continue
+        if begin >= 0:
+            end = _right(text, last)
+            yield begin, end
+        begin, last = max(end, _left(text, m.start())), m.end()
+    if begin >= 0:
+        yield begin, _right(text, last)
+
+
+def _left(text: str, at: int) -> int:
+    line = text.rfind("\n", 0, at) + 1
+    if at - MARGIN <= line:
+        return line
+    return max(line, text.rfind(" ", max(line, at - 2 * MARGIN), at - MARGIN) + 1, at - 2 * MARGIN)
+
+
+def _right(text: str, at: int) -> int:
+    line = text.find("\n", at, at + 2 * MARGIN)
+    line = min(len(text), at + 2 * MARGIN) if line < 0 else line
+    if line <= at + MARGIN:
+        return line
+    blank = text.find(" ", at + MARGIN, line)
+    return line if blank < 0 else blank
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -273,53 +522,65 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan_batch(texts: pa.Array, tagger: Tagger) -> list[tuple]:
     """A row of SCHEMA for each text. A span needs a digit or an at sign or its word; RE2 picks the texts that have one."""
-    rows: list[tuple] = [(0, 0, 0, 0, _EMPTY, "", 0)] * len(texts)
+    rows: list[tuple] = [(0, 0, 0, 0, _EMPTY, "", 0, 0)] * len(texts)
     maybe = pc.match_substring_regex(texts, pattern=_MAYBE, ignore_case=True)
     owners: list[tuple[int, int]] = []
-    lines: list[str] = []
+    parts: list[str] = []
     before: list[list[int]] = []
     held: dict[int, list[tuple[int, int, int]]] = {}
+    extra: dict[int, list[tuple[int, int, int]]] = {}
+
+    def flush() -> None:
+        for (i, start), spans in zip(owners, tagger.tag(parts, before), strict=True):
+            extra.setdefault(i, []).extend((s + start, KINDS.index(label), e + start) for s, e, label in spans)
+        for i, base in held.items():
+            taken, more = sorted(base), []
+            for s, k, e in extra.get(i, []):
+                at = bisect_left(taken, (e, 0, 0))
+                # spans of a kind don't overlap, so what may reach into s stands within the last few before it
+                if not any(a < e and s < b for a, _, b in taken[max(0, at - 8) : at]):
+                    more.append((s, k, e))
+            if base or more:
+                n = [sum(k == j for _, k, _ in base) for j in range(4)]
+                rows[i] = (*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more), len(base) + len(more))
+        for x in (owners, parts, before, held, extra):
+            x.clear()
+
+    size = 0
     for i in pc.indices_nonzero(maybe).to_pylist():
         text = texts[i].as_py()
         held[i] = base_spans(text)
-        start = 0
-        for line in text.split("\n"):
-            if _LIKELY.search(line):
-                owners.append((i, start))
-                lines.append(line)
-                before.append(tagger.last_shapes(text, start))
-            start += len(line) + 1
-    extra: dict[int, list[tuple[int, int, int]]] = {}
-    for (i, start), spans in zip(owners, tagger.tag(lines, before), strict=True):
-        for s, e, label in spans:
-            s, e = s + start, e + start
-            if not any(a < e and s < b for a, _, b in held[i]):
-                extra.setdefault(i, []).append((s, KINDS.index(label), e))
-    for i, base in held.items():
-        more = extra.get(i, [])
-        if base or more:
-            n = [sum(k == j for _, k, _ in base) for j in range(4)]
-            rows[i] = (*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + more), len(more))
+        for start, end in stretches(text):
+            owners.append((i, start))
+            parts.append(text[start:end])
+            before.append(tagger.last_shapes(text, start))
+            size += end - start + 50
+        if size > BLOCK:
+            flush()
+            size = 0
+    flush()
     return rows
 
 
 def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: list | None = None) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found) of every row.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_pii) of every row: n_found counts the spans of the field, n_pii all.
 
-    A null text counts as empty: no spans. Ids may be null or repeated; other columns are not looked at; an empty
-    table gives no rows. Spans of the field (tel, id, mailbox) that touch a base span are left out. The
+    A null text counts as empty: no spans. Ids may be null or repeated, and each row has its own result; other columns,
+    whatever their names, are not looked at; an empty table gives no rows. Texts of any length are read whole; what is held at a time
+    grows with the longest text, not with the batch. Spans of the field (tel, id, mailbox) that touch a base span
+    are left out; spans that begin together are ordered by kind. The
     field is trained on the driver from the small labelled table and its weights travel with the
     function; one narrow pass over Arrow batches, nothing is shuffled.
     """
     kind = df.schema[id_col].dataType
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField(id_col, kind), *SCHEMA.fields])
-    tagger = Tagger(training_table() if table is None else table)
+    tagger = trained() if table is None else Tagger(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = list(zip(*scan_batch(b.column(1), tagger), strict=True)) or [[] for _ in SCHEMA.fields]
-            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=schema.names)
 
     return slim.mapInArrow(run, schema)
