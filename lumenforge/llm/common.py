@@ -64,6 +64,15 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+#: Up to so many narrow rows a side of a join is broadcast (some 40 MB as a hash table); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its count says that it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value, computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

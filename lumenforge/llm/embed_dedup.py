@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: exact pairs at a cosine threshold by cover trees and dual traversal.
 
-Equal vectors of a label are one class. A label's representatives are dealt into cells around pivots, which are the
+Equal vectors of a label are one class. A label's classes are dealt into cells around pivots, which stand for the
 tree's top levels: the pivots are taken farthest first from a bounded sample, so that any number of the first ones
-is a net. Pairs of cells whose pivots lie farther apart than both radii and the threshold together are dropped; for the
-others a task builds the trees of two blocks and traverses them. A task returns a row for each vector
-that has links: how many, and a link to its component within the task. Links never leave as pairs.
+is a net. A vector may have partners in another cell only if it lies within the threshold's distance of the plane midway between the two
+pivots; it is sent to the couples of cells for which that holds, and to no other. There a task builds the
+trees of two blocks and traverses them. A task returns a row for each class that has links: how many,
+and a link to its component within the task. Links never leave as pairs.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, release
+from .common import connected_components, materialise, release, sized
 from .covertree import Tree, pairs_within
 
-BLOCK = 4096
-PIVOTS = 128
+#: Vectors of a block: BLOCK, or a label's 64th part up to LARGEST (16 MB of 64 components).
+BLOCK, LARGEST = 4096, 32768
+PIVOTS = 256
 SAMPLE = 4096
+#: Rows of one class that meet in a join; larger classes are dealt over several keys.
+HEAVY = 50_000
 
 
 def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -76,7 +80,7 @@ def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
-    """(rep, links, other) of the blocks' vectors that have links: links counts every vector of the linked classes, other is the smallest representative of the component."""
+    """(key, links, rep, other) of the blocks' classes that have links: links counts every vector of the linked classes, other is the smallest representative of the component."""
     both = left if right is None else pd.concat([left, right], ignore_index=True)
     x = np.frombuffer(b"".join(both.vec), dtype=np.float64).reshape(len(both), -1)
     weight, links, root = both.m.to_numpy(), np.zeros(len(both), dtype=np.int64), np.arange(len(both))
@@ -91,91 +95,149 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: fl
         np.add.at(links, j, weight[i])
         unite(root, place[i], place[j])
 
-    pairs_within(Tree(x[:shift]), None if right is None else Tree(x[shift:]), threshold, found)
+    def joined(i: np.ndarray, j: np.ndarray) -> None:
+        if i is j:
+            links[i] += weight[i].sum() - weight[i]
+            j = i
+        else:
+            j = j if right is None else j + shift
+            links[i] += weight[j].sum()
+            links[j] += weight[i].sum()
+        united = place[np.concatenate([i, j])]
+        unite(root, united[1:], np.full(len(united) - 1, united[0]))
+
+    pairs_within(Tree(x[:shift]), None if right is None else Tree(x[shift:]), threshold, found, joined)
     while (root[root] != root).any():
         root[:] = root[root]
-    rep = both.rep.to_numpy()
     hit = np.flatnonzero(links)
-    return pd.DataFrame({"rep": rep[hit], "links": links[hit], "other": rep[order[root[place[hit]]]]})
+    rep = both.rep.to_numpy()
+    return pd.DataFrame({"key": both.key.to_numpy()[hit], "links": links[hit], "rep": rep[hit], "other": rep[order[root[place[hit]]]]})
+
+
+def _pivots(reps: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots by length of vectors, farthest first, from SAMPLE vectors or so: those whose hash lies below a share that leaves about so many."""
+    share = min(1.0, SAMPLE / max(1, reps.count()))
+    chosen = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = sorted(chosen.select("rep", "vec").collect(), key=lambda r: (r["rep"], r["vec"]))
+    out: dict[int, np.ndarray] = {}
+    for d in {len(r["vec"]) for r in sample}:
+        x = np.frombuffer(b"".join(r["vec"] for r in sample if len(r["vec"]) == d), dtype=np.float64).reshape(-1, d // 8)
+        out[d // 8] = farthest_first(x, PIVOTS)
+    return out
+
 
+def _place(reps: DataFrame, pivots: dict[int, np.ndarray], block: int, largest: int, reach: float) -> DataFrame:
+    """reps with their block's size, their cell and the other cells that may hold partners; `n` is how many classes their label has."""
 
-def near_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                dims, n = b.column(2).to_numpy(), b.column(6).to_numpy()
+                size = np.clip(n // 64, block, max(block, largest))
+                wanted = np.maximum(1, np.ceil(n / size).astype(int))
+                cell, others = np.zeros(b.num_rows, dtype=np.int32), [[] for _ in range(b.num_rows)]
+                vecs = b.column(5)
+                for d in np.unique(dims).tolist():
+                    if d not in pivots:
+                        continue
+                    rows = np.flatnonzero(dims == d)
+                    x = np.frombuffer(b"".join(vecs[i].as_py() for i in rows.tolist()), dtype=np.float64).reshape(-1, d)
+                    cos = x @ pivots[d].T
+                    cos[np.arange(cos.shape[1])[None, :] >= wanted[rows][:, None]] = -9.0
+                    home = cos.argmax(axis=1)
+                    own = cos[np.arange(len(rows)), home]
+                    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[d] @ pivots[d].T)))[home]
+                    # the distance to the plane midway between two pivots p, q is (cos p - cos q) / |p - q|
+                    near = (own[:, None] - cos <= (reach + 1e-7) * apart + 1e-12) & (cos > -9.0)
+                    near[np.arange(len(rows)), home] = False
+                    cell[rows] = home
+                    for k, i in enumerate(rows.tolist()):
+                        others[i] = np.flatnonzero(near[k]).tolist()
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(6)], pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(others, pa.list_(pa.int32()))], names=["rep", "label", "dim", "key", "m", "vec", "size", "cell", "others"])
+
+    return reps.mapInArrow(run, "rep long, label string, dim int, key binary, m long, vec binary, size int, cell int, others array<int>")
+
+
+def _couples(placed: DataFrame) -> DataFrame:
+    """A row for each vector and each couple of blocks that it is compared in: (label, dim, c1, c2, b1, b2, side, key, rep, m, vec)."""
+    to = F.transform("others", lambda q: F.struct(F.least("cell", q).alias("c1"), F.greatest("cell", q).alias("c2"), (F.col("cell") > q).cast("int").alias("side")))
+    own = F.array(F.struct(F.col("cell").alias("c1"), F.col("cell").alias("c2"), F.lit(0).alias("side")))
+    couple = ["label", "dim", "c1", "c2"]
+    dealt = placed.withColumn("to", F.explode(F.concat(own, to))).select("label", "dim", "to.*", "size", "key", "rep", "m", "vec")
+    counts = dealt.groupBy(*couple, "size").agg(F.sum((F.col("side") == 0).cast("long")).alias("n1"), F.sum((F.col("side") == 1).cast("long")).alias("n2"))
+    counts = counts.where("(c1 = c2 and n1 > 1) or (c1 < c2 and n1 > 0 and n2 > 0)")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.col("size")).cast("int"))
+    counts = counts.select(*couple, blocks(F.col("n1")).alias("p1"), F.when(F.col("c1") == F.col("c2"), 0).otherwise(blocks(F.col("n2"))).alias("p2"))
+    d = dealt.drop("size").join(sized(materialise(counts, "couples")), couple)
+    part = F.pmod(F.xxhash64("rep", "key"), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p2"))).cast("int")
+    d = d.withColumn("part", part)
+    at = lambda x, y, side: F.struct(x.cast("int").alias("b1"), y.cast("int").alias("b2"), side.cast("int").alias("s"))
+    steps = lambda n: F.sequence(F.lit(0), n - 1)
+    # within a cell: block part meets the later ones on side 0 and the earlier ones on side 1
+    inner = F.transform(steps(F.col("p1")), lambda k: at(F.least(k, "part"), F.greatest(k, "part"), k < F.col("part")))
+    left = F.transform(steps(F.col("p2")), lambda k: at(F.col("part"), k, F.lit(0)))
+    right = F.transform(steps(F.col("p1")), lambda k: at(k, F.col("part"), F.lit(1)))
+    where = F.when(F.col("c1") == F.col("c2"), inner).when(F.col("side") == 0, left).otherwise(right)
+    return d.withColumn("at", F.explode(where)).select(*couple, "at.b1", "at.b2", F.col("at.s").alias("side"), "key", "rep", "m", "vec")
+
+
+def _join_classes(rows: DataFrame, named: DataFrame, group: list[str], wanted: list[Column]) -> DataFrame:
+    """rows left joined with named by class; a class of more than HEAVY rows is dealt over as many keys as it takes."""
+    heavy = named.where(F.col("m") > HEAVY).select(*group, F.ceil(F.col("m") / F.lit(float(HEAVY))).cast("int").alias("salts"))
+    d = rows.join(sized(heavy), group, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0)))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(float(HEAVY)))).cast("int") - 1)))
+    return d.join(sized(spread.select(*group, "salt", *wanted)), [*group, "salt"], "left")
+
+
+def near_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = BLOCK, largest: int = LARGEST) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Rows are compared where labels are equal and not null and vectors have the same length. Vectors that are null, empty, zero or
     hold null or non-finite components link with nothing, nor do rows without an id: no links, their own component, kept. Rows
-    that repeat a vector are linked with each other at once. Rows that share an id are one node of the
-    components. An empty table gives no rows; other columns are not looked at. Labels may be of any type.
+    that repeat a vector are linked with each other at once. n_links counts the other rows of the row's label that it is linked with, rows
+    of its own id too; rows that share an id are one node of the components. Vectors may be of any length, of different lengths too. An empty
+    table gives no rows; other columns, whatever their names, are not looked at. Labels may be of any type. Cosines within
+    a rounding error of the threshold are decided by the products of the unit vectors.
     """
     rows = materialise(prepare(df, id_col, vector_col, label_col), "vectors")
-    good = rows.where("key is not null and label is not null and id is not null")
     group = ["label", "dim", "key"]
-    classes = materialise(good.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("m")), "classes")
-    member = good.select("id", *group).distinct().join(classes, group)
-    reps = good.select("id", *group, "vec").join(classes.withColumnRenamed("rep", "id"), [*group, "id"]).dropDuplicates(["id", *group]).withColumnRenamed("id", "rep")
-    reps = materialise(reps.select("rep", "label", "dim", "m", "vec"), "reps")
-    # some SAMPLE vectors by hash, for pivots alone: rows below a share of the hashes that leaves about so many
-    share = min(1.0, SAMPLE / max(1, reps.count()))
-    chosen = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = sorted(chosen.select("rep", "vec").collect(), key=lambda r: r["rep"])
-    pivots: dict[int, np.ndarray] = {}
-    for d in {len(r["vec"]) for r in sample}:
-        pivots[d // 8] = farthest_first(np.frombuffer(b"".join(r["vec"] for r in sample if len(r["vec"]) == d), dtype=np.float64).reshape(-1, d // 8), PIVOTS)
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n"))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims, wanted = b.column(2).to_numpy(), np.ceil(b.column(5).to_numpy() / block).astype(int)
-            cell, far = np.zeros(b.num_rows, dtype=np.int32), np.full(b.num_rows, 2.0)
-            vecs = b.column(4).to_pylist()
-            for d in np.unique(dims):
-                if int(d) in pivots:
-                    at = np.flatnonzero(dims == d)
-                    dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (np.frombuffer(b"".join(vecs[i] for i in at), dtype=np.float64).reshape(-1, d) @ pivots[int(d)].T)))
-                    dist[np.arange(dist.shape[1])[None, :] >= np.maximum(1, wanted[at])[:, None]] = np.inf
-                    cell[at] = dist.argmin(axis=1)
-                    far[at] = dist.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(cell, pa.int32()), pa.array(far, pa.float64())], names=["rep", "label", "dim", "m", "vec", "cell", "far"])
-
-    placed = reps.join(sizes, ["label", "dim"]).select("rep", "label", "dim", "m", "vec", "n").mapInArrow(assign, "rep long, label string, dim int, m long, vec binary, cell int, far double")
-    placed = materialise(placed, "cells")
-    cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"), F.max("far").alias("far"))
-    one, two = cells.alias("one"), cells.alias("two")
-    couples = one.join(two, (F.col("one.label") == F.col("two.label")) & (F.col("one.dim") == F.col("two.dim")) & (F.col("one.cell") <= F.col("two.cell")))
-    couples = couples.select("one.label", "one.dim", F.col("one.cell").alias("c1"), F.col("two.cell").alias("c2"), F.col("one.parts").alias("p1"), F.col("two.parts").alias("p2"), (F.col("one.far") + F.col("two.far")).alias("radii"))
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-7
-
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            gap = np.array([float(np.linalg.norm(pivots[d][i] - pivots[d][j])) if d in pivots and i != j else 0.0 for d, i, j in zip(p.dim, p.c1, p.c2, strict=True)])
-            yield p[gap <= p.radii.to_numpy() + reach]
-
-    couples = couples.mapInPandas(prune, couples.schema)
-    tasks = couples.select("label", "dim", "c1", "c2", "p2", F.explode(F.sequence(F.lit(0), F.col("p1") - 1)).alias("b1")).select("label", "dim", "c1", "c2", "b1", F.explode(F.sequence(F.lit(0), F.col("p2") - 1)).alias("b2"))
-    tasks = tasks.where("c1 < c2 or b1 <= b2")
-    alone = (F.col("c1") == F.col("c2")) & (F.col("b1") == F.col("b2"))
-    side = lambda s, c, b: F.struct(F.lit(s).alias("side"), F.col(c).alias("cell"), F.col(b).alias("part"))
-    dealt = tasks.withColumn("at", F.explode(F.when(alone, F.array(side(0, "c1", "b1"))).otherwise(F.array(side(0, "c1", "b1"), side(1, "c2", "b2"))))).select("label", "dim", "c1", "b1", "c2", "b2", "at.*")
-    parts = placed.join(cells.select("label", "dim", "cell", "parts"), ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = parts.select("label", "dim", "cell", "part", "rep", "m", "vec").join(dealt, ["label", "dim", "cell", "part"])
+    is_good = F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
+    good = rows.where(is_good)
+    classes = materialise(good.groupBy(*group).agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("vec").alias("vec")), "classes")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
+    reps = classes.join(sized(sizes), ["label", "dim"]).select("rep", *group, "m", "vec", "n")
+    placed = materialise(_place(reps, _pivots(classes), block, largest, reach), "cells")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(left) or (not len(right) and (pdf.c1.iloc[0], pdf.b1.iloc[0]) != (pdf.c2.iloc[0], pdf.b2.iloc[0])):
-            return pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
-        return compare_blocks(left.reset_index(drop=True), right.reset_index(drop=True) if len(right) else None, threshold)
-
-    linked = dealt.groupBy("label", "dim", "c1", "b1", "c2", "b2").applyInPandas(compare, "rep long, links long, other long")
-    # the class is named with its label: rows that share an id may stand in several
+        within = (pdf.c1.iloc[0], pdf.b1.iloc[0]) == (pdf.c2.iloc[0], pdf.b2.iloc[0])
+        if not len(left) or (not len(right) and not within):
+            out = pd.DataFrame({"key": [], "links": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
+        else:
+            out = compare_blocks(left.reset_index(drop=True), None if within else right.reset_index(drop=True), threshold)
+        out.insert(0, "label", pdf.label.iloc[0])
+        out.insert(1, "dim", pdf.dim.iloc[0])
+        return out
+
+    linked = _couples(placed).groupBy("label", "dim", "c1", "b1", "c2", "b2").applyInPandas(compare, "label string, dim int, key binary, links long, rep long, other long")
     linked = materialise(linked, "links")
-    counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    shared = member.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("z")).where("src <> z").select("id", "src")
-    shared = member.join(shared, "id").select("src", F.col("rep").alias("dst")).where("src <> dst")
+    counts = linked.groupBy(*group).agg(F.sum("links").alias("links"))
+    # ids that stand in several classes bring these together
+    class_hash = F.xxhash64(*group)
+    spread = good.groupBy("id").agg(F.min(class_hash).alias("a"), F.max(class_hash).alias("z")).where("a <> z").select("id")
+    spread = good.join(sized(materialise(spread, "spread")), "id").select("id", *group).distinct().join(classes.select(*group, "rep"), group)
+    low = spread.groupBy("id").agg(F.min("rep").alias("src"))
+    shared = spread.join(low, "id").select("src", F.col("rep").alias("dst")).where("src <> dst").distinct()
     component = connected_components(linked.select(F.col("rep").alias("src"), F.col("other").alias("dst")).unionByName(shared))
-    named = classes.join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select(*group, (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    release(placed, reps)
-    live = rows.select("id", "label", "dim", "key").join(named, group, "left")
-    whole = F.col("id").isNotNull()
-    comp = F.when(whole, F.coalesce("component_id", "id"))
-    return live.select(F.col("id").alias(id_col), F.when(whole, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    named = classes.select(*group, "rep", "m").join(counts, group, "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    links = F.col("m") - 1 + F.coalesce("links", F.lit(0))
+    # a class of one row without links or a component needs no join
+    named = materialise(named.where("m > 1 or links > 0 or component is not null").select(*group, "m", links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    release(placed, linked, classes)
+    live = _join_classes(good.select("id", *group), named, group, [F.col("n_links"), F.col("component_id")])
+    comp = F.coalesce("component_id", "id")
+    live = live.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
+    alone = rows.where(~is_good).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return live.unionByName(alone)

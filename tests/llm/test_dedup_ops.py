@@ -190,3 +190,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x["doc_id"] for x in seen["source mix"]} <= {x["doc_id"] for x in seen["secret scan"]} and len(seen["source mix"]) > len(seen["secret scan"])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(x["doc_id"] for x in out) == Counter(x["doc_id"] for x in seen["source mix"]) and all(x["n_tokens"] * 4 == len(x["ids"]) for x in out)
+
+
+def test_cover_tree_levels_halve():
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(700, 12)), r.normal(size=(300, 12)) * 0.1 + 1])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = covertree.Tree(x)
+    assert sorted(t.order.tolist()) == list(range(1000))
+    for k, (lo, hi) in enumerate(t.kids):
+        own = x[t.members(k)]
+        assert np.sqrt(np.maximum(0, 2 - 2 * own @ x[t.centre[k]])).max() <= t.radius[k] + 1e-7 <= max(2.0, t.level[k]) + 2e-7
+        if lo == hi:
+            assert t.end[k] - t.begin[k] <= covertree.LEAF or t.radius[k] <= 1e-7
+            continue
+        centres = x[np.array(t.centre[lo:hi])]
+        assert t.centre[lo] == t.centre[k] and t.begin[lo] == t.begin[k] and t.end[hi - 1] == t.end[k]
+        halves = np.log2(t.level[k] / t.level[lo])
+        assert halves >= 0 and halves == int(halves) and set(t.level[lo:hi]) == {t.level[lo]} and t.level[lo] < t.radius[k] or k == 0
+        gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) + 9 * np.eye(len(centres))
+        assert gap.min() > t.level[lo] - 1e-7
+
+
+def test_near_embeddings_of_repeated_ids(spark, monkeypatch):
+    """Rows are counted by label and vector, ids are nodes."""
+    from lumenforge.llm import common
+
+    r = np.random.default_rng(9)
+    base = {c: r.normal(size=8) for c in "pqrs"}
+    near = lambda c: (base[c] + 0.02 * r.normal(size=8)).tolist()
+    p = base["p"].tolist()
+    rows = [(1, p, "A"), (2, near("p"), "A"), (3, near("p"), "A"), (1, p, "B"), (4, near("p"), "B"), (10, near("q"), "A"), (10, near("q"), "A"), (5, near("r"), "A"), (5, near("s"), "A"), (6, near("s"), "A"), (0, near("r"), "A")]
+    rows += [(20, base["q"].tolist(), "C")] * 40 + [(30 + i, base["q"].tolist(), "C") for i in range(40)] + [(3, None, "A"), (None, p, "A"), (8, p, None)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = [None if v is None or i is None or g is None else np.array(v) / np.linalg.norm(v) for i, v, g in rows]
+    linked = lambda a, b: a != b and unit[a] is not None and unit[b] is not None and rows[a][2] == rows[b][2] and unit[a] @ unit[b] >= 0.98 - 1e-12
+    n = [sum(linked(a, b) for b in range(len(rows))) for a in range(len(rows))]
+    comp = components({i for i, _, _ in rows if i is not None}, [(rows[a][0], rows[b][0]) for a in range(len(rows)) for b in range(a) if linked(a, b)])
+    want = Counter((i, k, i if u is None else comp[i]) for (i, _, _), k, u in zip(rows, n, unit, strict=True))
+    for heavy, broadcast, block in ((50_000, 500_000, 4096), (7, 0, 3)):
+        monkeypatch.setattr(embed_dedup, "HEAVY", heavy)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+        got = embed_dedup.near_embeddings(d, block=block, largest=block).collect()
+        assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == want
+        assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got)
