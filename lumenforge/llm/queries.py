@@ -58,8 +58,8 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
-def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+def op10_secrets(spark: SparkSession, sf_dir: str, vocabulary_file: str | None = None) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), vocabulary_file=vocabulary_file or vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
