@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, release, sized
+
+#: Copies of one row that one task makes.
+CHUNK = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,32 +37,58 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return s.withColumn("target", F.least("cap", F.col("level") * F.col("weight"))).select("skey", "snull", "source_size", "weight", "target")
 
 
-def _keys(id_col: str, source_col: str, seed: int) -> dict[str, Column]:
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    return {"skey": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "snull": F.col(source_col).isNull(), "d": digest}
+def _digest(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))))
 
 
-def _planned(df: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[float], budget: float, max_epochs: float, seed: int) -> DataFrame:
-    """(id, skey, snull, size, source_size, target, d, whole, more) of every row: whole takes, and whether there is one more."""
-    rows = materialise(
-        df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in _keys(id_col, source_col, seed).items()], word_count(F.col(text_col)).alias("size"))
-        .withColumn("b", F.conv(F.substring("d", 1, 3), 16, 10).cast("int")),
-        "mix-rows",
-    )
+def _content(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of the columns; maps, which have no hash, by their text."""
+    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c) for c in columns])
+
+
+def _keys(id_col: str, source_col: str, seed: int, content: Column) -> dict[str, Column]:
+    """Source and place in its seeded order: by digest of the id, then by content, so that only rows that are the same share a place."""
+    source = F.col(f"`{source_col}`")
+    return {"skey": F.coalesce(source.cast("string"), F.lit("")), "snull": source.isNull(), "d": _digest(id_col, seed), "h": content}
+
+
+def _planned(df: DataFrame, keys: dict[str, Column], id_col: str, text_col: str, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
+    """(skey, snull, d, h, id, size, m, source_size, target, whole, more) a place: m rows share it, all are taken `whole` times, `more` of them once more.
+
+    Places are dealt by ranges of the order, which a sample makes even whatever the sources', ids' and contents' frequencies; the
+    words before a range are the sums of those before it, one row for each range and source.
+    """
     src = ["skey", "snull"]
-    ranges = materialise(rows.groupBy(*src, "b").agg(F.sum("size").alias("words")), "mix-ranges")
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{id_col}`").alias("id"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    places = materialise(rows.groupBy(*rows.columns).agg(F.count("*").alias("m")), "mix-places")
+    dealt = materialise(places.repartitionByRange("snull", "skey", "d", "h").withColumn("part", F.spark_partition_id()), "mix-order")
+    words = F.col("size") * F.col("m")
+    ranges = materialise(dealt.groupBy(*src, "part").agg(F.sum(words).alias("words")), "mix-ranges")
+    release(places)
     sources = ranges.groupBy(*src).agg(F.sum("words").alias("source_size"))
-    place = F.row_number().over(W.orderBy("snull", "skey")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    number = F.row_number().over(W.orderBy("snull", "skey")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
     sources = materialise(water_fill(sources.withColumn("weight", weight), budget, max_epochs), "mix-sources")
-    ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy(*src).orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    plan = ranges.join(sources, src)
-    key = [*src, "b"]
-    inner = rows.withColumn("before", F.sum("size").over(W.partitionBy(*key).orderBy("d", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy(*src).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
+    inner = dealt.withColumn("before", F.coalesce(F.sum(words).over(W.partitionBy("part", *src).orderBy("d", "h", "id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    out = inner.join(plan, key).withColumn("whole", whole.cast("int"))
+    out = inner.join(ranges.join(sources, src), [*src, "part"]).withColumn("whole", whole.cast("int"))
     missing = F.col("target") - F.col("whole") * F.col("source_size")
-    return out.withColumn("more", (2 * (F.col("base") + F.col("before")) + F.col("size") < 2 * missing) & (F.col("whole") < F.lit(max_epochs)))
+    first = 2 * (F.col("base") + F.col("before")) + F.col("size")
+    # the j-th of m equal rows is in if first + 2 * j * size < 2 * missing
+    some = F.greatest(F.lit(0), F.least(F.col("m"), F.ceil((2 * missing - first) / F.nullif(2 * F.col("size"), F.lit(0)))))
+    more = F.when(~(first < 2 * missing) | (F.col("whole") + 1 > F.lit(float(max_epochs))), 0).when((F.col("m") == 1) | (F.col("size") == 0), F.col("m")).otherwise(some)
+    return out.withColumn("more", more.cast("long")).drop("base", "before", "part")
+
+
+def _times(df: DataFrame, n: Column) -> DataFrame:
+    """Every row n times; where that is more than CHUNK, by several tasks."""
+    d = df.withColumn("_n", n).where("_n > 0")
+    few = d.where(F.col("_n") <= CHUNK)
+    many = d.where(F.col("_n") > CHUNK).withColumn("_k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.lit(float(CHUNK))).cast("int") - 1)))
+    many = many.withColumn("_n", F.least(F.lit(CHUNK), F.col("_n") - F.col("_k") * F.lit(CHUNK))).repartition("_k").drop("_k")
+    return few.unionByName(many).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).drop("_n")
 
 
 def mix_sources(
@@ -74,18 +103,20 @@ def mix_sources(
 ) -> DataFrame:
     """How often each row goes into the mix: (id, source, size, source_size, target, copies int, taken long).
 
-    size: words of the text (null: 0). Sources in code point order, null last, weigh weights[0],
+    size: words of the text (null: 0), of any length. Sources in code point order, null last, weigh weights[0],
     weights[1], ... again and again, and share budget times the words of all rows. A row is taken
     floor(target / source_size) times, and once more if it comes early in its source's seeded order:
     rows are in as long as their middle lies before the words still missing, so a source's taken words
     are within half a document of its target, and no row is taken more than max_epochs times. The seeded
-    order is that of md5(seed:id), so reruns agree; rows that share an id (or have none) are ordered by size.
-    Rows without words are taken as often as their order says. Empty tables give no rows; other
-    columns are not looked at. A source's order is cut into 4,096 ranges of the hash; only their sums meet
-    by source, so a source with most of the rows is spread over as many keys.
+    order is that of md5(seed:id), so reruns agree; rows that share an id (or have none) are ordered by a hash of the text, and
+    of rows that are the same as many are taken as it takes. Rows without words are taken as often as their order says. Empty
+    tables give no rows; other columns, whatever their names, are not looked at. Sources are ordered in one task, one row each: meant for
+    up to some millions of them; their rows are spread, however many one source, id or text has.
     """
-    out = _planned(df, id_col, source_col, text_col, weights, budget, max_epochs, seed).withColumn("copies", F.col("whole") + F.col("more").cast("int"))
-    return out.select(
+    keys = _keys(id_col, source_col, seed, _content(df, [text_col]))
+    plan = _planned(df, keys, id_col, text_col, weights, budget, max_epochs)
+    once = _times(plan.withColumn("copies", F.col("whole") + 1), F.col("more")).unionByName(_times(plan.withColumn("copies", F.col("whole")), F.col("m") - F.col("more")))
+    return once.select(
         F.col("id").alias(id_col),
         F.when(~F.col("snull"), F.col("skey")).alias(source_col),
         "size",
@@ -106,15 +137,21 @@ def mix_documents(
     max_epochs: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """The rows of df as often as mix_sources() takes them, with all their columns.
+    """The rows of df as often as mix_sources() takes them, with all their columns, whatever their names.
 
-    A source's decision is its whole takes and the last digest of its order that is taken once more, so the
-    texts meet one row for each source and are not shuffled; rows that share an id share that decision.
+    A source's decision is its whole takes and the last place of its order that is taken once more, so the
+    texts meet one row for each source and are not shuffled. Places are those of mix_sources(), rows that share an id being ordered by all their
+    columns; where only some of the rows at the last place are in, they are the same in every column, and one stands for them. Null
+    texts have no words; an empty table stays empty.
     """
-    rows = _planned(df, id_col, source_col, text_col, weights, budget, max_epochs, seed)
-    last = materialise(rows.groupBy("skey", "snull").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("more"), F.col("d"))).alias("last")), "mix-cuts")
-    keys = _keys(id_col, source_col, seed)
+    keys = _keys(id_col, source_col, seed, _content(df, df.columns))
+    plan = _planned(df, keys, id_col, text_col, weights, budget, max_epochs)
+    place = F.struct("d", "h")
+    last = plan.groupBy("skey", "snull").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("more") > 0, place)).alias("last"), F.max_by(F.struct("more", "m"), F.when(F.col("more") > 0, place)).alias("at"))
+    last = materialise(last.select("skey", "snull", "whole", "last", "at.more", "at.m"), "mix-cuts")
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
-    copies = F.col("whole") + F.coalesce(F.col("d") <= F.col("last"), F.lit(False)).cast("int")
-    taken = packed.join(last, ["skey", "snull"]).withColumn("copies", copies).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    met = packed.join(sized(last), ["skey", "snull"]).withColumn("cut", (place == F.col("last")) & (F.col("more") < F.col("m")))
+    extra = F.coalesce((place <= F.col("last")) & ~F.col("cut"), F.lit(False)).cast("int")
+    taken = met.withColumn("n", F.col("whole") + extra).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row")
+    some = met.where("cut").groupBy("skey", "snull").agg(F.first("row").alias("row"), F.first("more").alias("more"))
+    return taken.unionByName(_times(some, F.col("more")).select("row")).select("row.*")
