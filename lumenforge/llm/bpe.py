@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS
 #: Pieces that can be cut into the pattern's words one by one: no word goes over their borders.
 COARSE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
 LONGEST_WORD = 256
+_LONG_PIECE = re.compile(f"[^ ]{{{LONGEST_WORD + 1}}}")
 NONE = np.iinfo(np.int32).max
 _OTHER_ASCII = "\t\r\x0b\x0c"
 _OTHER = _OTHER_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -146,37 +148,38 @@ class Vocabulary:
         return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same over a linked list and a heap, n log n for a word of any length."""
-        n = len(ids)
-        left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
-
-        def push(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (r := self.ranks.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (r[0], i, ids[i], ids[j], r[1]))
-
-        for i in range(n - 1):
-            push(i)
+        """The same over linked arrays and a heap, n log n for a word of any length. An entry holds rank and place; it counts if the pair there still has that rank."""
+        n, ranks = len(ids), self.ranks
+        ids = array("i", ids)
+        left, right = array("i", range(-1, n - 1)), array("i", [*range(1, n), -1])
+        heap = [r[0] << 32 | i for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
+        heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
             j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            if ids[i] < 0 or j < 0:
+                continue
+            made = ranks.get((ids[i], ids[j]))
+            if made is None or made[0] != entry >> 32:
                 continue
-            ids[i], ids[j] = new, -1
-            right[i] = right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            if left[i] >= 0:
-                push(left[i])
-            push(i)
+            ids[i], ids[j] = made[1], -1
+            k = right[i] = right[j]
+            if k >= 0:
+                left[k] = i
+                if r := ranks.get((made[1], ids[k])):
+                    heapq.heappush(heap, r[0] << 32 | i)
+            h = left[i]
+            if h >= 0 and (r := ranks.get((ids[h], made[1]))):
+                heapq.heappush(heap, r[0] << 32 | h)
         return [i for i in ids if i >= 0]
 
 
 class Encoder:
-    """Encoding of texts in one process: pieces are looked up in a bounded cache, then word by word in the lexicon, then merged."""
+    """Encoding of texts in one process: pieces are looked up in a cache of bounded bytes, then word by word in the lexicon, then merged."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, cache: int = 300_000):
-        self.v, self.lexicon, self.size = vocabulary, lexicon, cache
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, cache: int = 64 << 20):
+        self.v, self.lexicon, self.size, self.held = vocabulary, lexicon, cache, 0
         self.spaced: dict[str, bytes] = {}  # pieces with a space before them, kept without it
         self.plain: dict[str, bytes] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
@@ -196,15 +199,21 @@ class Encoder:
                 ids[w] = self.lexicon.output(k)
         return [b"".join([ids[w] for w in ws]) for ws in cut]
 
-    def _fill(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
+    def _fill(self, known: dict[str, bytes], pieces: set[str], before: str) -> list[str]:
+        """Put pieces into the cache; those that are too long to stay there for other texts."""
         new = [p for p in pieces if p not in known]
-        known.update(zip(new, self._resolve([before + p for p in new]), strict=True))
+        found = self._resolve([before + p for p in new])
+        known.update(zip(new, found, strict=True))
+        # a string, its bytes and their places in the table take some 200 bytes besides
+        self.held += sum(map(len, new)) + sum(map(len, found)) + 200 * len(new)
+        return [p for p in new if len(p) > LONGEST_WORD]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        if len(self.spaced) + len(self.plain) > self.size:
+        if self.held > self.size:
             self.spaced.clear()
             self.plain.clear()
+            self.held = 0
         spaced: set[str] = set()
         plain: set[str] = set()
         work = []
@@ -223,8 +232,7 @@ class Encoder:
                     plain.update(pieces)
                     parts.append(("", pieces))
             work.append(parts)
-        self._fill(self.spaced, spaced, " ")
-        self._fill(self.plain, plain, "")
+        long = [(known, p) for known, pieces, before in ((self.spaced, spaced, " "), (self.plain, plain, "")) for p in self._fill(known, pieces, before)]
         out, get, get_plain = [], self.spaced.__getitem__, self.plain.__getitem__
         for parts in work:
             done = []
@@ -237,6 +245,8 @@ class Encoder:
                 else:
                     done.extend(map(get_plain, rest))
             out.append(b"".join(done))
+        for known, p in long:
+            self.held -= len(p) + len(known.pop(p)) + 200
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -244,20 +254,26 @@ class Encoder:
         return b"".join(map(self.v.tokens.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", errors="replace")
 
 
-def _blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many characters together, to bound what is held at a time."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
+def _blocks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes together, to bound what is held at a time."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n
+        if held >= size:
             yield start, i + 1
-            start, size = i + 1, 0
+            start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
 
-def piece_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(piece, n) over all texts: what stands between blanks, counted within each task's batches, then summed by piece."""
+def _short_pieces(text: str) -> list[str]:
+    """What stands between blanks, without pieces longer than any word of a lexicon."""
+    pieces = text.split(" ")
+    return [p for p in pieces if len(p) <= LONGEST_WORD] if _LONG_PIECE.search(text) else pieces
+
+
+def piece_counts(df: DataFrame, text_col: str = "text", held: int = 48 << 20) -> DataFrame:
+    """(piece, n) over all texts: what stands between blanks, counted within each task's batches, then summed by piece. A task holds about `held` bytes of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -267,11 +283,16 @@ def piece_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             counts.clear()
             return out
 
+        size = 0  # of the texts since the last look at the counts
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(t.split(" "))
-                if len(counts) > 300_000:
-                    yield rows()
+            for t in b.column(0):
+                text = t.as_py()
+                counts.update(_short_pieces(text))
+                size += len(text)
+                if size > 1 << 20:
+                    size = 0
+                    if len(counts) > 200_000 or (len(counts) > 20_000 and 160 * len(counts) + sum(map(len, counts)) > held):
+                        yield rows()
         if counts:
             yield rows()
 
@@ -333,8 +354,9 @@ def _encoder(content: str, name: str) -> Encoder:
 def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", words: int = 65_536, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row; ids as little-endian 32-bit integers.
 
-    A null text counts as empty: no tokens. Ids of rows may be null or repeated; other columns are not
-    looked at; an empty table gives no rows. Two passes over the texts: one counts words (shuffled once, by
+    A null text counts as empty: no tokens. Ids of rows may be null or repeated, each row has its own result; other columns,
+    whatever their names, are not looked at; an empty table gives no rows. Texts and words of any length are encoded whole, and
+    pieces too long for a lexicon are neither counted nor kept; of pairs of equal rank the leftmost is merged first. Two passes over the texts: one counts words (shuffled once, by
     word), one encodes, decodes again from the ids, and shuffles nothing. The vocabulary file is read on
     the driver and travels as a broadcast; the lexicon is memory-mapped by every worker.
     """
@@ -353,9 +375,8 @@ def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id"
         encoder = _encoder(sent.value, name)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for start, end in _blocks(texts):
-                ids = encoder.encode_batch(texts[start:end])
+            for start, end in _blocks(b.column(1)):
+                ids = encoder.encode_batch(b.column(1).slice(start, end - start).to_pylist())
                 columns = [b.column(0).slice(start, end - start), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(encoder.decode(x).encode()) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), names=schema.names)
 
