@@ -83,10 +83,23 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A hash of the columns; maps, which have no hash, by their text."""
+    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c) for c in columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of each linked node: (src long, dst long) -> (node, component).
 
-    Alternating large-star and small-star rounds; every round is a map-side combined minimum and two
+    Alternating large-star and small-star rounds until nothing changes; every round is a map-side combined minimum and two
     equi-joins on narrow rows, and is written to the shared folder. Nodes without a link don't appear.
     Nothing about links or components comes to the driver but the count of links and a checksum.
     """
@@ -96,8 +109,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e = materialise(e, "cc")
-    before = None
-    for _ in range(max_rounds):
+    before = now = None
+    while before is None or now != before:
+        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -107,11 +121,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(e)
         e = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     out._scratch_path = e._scratch_path

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, release
+from .common import connected_components, fresh, materialise, release, row_hash
 from .shingles import MinHash, mix, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -135,20 +135,24 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _texts_for(df: DataFrame, id_col: str, text_col: str, needs: DataFrame, k: int, extra: str) -> DataFrame:
-    """needs (id, ..) with the full shingle set of each id's text as sorted 64-bit hashes; a small needs is broadcast, so texts stay where they are."""
-    fields = [f.name for f in needs.schema.fields]
+def _member_sets(df: DataFrame, id_col: str, text_col: str, members: DataFrame, k: int) -> DataFrame:
+    """(id, key, set): the full shingle sets of the members' texts, one row for each set of an id, as sorted 64-bit hashes.
+
+    The texts are read once for this. A short list of members is broadcast, so that texts stay where they are; beyond, they meet it once by id.
+    Afterwards only sets of texts that share a bucket with another are moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, texts in _slices(b.column(0)):
-                yield pa.RecordBatch.from_arrays([*[b.column(1 + i).slice(start, len(texts)) for i in range(len(fields))], pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=[*fields, "set"])
+            for start, texts in _slices(b.column(1)):
+                sets = shingle_sets(texts, k)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
-    return slim.join(_sized(needs), "id").select("_t", *fields).mapInArrow(run, f"{extra}, set binary")
+    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    return materialise(slim.join(_sized(members), "id", "left_semi").mapInArrow(run, "id long, set binary"), "sets")
 
 
-def _verify(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are linked: each a's set goes before the sets that it is compared with, in parts of some BLOCK of them, and a task reads them in that order."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("parts"))
     dealt = pairs.join(counts, "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -171,22 +175,37 @@ def _verify(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, k: int,
                     b.append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = _texts_for(df, id_col, text_col, needs, k, "id long, grp long, blk int, role int").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role")
-    links = materialise(sets.mapInArrow(run, "a long, b long").distinct(), "links")
+    held = sets.join(_sized(needs), "id").select("id", "grp", "blk", "role", "set").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role")
+    links = materialise(held.mapInArrow(run, "a long, b long").distinct(), "links")
     release(needs)
     return links
 
 
-def _block_links(df: DataFrame, id_col: str, text_col: str, rest: DataFrame, k: int, percent: int) -> DataFrame:
+def _signatures_of(sets: DataFrame) -> DataFrame:
+    """(id, sig) of sets: 16 bits each of the compared hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHash(COMPARED)
+        for b in batches:
+            found = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_packed(hasher.signatures(found)), pa.binary())], names=["id", "sig"])
+
+    return sets.mapInArrow(run, "id long, sig binary")
+
+
+def _block_links(df: DataFrame, id_col: str, text_col: str, rest: DataFrame, k: int, percent: int, sets: DataFrame | None = None, sigs: DataFrame | None = None) -> DataFrame:
     """Links between different components among the members (bh, id, c) of large buckets, verified on full sets, as many as components need to join.
 
     In each bucket the members outside of its largest component are dealt into blocks, and so are the others; a
-    task holds one block of the former and one of any, at most some hundreds of sets.
+    task holds one block of the former and one of any, at most some hundreds of members. First signatures are dealt, and only members that
+    outlast the sequential test with some other of their task get their sets sent there.
     """
+    sets = _member_sets(df, id_col, text_col, rest.select("id").distinct(), k) if sets is None else sets
+    sigs = _signatures_of(sets) if sigs is None else sigs
     counts = rest.groupBy("bh", "c").agg(F.count("*").alias("k"))
-    most = counts.groupBy("bh").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("kt"), F.sum("k").alias("m"))
+    most = materialise(counts.groupBy("bh").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("kt"), F.sum("k").alias("m")), "most")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(float(BLOCK))).cast("int"))
-    r = rest.join(most, "bh").withColumn("minor", F.col("c") != F.col("top")).withColumn("nt", blocks(F.col("kt"))).withColumn("no", blocks(F.col("m") - F.col("kt")))
+    r = rest.join(_sized(most), "bh").withColumn("minor", F.col("c") != F.col("top")).withColumn("nt", blocks(F.col("kt"))).withColumn("no", blocks(F.col("m") - F.col("kt")))
     r = r.withColumn("blk", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("no")).otherwise(F.col("nt"))).cast("int"))
     one = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
     # y: a block of the former in [0, no), of the largest component from no on
@@ -194,14 +213,32 @@ def _block_links(df: DataFrame, id_col: str, text_col: str, rest: DataFrame, k:
     as_right = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: one(x, F.when(F.col("minor"), F.col("blk")).otherwise(F.col("blk") + F.col("no")), 1))
     dealt = r.select("id", "bh", "c", F.explode(F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)).alias("at")).select("id", "bh", "c", "at.*").where("x <= y")
     dealt = materialise(dealt, "blocks")
+    threshold = percent / 100
+
+    def partners(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """(row of the left, rows of the right that outlast the test with it, nearest first)."""
+        lsig, rsig = (np.frombuffer(b"".join(side.sig), dtype="<u2").reshape(-1, COMPARED) for side in (left, right))
+        lid, lc, rid, rc = left.id.to_numpy(), left.c.to_numpy(), right.id.to_numpy(), right.c.to_numpy()
+        for i in range(len(left)):
+            other = np.flatnonzero((rc != lc[i]) & (rid != lid[i]))
+            live = other[survivors(np.broadcast_to(lsig[i], (len(other), COMPARED)), rsig[other], threshold)]
+            if len(live):
+                yield i, live[np.argsort(-(rsig[live] == lsig[i]).sum(axis=1), kind="stable")]
+
+    def outlast(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0].reset_index(drop=True), pdf[pdf.side == 1].reset_index(drop=True)
+        keep_l, keep_r = np.zeros(len(left), dtype=bool), np.zeros(len(right), dtype=bool)
+        if len(left) and len(right):
+            for i, live in partners(left, right):
+                keep_l[i] = True
+                keep_r[live] = True
+        return pd.concat([left[keep_l], right[keep_r]], ignore_index=True)[["id", "bh", "c", "x", "y", "side", "sig"]]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        left, right = pdf[pdf.side == 0].reset_index(drop=True), pdf[pdf.side == 1].reset_index(drop=True)
         a, b = [], []
         if len(left) and len(right):
-            hasher = MinHash(COMPARED)
             ls, rs = ([np.frombuffer(x, dtype=np.uint64) for x in side.set] for side in (left, right))
-            lsig, rsig = hasher.signatures(ls), hasher.signatures(rs)
             root: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -209,21 +246,20 @@ def _block_links(df: DataFrame, id_col: str, text_col: str, rest: DataFrame, k:
                     x = root[x]
                 return x
 
-            rid, rc = right.id.to_numpy(), right.c.to_numpy()
-            for i, (lid, lc) in enumerate(zip(left.id, left.c, strict=True)):
-                other = np.flatnonzero((rc != lc) & (rid != lid))
-                live = other[survivors(np.broadcast_to(lsig[i], (len(other), COMPARED)), rsig[other], percent / 100)]
-                for j in live[np.argsort(-(rsig[live] == lsig[i]).sum(axis=1), kind="stable")].tolist():
-                    p, q = find(int(lc)), find(int(rc[j]))
+            for i, live in partners(left, right):
+                for j in live.tolist():
+                    p, q = find(int(left.c[i])), find(int(right.c[j]))
                     if p != q and _linked(ls[i], rs[j], percent):
                         root[max(p, q)] = min(p, q)
-                        a.append(min(lid, rid[j]))
-                        b.append(max(lid, rid[j]))
+                        a.append(min(left.id[i], right.id[j]))
+                        b.append(max(left.id[i], right.id[j]))
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    sets = _texts_for(df, id_col, text_col, dealt, k, "id long, bh long, c long, x int, y int, side int")
-    links = materialise(sets.groupBy("bh", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "links")
-    release(dealt)
+    live = dealt.join(sigs, "id").groupBy("bh", "x", "y").applyInPandas(outlast, "id long, bh long, c long, x int, y int, side int, sig binary")
+    live = materialise(live, "outlasting")
+    links = live.join(sets, "id").groupBy("bh", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    links = materialise(links, "links")
+    release(dealt, live)
     return links
 
 
@@ -233,8 +269,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A-Z count as a-z; a text of fewer than k words has its whole sequence as its one shingle; texts without words, null
     ones too, have no shingle and link with nothing. component_id is the smallest id reachable, kept says that
     it is the row's own. Rows that share an id are one node, linked by any of their texts; rows without an
-    id link with nothing, get no component and are kept. An empty table gives no rows; other columns are not
-    looked at. The probability that banding misses a pair at 0.8 is 5e-6, and less above.
+    id link with nothing, get no component and are kept. An empty table gives no rows; other columns, whatever their names, are not
+    looked at. Texts of any length count whole. The probability that banding misses a pair at 0.8 is 5e-6, and less above.
     """
     t = percent / 100
     sk = materialise(sketch(df, id_col, text_col, k), "sketch")
@@ -250,8 +286,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     score = buckets.groupBy("id").agg(F.sum("m").alias("s"))
     buckets = materialise(buckets.join(score, "id"), "scored")
     central = F.struct("s", -F.col("id"))
-    leaders = buckets.groupBy("bh").agg(F.max_by("id", central).alias("leader"))
-    star = buckets.join(leaders, "bh").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    leaders = materialise(buckets.groupBy("bh").agg(F.max_by("id", central).alias("leader")), "leaders")
+    sets = _member_sets(df, id_col, text_col, buckets.select("id").distinct(), k)
+    star = buckets.join(_sized(leaders), "bh").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
 
     # rows that share an id bring their classes together
     shared = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
@@ -260,7 +297,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def grow(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(all links so far, components) after verifying candidate pairs."""
         live = materialise(_pass_signatures(pairs, sigs, t), "pairs")
-        links = links.unionByName(_verify(df, id_col, text_col, live, k, percent))
+        links = links.unionByName(_verify(sets, live, percent))
         release(live)
         return links, connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -277,10 +314,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = materialise(few.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "few")
     large = rest.where(F.col("m") > SMALL)
     if not large.isEmpty():
-        links = links.unionByName(_block_links(df, id_col, text_col, large.select("bh", "id", "c"), k, percent))
+        links = links.unionByName(_block_links(df, id_col, text_col, large.select("bh", "id", "c"), k, percent, sets, sigs))
     old = component
     links, component = grow(links, more)
-    release(old, more, buckets, rest, sigs)
+    release(old, more, buckets, rest, sigs, sets, leaders)
     placed = member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("id", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("id", "n", "k1", "k2").join(placed, ["id", "k1", "k2"], "left")
     comp = F.coalesce("component_id", "id")
@@ -288,7 +325,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df that near_duplicates() keeps, with all their columns: one id of each component, and rows without an id or words."""
-    found = near_duplicates(df, id_col, text_col, k, percent)
-    gone = materialise(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return df.join(_sized(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of each component of near_duplicates(), with all its columns, whatever their names, and all rows without words.
+
+    The smallest id stays. Rows that share an id, or have none, are nodes of their own, told apart by their content: of a component's rows of
+    the smallest id the one with the least hash stays, rows with an id before those without, and of rows that are the same in every column one. An empty
+    table stays empty. Texts of any length count whole. Texts are not shuffled but for rows that stand for several of the same.
+    """
+    mark, ident = fresh(df, "_gone"), F.col(f"`{id_col}`").cast("long")
+    ids = df.select(ident.alias("id"))
+    again = materialise(ids.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").select("id"), "repeated")
+    if again.isEmpty():
+        found = near_duplicates(df, id_col, text_col, k, percent)
+        gone = materialise(found.where(~F.col("kept")).select(F.col(id_col).alias(mark)).distinct(), "gone")
+        return df.join(_sized(gone), ident == F.col(mark), "left_anti")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), ident.alias("i"), row_hash(df, df.columns).alias("h"), F.col(f"`{text_col}`").alias("text"))
+    several = _sized(again.where("id is not null").select("id", F.lit(1).alias("several")))
+    rows = rows.join(several, rows["i"] == several["id"], "left").drop("id")
+    # a node of its own for every content of an id that several rows have; below zero, as ids seldom are
+    rows = rows.withColumn("node", F.when(F.col("i").isNull() | F.col("several").isNotNull(), -1 - F.shiftrightunsigned("h", 1)).otherwise(F.col("i")))
+    found = near_duplicates(rows.select("node", "text"), "node", "text", k, percent)
+    found = found.where("n_shingles > 0").groupBy("node").agg(F.max("component_id").alias("component_id"), F.count("*").alias("m"))
+    named = rows.select("node", "i", "h").distinct().join(found, "node")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "h", "node")).alias("best"))
+    verdict = named.join(best, "component_id").select("node", (F.col("node") == F.col("best.node")).alias("stays"), "m")
+    verdict = _sized(materialise(verdict.where("not stays or m > 1"), "verdict"))
+    left = rows.join(verdict, "node", "left").where("stays is null or stays")
+    one = left.where("stays is null").select("row")
+    same = left.where("stays").groupBy("node").agg(F.first("row").alias("row")).select("row")
+    return one.unionByName(same).select("row.*")

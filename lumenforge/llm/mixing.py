@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, release, sized
+from .common import WORD, materialise, release, row_hash, sized
 
 #: Copies of one row that one task makes.
 CHUNK = 10_000
@@ -41,12 +41,6 @@ def _digest(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))))
 
 
-def _content(df: DataFrame, columns: Sequence[str]) -> Column:
-    """A hash of the columns; maps, which have no hash, by their text."""
-    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`")
-    return F.xxhash64(*[plain(c) for c in columns])
-
-
 def _keys(id_col: str, source_col: str, seed: int, content: Column) -> dict[str, Column]:
     """Source and place in its seeded order: by digest of the id, then by content, so that only rows that are the same share a place."""
     source = F.col(f"`{source_col}`")
@@ -113,7 +107,7 @@ def mix_sources(
     tables give no rows; other columns, whatever their names, are not looked at. Sources are ordered in one task, one row each: meant for
     up to some millions of them; their rows are spread, however many one source, id or text has.
     """
-    keys = _keys(id_col, source_col, seed, _content(df, [text_col]))
+    keys = _keys(id_col, source_col, seed, row_hash(df, [text_col]))
     plan = _planned(df, keys, id_col, text_col, weights, budget, max_epochs)
     once = _times(plan.withColumn("copies", F.col("whole") + 1), F.col("more")).unionByName(_times(plan.withColumn("copies", F.col("whole")), F.col("m") - F.col("more")))
     return once.select(
@@ -144,7 +138,7 @@ def mix_documents(
     columns; where only some of the rows at the last place are in, they are the same in every column, and one stands for them. Null
     texts have no words; an empty table stays empty.
     """
-    keys = _keys(id_col, source_col, seed, _content(df, df.columns))
+    keys = _keys(id_col, source_col, seed, row_hash(df, df.columns))
     plan = _planned(df, keys, id_col, text_col, weights, budget, max_epochs)
     place = F.struct("d", "h")
     last = plan.groupBy("skey", "snull").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("more") > 0, place)).alias("last"), F.max_by(F.struct("more", "m"), F.when(F.col("more") > 0, place)).alias("at"))

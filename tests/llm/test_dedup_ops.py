@@ -234,3 +234,17 @@ def test_near_embeddings_of_repeated_ids(spark, monkeypatch):
         got = embed_dedup.near_embeddings(d, block=block, largest=block).collect()
         assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in got) == want
         assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in got)
+
+
+def test_drop_duplicates_of_shared_and_missing_ids(spark):
+    schema = "doc_id long, text string, _gone int, node string, extra map<string,int>"
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, "a b c d", 0), (5, "a b c d", 0), (5, "w x y z", 0), (1, "A b c d", 1), (None, "a b c d", 0), (None, long, 0), (None, long + " !", 0), (9, "p q r s", 3), (9, "p q r s", 3), (9, "p q r s", 3), (None, None, 0), (None, None, 0), (7, "", 0), (7, "", 0), (12, long + "x", 0), (13, "solo text is here now", 0)]
+    d = spark.createDataFrame([(i, t, g, "n", {"a": g}) for i, t, g in rows], schema)
+    out = minhash.drop_duplicates(d, k=2)
+    assert out.columns == d.columns and out.dtypes == d.dtypes
+    got = out.collect()
+    assert sorted(r["text"].lower() for r in got if r["text"]) == sorted(["a b c d", "w x y z", "p q r s", long + "x", "solo text is here now"])
+    assert {r["doc_id"] for r in got if r["text"]} == {1, 5, 9, 12, 13} and sum(not r["text"] for r in got) == 4
+    again = minhash.drop_duplicates(spark.createDataFrame([(1, "x y z", 1), (2, "x y z", 2), (3, "x y q", 3)], "doc_id long, text string, _gone int"), k=2)
+    assert sorted((r["doc_id"], r["_gone"]) for r in again.collect()) == [(1, 1), (3, 3)]
