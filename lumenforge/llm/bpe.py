@@ -59,6 +59,7 @@ class Vocabulary:
         self.tokens: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
+        self._bytes = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
         self.single = [0] * 256
         for t, i in model["vocab"].items():
             if len(t) == 1:
@@ -184,28 +185,32 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
-    def _resolve(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces as little-endian 32-bit integers."""
-        cut = [PATTERN.findall(p) for p in pieces]
-        words = list({w for ws in cut for w in ws})
+    def _resolve(self, pieces: list[str], before: str) -> dict[str, bytes]:
+        """Ids of pieces as little-endian 32-bit integers, `before` being put before each. Letters alone are one word; all else is cut by the pattern."""
+        alone = [p for p in pieces if p.isalpha()]
+        cut = [(p, PATTERN.findall(before + p)) for p in pieces if not p.isalpha()]
+        distinct = {before + p for p in alone}
+        for _, ws in cut:
+            distinct.update(ws)
+        words = list(distinct)
         raw = [w.encode() for w in words]
-        ids: dict[str, bytes] = {}
-        numbers = self.lexicon.numbers(raw).tolist() if self.lexicon else [-1] * len(words)
-        unseen = [i for i, k in enumerate(numbers) if k < 0]
-        for i, made in zip(unseen, self.v.merge_batch([raw[i] for i in unseen]), strict=True):
-            ids[words[i]] = made
-        for w, k in zip(words, numbers, strict=True):
-            if k >= 0:
-                ids[w] = self.lexicon.output(k)
-        return [b"".join([ids[w] for w in ws]) for ws in cut]
+        if self.lexicon:
+            numbers, output = self.lexicon.numbers(raw).tolist(), self.lexicon.output
+            ids = {w: output(k) for w, k in zip(words, numbers, strict=True) if k >= 0}
+            unseen = [i for i, k in enumerate(numbers) if k < 0]
+        else:
+            ids, unseen = {}, range(len(words))
+        ids.update(zip((words[i] for i in unseen), self.v.merge_batch([raw[i] for i in unseen]), strict=True))
+        out = {p: ids[before + p] for p in alone}
+        out.update((p, b"".join([ids[w] for w in ws])) for p, ws in cut)
+        return out
 
     def _fill(self, known: dict[str, bytes], pieces: set[str], before: str) -> list[str]:
         """Put pieces into the cache; those that are too long to stay there for other texts."""
-        new = [p for p in pieces if p not in known]
-        found = self._resolve([before + p for p in new])
-        known.update(zip(new, found, strict=True))
+        new = self._resolve([p for p in pieces if p not in known], before)
+        known.update(new)
         # a string, its bytes and their places in the table take some 200 bytes besides
-        self.held += sum(map(len, new)) + sum(map(len, found)) + 200 * len(new)
+        self.held += len("".join(new)) + len(b"".join(new.values())) + 200 * len(new)
         return [p for p in new if len(p) > LONGEST_WORD]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -251,7 +256,7 @@ class Encoder:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.v.tokens.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", errors="replace")
+        return b"".join(map(self.v._bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", errors="replace")
 
 
 def _blocks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -285,8 +290,7 @@ def piece_counts(df: DataFrame, text_col: str = "text", held: int = 48 << 20) ->
 
         size = 0  # of the texts since the last look at the counts
         for b in batches:
-            for t in b.column(0):
-                text = t.as_py()
+            for text in (t for part in range(0, b.num_rows, 256) for t in b.column(0).slice(part, 256).to_pylist()):
                 counts.update(_short_pieces(text))
                 size += len(text)
                 if size > 1 << 20:
@@ -300,7 +304,7 @@ def piece_counts(df: DataFrame, text_col: str = "text", held: int = 48 << 20) ->
     return slim.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", pieces: int = 131_072, words: int = 65_536) -> bytes:
+def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", pieces: int = 262_144, words: int = 131_072) -> bytes:
     """The compiled lexicon of the pattern's most frequent words within the corpus's most frequent pieces.
 
     A histogram of counts (a row for each sixteenth of a power of two) says from where on at most `pieces` pieces are left;
@@ -351,7 +355,7 @@ def _encoder(content: str, name: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", words: int = 65_536, with_ids: bool = False) -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", words: int = 131_072, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row; ids as little-endian 32-bit integers.
 
     A null text counts as empty: no tokens. Ids of rows may be null or repeated, each row has its own result; other columns,
