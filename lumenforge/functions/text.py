@@ -40,6 +40,10 @@ CLEANED = r'[.!"()*#:;~]'
 # ---------------------------------------------------------------------------------------------------------------
 
 
+#: Any of PUNCTUATION.
+ANY_MARK = "[" + "".join("\\" + p for p in PUNCTUATION) + "]"
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
@@ -74,18 +78,19 @@ def answer_punctuation(c: Column | str) -> Column:
                 out = F.replace(out, F.lit(p), F.when(gone, F.lit("")).otherwise(F.lit(" ")))
             return out
 
-        return let(F.struct(t.alias("t"), t.rlike(r"(?U)\d,\d").alias("n")), marks)
+        # most texts have no mark at all
+        return F.when(t.rlike(ANY_MARK), let(F.struct(t.alias("t"), t.rlike(r"(?U)\d,\d").alias("n")), marks)).otherwise(t)
 
     return F.array_join(F.split(let(as_column(c), body), r"(?U)\.(?!\d)", 33), "")
 
 
 def answer_words(c: Column | str) -> Column:
     """Number words to digits, articles dropped, contractions restored, words joined by one blank."""
-    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    words = F.filter(F.split(F.lower(as_column(c)), r"(?U)\s+"), lambda w: w != "")
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(table(NUMBER_WORDS), w), w))
-    words = F.filter(words, lambda w: ~w.isin(ARTICLES))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table(CONTRACTIONS), w), w)), " ")
+    # a set is asked first: a map is searched from its begin, which is for words that are in it
+    look = lambda m, w: F.when(w.isin(list(m)), F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), w)).otherwise(w)
+    words = F.filter(F.split(F.lower(as_column(c)), r"(?U)\s+"), lambda w: ~w.isin(["", *ARTICLES]))
+    # no number word stands for an article and no contraction is a number word's digit
+    return F.array_join(F.transform(words, lambda w: look({**CONTRACTIONS, **NUMBER_WORDS}, w)), " ")
 
 
 def normalise_answer(c: Column | str) -> Column:

@@ -117,9 +117,9 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
             j = int(np.where(used, np.inf, least).argmin())
             d = least[j]
             u[i] += d
-            for k in np.flatnonzero(used):
-                u[owner[k]] += d
-                v[k] -= d
+            k = np.flatnonzero(used)
+            u[owner[k]] += d
+            v[k] -= d
             least[~used] -= d
             used[j] = True
             col = j
@@ -141,16 +141,19 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return back_out
 
 
-def match(df: DataFrame, image: str, pred: str, target: str, cost: str) -> DataFrame:
-    """(image, pred, target): cheapest assignment of an image's predictions to its targets (J14). A task holds one image's costs."""
+def match(df: DataFrame, image: str, pred: str, target: str, cost: str, most: int = 4_000_000) -> DataFrame:
+    """(image, pred, target): cheapest assignment of an image's predictions to its targets (J14). A task holds one image's costs; an image of more than `most` of them ends the job."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=pred, columns=target, values=cost, aggfunc="first").sort_index().sort_index(axis=1)
-        found = hungarian(table.to_numpy())
+        if len(pdf) > most:
+            raise ValueError(f"{image} {key[0]} has {len(pdf)} costs, more than {most}")
+        (preds, i), (targets, j) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in (pred, target))
+        table = np.full((len(preds), len(targets)), np.inf)
+        table[i, j] = pdf[cost].to_numpy()
+        found = hungarian(np.where(np.isinf(table), 1e18, table))
         hit = np.flatnonzero(found >= 0)
-        return pd.DataFrame({image: key[0], pred: table.index.to_numpy()[hit], target: table.columns.to_numpy()[found[hit]]})
+        hit = hit[np.isfinite(table[hit, found[hit]])]  # pairs without a cost don't match
+        return pd.DataFrame({image: key[0], pred: preds[hit], target: targets[found[hit]]})
 
     types = {c: df.schema[c].dataType.simpleString() for c in (image, pred, target)}
     return df.groupBy(image).applyInPandas(one, ", ".join(f"{k} {v}" for k, v in types.items()))
-
-

@@ -109,6 +109,21 @@ def best(df: DataFrame, key: str, score: str, label: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(label, F.struct(F.col(score), -F.col(label))).alias(label))
 
 
+def nearest_label(df: DataFrame, vector: str, centres: DataFrame, label: str, centre: str, name: str, most: int = 10_000) -> DataFrame:
+    """df with the label of the centre of largest inner product, rounded to nine digits, the smaller label among equals.
+
+    The centres travel with every task as one row's array, for which they are counted: more than `most` end the job.
+    """
+    from ..functions.vectors import dot
+
+    n = centres.count()
+    if n > most:
+        raise ValueError(f"{n} centres, more than {most}")
+    table = centres.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("_centres"))
+    score = F.transform("_centres", lambda c: F.struct(F.round(dot(vector, c["c"]), 9).alias("s"), (-c["l"]).alias("l")))
+    return df.crossJoin(F.broadcast(table)).withColumn(name, -F.array_max(score)["l"]).drop("_centres")  # one row
+
+
 def answer_ranking(df: DataFrame, query: str, answer: str, first: str, likelihood: str, k: int) -> DataFrame:
     """The answer of the largest likelihood among the k of largest first-token probability."""
     return best(top_k(df, query, first, answer, k), query, likelihood, answer)

@@ -9,10 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def seeded(seed: int, *cols: str | Column) -> Column:
+    """A digest that is fixed by the seed and the columns: what seeded orders sort by."""
+    c = [F.col(x) if isinstance(x, str) else x for x in cols]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(x.cast("string"), F.lit("")) for x in c]))
+
+
 def uniform(seed: int, *cols: str | Column) -> Column:
-    """A number in (0, 1) that is fixed by the seed and the columns."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double")
-    return (h + 0.5) / float(1 << 53)
+    """A number in (0, 1) that is fixed by the seed and the columns: the digest's first 52 bits."""
+    return (F.conv(F.substring(seeded(seed, *cols), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def limit_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
@@ -22,7 +27,7 @@ def limit_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Column
 
 def sample_rows(df: DataFrame, group: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of each group without replacement, all of smaller ones."""
-    return limit_rows(df, group, [F.xxhash64(F.lit(seed), key), key], n)
+    return limit_rows(df, group, [seeded(seed, key), key], n)
 
 
 def sample_or_pad(df: DataFrame, group: str, key: str, values: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -47,7 +52,7 @@ def uncertain_points(df: DataFrame, group: Sequence[str], logit: str, key: str,
     most = int(share * n)
     near = F.row_number().over(W.partitionBy(*group).orderBy(F.abs(logit), key))
     df = df.withColumn("_near", near)
-    rest = F.row_number().over(W.partitionBy(*group, F.col("_near") <= most).orderBy(F.xxhash64(F.lit(seed), key), key))
+    rest = F.row_number().over(W.partitionBy(*group, F.col("_near") <= most).orderBy(seeded(seed, key), key))
     return df.withColumn("_rest", rest).where((F.col("_near") <= most) | (F.col("_rest") <= n - most)).drop("_near", "_rest")
 
 
@@ -58,17 +63,19 @@ def mixture(sources: dict[str, DataFrame], ratios: dict[str, float], rows: int,
     check_ratios(list(sources), ratios)
     whole, out = sum(ratios.values()), None
     for name, df in sources.items():
-        part = df.withColumn("source", F.lit(name)).orderBy(F.xxhash64(F.lit(seed), key), key).limit(round(rows * ratios[name] / whole))
+        part = df.withColumn("source", F.lit(name)).orderBy(seeded(seed, key), key).limit(round(rows * ratios[name] / whole))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def mixture_stream(sources: Sequence[tuple[str, DataFrame, float]], key: str, seed: int = 0) -> DataFrame:
-    """Rows of all sources with an interleaving `turn`: source i's k-th row comes at k / ratio, as a mixing loader would deal them."""
+    """Rows of all sources with an interleaving `turn`: source i's k-th row comes at k / ratio, as a mixing loader would deal them. Sources are numbered by ranges."""
+    from .ordering import number_rows
+
     out = None
     for name, df, ratio in sources:
-        r = F.row_number().over(W.partitionBy(F.lit(name)).orderBy(F.xxhash64(F.lit(seed), key), key))
-        part = df.select(key).withColumn("source", F.lit(name)).withColumn("turn", r / F.lit(float(ratio)))
+        part = number_rows(df.select(key).withColumn("_h", seeded(seed, key)), ["_h", key], "_k")
+        part = part.select(key, F.lit(name).alias("source"), ((F.col("_k") + 1) / F.lit(float(ratio))).alias("turn"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -78,7 +85,7 @@ def mask_tokens(tokens: Column, key: Column, mask_id: int, vocabulary: int, shar
 
     def one(t: Column, i: Column) -> Column:
         u, v = uniform(seed, key, i), uniform(seed + 1, key, i)
-        other = F.pmod(F.xxhash64(F.lit(seed + 2), key, i), F.lit(vocabulary)).cast("int")
+        other = F.floor(uniform(seed + 2, key, i) * vocabulary).cast("int")
         chosen = u < share
         return F.struct(F.when(chosen & (v < 0.8), mask_id).when(chosen & (v < 0.9), other).otherwise(t).alias("input"), F.when(chosen, t).otherwise(-100).alias("label"))
 
@@ -92,7 +99,7 @@ def frame_indices(n: int, length: Column, how: str = "uniform", seed: int = 0, k
     half = F.floor(length / 2).cast("int")
 
     def pick(lo: Column, hi: Column) -> Column:
-        ordered = F.array_sort(F.transform(F.sequence(lo, hi - 1), lambda i: F.struct(F.xxhash64(F.lit(seed), key if key is not None else F.lit(0), i).alias("h"), i.alias("i"))))
+        ordered = F.array_sort(F.transform(F.sequence(lo, hi - 1), lambda i: F.struct(seeded(seed, key if key is not None else F.lit(0), i).alias("h"), i.alias("i"))))
         return F.transform(F.slice(ordered, 1, n // 2), lambda s: s["i"])
 
     return F.array_sort(F.concat(pick(F.lit(0), half), pick(half, length.cast("int"))))

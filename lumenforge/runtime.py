@@ -1,13 +1,15 @@
-"""Getting the package to the Python workers."""
+"""Getting the package to the Python workers, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -28,3 +30,70 @@ def ship(spark: SparkSession) -> None:
         for f in sorted((root / "lumenforge").rglob("*.py")):
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(path))
+
+
+_LEFT: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, which only local mode may do, a new one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at exit."""
+    path = f"{shared_dir(spark)}/lumenforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _LEFT[path] = spark
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the scratch tables behind frames that materialise() returned and nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path in _LEFT:
+            delete(_LEFT.pop(path), path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, by the file system that the path names."""
+    p, fs = _file_system(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def _clean() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            pass
+
+
+atexit.register(_clean)
