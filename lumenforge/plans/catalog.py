@@ -19,7 +19,7 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import windows as N
 from ..operators.ordering import number_rows
-from ..runtime import ship
+from ..runtime import scratch, ship
 
 FLAGSHIP = "m1_scorecard"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,15 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def _seeded_sql(*keys: str, seed: str = "0") -> str:
+    """The digest that seeded orders sort by."""
+    return "md5(concat_ws(':', '" + seed + "', " + ", ".join(f"coalesce(({k})::VARCHAR, '')" for k in keys) + "))"
+
+
+def _uniform_sql(*keys: str, seed: str = "0") -> str:
+    return f"((('0x' || substr({_seeded_sql(*keys, seed=seed)}, 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+
+
 # --- text -----------------------------------------------------------------------------------------------------
 
 _CAPTION = "array_to_string((string_split(trim(rtrim(regexp_replace(regexp_replace(lower(text), '[.!\"()*#:;~]', ' ', 'g'), '[\\s]{2,}', ' ', 'g'), chr(10))), ' '))[1:50], ' ')"
@@ -151,9 +160,9 @@ def f27(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.replace_in_path("url", {"https://": "view_", "view_": "depth_0"}).alias("path"))
 
 
-@query("f21_accept_new")
+@query("f21_accept_new", "SELECT conv_id, coalesce(string_agg(text, '|' ORDER BY turn), '') AS accepted FROM conversations a WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND contains(b.text, a.text)) GROUP BY conv_id")
 def f21(t: Tables) -> DataFrame:
-    """Whole turns as captions, in the order of each conversation."""
+    """Whole turns as captions, in the order of each conversation. What is part of a rejected caption is part of the one that rejected that, which is how SQL says it."""
     d = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
     return d.select("conv_id", F.array_join(X.accept_new(F.filter(F.col("s")["text"], lambda c: c.isNotNull())), "|").alias("accepted"))
 
@@ -273,11 +282,9 @@ m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, unnest(range(1, len(u) +
 
 @query("m4_nearest_centroid", _CENTRES + ", b AS (SELECT vec_id, label, arg_max(cl, round(list_dot_product(u, c), 9) * 1000000 - cl * 1e-9) AS p FROM u, n GROUP BY ALL) SELECT label, count(*) AS n, round(avg((label = p)::INT::DOUBLE), 6) AS accuracy FROM b GROUP BY label")
 def m4(t: Tables) -> DataFrame:
-    """Accuracy of the nearest centroid (M4: A24, V02, T04, A12). The centroids are one row a label, which Spark broadcasts if their size allows."""
+    """Accuracy of the nearest centroid (M4: A24, V02, T04, A12). The centroids, a counted few, go along as one row."""
     e = t.embeddings.select("vec_id", "label", V.normalise("embedding").alias("u"))
-    centres = P.prompt_ensemble(t.embeddings, "label", "embedding").withColumnRenamed("label", "cl")
-    d = e.join(centres).select("vec_id", "label", "cl", F.round(V.dot("u", "centre"), 9).alias("s"))
-    best = d.groupBy("vec_id", "label").agg(F.max_by("cl", F.struct("s", -F.col("cl"))).alias("p"))
+    best = M.nearest_label(e, "u", P.prompt_ensemble(t.embeddings, "label", "embedding").withColumnRenamed("label", "cl"), "cl", "centre", "p")
     return best.groupBy("label").agg(F.count("*").alias("n"), r6(M.accuracy("label", "p")).alias("accuracy"))
 
 
@@ -389,7 +396,7 @@ def w08(t: Tables) -> DataFrame:
     return N.ring_buffer(t.events, "event_id", 100).select("event_id", "user_id")
 
 
-@query("w09_ema")
+@query("w09_ema", "SELECT user_id, round(sum(0.1 * pow(0.9, n - k) * value), 6) AS ema FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1")
 def w09(t: Tables) -> DataFrame:
     d = N.ordered_values(t.events, "user_id", "event_id", "value")
     return d.select("user_id", r6(V.ema("values", 0.9, F.lit(0.0))).alias("ema"))
@@ -418,13 +425,21 @@ def w14(t: Tables) -> DataFrame:
     return T.pair_messages(t.conversations, "conv_id", "turn", "text")
 
 
-@query("m5_token_sequences")
+@query(
+    "m5_token_sequences",
+    "WITH w AS (SELECT conv_id, turn, list_transform(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), lambda x: length(x) * 97 + unicode(x) % 89) AS ids FROM conversations), "
+    "h AS (SELECT conv_id, turn, ids, coalesce(list(ids) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS history FROM w), "
+    "a AS (SELECT conv_id, turn, ids, list_transform(list_concat(history, [ids]), lambda x: list_concat(x, [50001])) AS turns FROM h), "
+    "s AS (SELECT conv_id, turn, list_concat([7, 50001], flatten(turns)) AS input_ids, list_concat([50002, 50002], flatten(list_transform(range(1, len(turns) + 1), lambda i: list_transform(turns[i], lambda x: CASE WHEN i % 2 = 0 THEN 50004 ELSE 50003 END)))) AS types, list_concat(ids, [50001]) AS answer FROM a) "
+    "SELECT conv_id, turn, len(input_ids)::INT AS n, array_to_string(input_ids, ' ') AS input_ids, array_to_string(types, ' ') AS token_type_ids, array_to_string(list_concat(list_transform(range(0, len(input_ids) - len(answer)), lambda x: -1), answer), ' ') AS labels FROM s",
+)
 def m5(t: Tables) -> DataFrame:
-    """Dialogue training rows with special tokens, padded (M5: W02, W04, F24, V22); words stand in for token ids by hash."""
-    ids = lambda c: F.transform(C.tokens(c), lambda w: F.pmod(F.xxhash64(w), F.lit(50000)).cast("int"))
+    """Dialogue training rows with special tokens, padded (M5: W02, W04, F24, V22); a number made of a word's length and first letter stands in for its token id."""
+    ids = lambda c: F.transform(C.tokens(c), lambda w: F.length(w) * 97 + F.ascii(w) % 89)
     d = T.prefixes(t.conversations.select("conv_id", "turn", ids("text").alias("ids")), "conv_id", "turn", ["ids"], last=3)
     d = d.select("conv_id", "turn", T.token_sequence(F.array(F.lit(7)), F.transform("history", lambda h: h["ids"]), F.col("ids"), 50001, 50002, 50003, 50004).alias("s"))
-    return d.select("conv_id", "turn", F.size("s.input_ids").alias("n"), F.xxhash64("s.input_ids", "s.token_type_ids", "s.labels").alias("digest"))
+    line = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return d.select("conv_id", "turn", F.size("s.input_ids").alias("n"), *[line(f"s.{c}").alias(c) for c in ("input_ids", "token_type_ids", "labels")])
 
 
 @query("d12_batches", "WITH b AS (SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 16 AS batch FROM conversations) SELECT batch, string_agg(turn::VARCHAR, ',' ORDER BY conv_id, turn) AS turns FROM b GROUP BY batch")
@@ -442,32 +457,48 @@ def d03(t: Tables) -> DataFrame:
 # --- sampling -----------------------------------------------------------------------------------------------------
 
 
-@query("t10_sample")
+@query("t10_sample", f"SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {_seeded_sql('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_quantity::INT')}, l_orderkey) <= 300")
 def t10(t: Tables) -> DataFrame:
-    return S.sample_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", F.struct("l_orderkey", "l_linenumber").alias("k")), ["l_returnflag"], "k", 300).drop("k")
+    """300 lines of each flag: a line is told by its order, number, part, supplier and quantity."""
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string"))
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", key.alias("k"))
+    return S.sample_rows(d, ["l_returnflag"], "k", 300).drop("k")
 
 
-@query("t11_sample_or_pad")
+@query("t11_sample_or_pad", f"WITH k AS (SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_seeded_sql('event_id')}, event_id) <= 500), p AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::INT AS place, value FROM k), n AS (SELECT event_type, max(place) AS top FROM p GROUP BY 1) SELECT event_type, place, round(value, 6) AS value FROM p UNION ALL SELECT event_type, unnest(range(top + 1, 500))::INT, NULL FROM n WHERE top < 499")
 def t11(t: Tables) -> DataFrame:
-    return S.sample_or_pad(t.events, "event_type", "event_id", ["value"], 500)
+    return S.sample_or_pad(t.events, "event_type", "event_id", ["value"], 500).withColumn("value", r6(F.col("value")))
 
 
-@query("t13_weighted_sample")
+@query("t13_weighted_sample", f"SELECT o_orderpriority, o_orderkey FROM orders WHERE o_totalprice > 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY round(-ln({_uniform_sql('o_orderkey')}) / o_totalprice, 15), o_orderkey) <= 50")
 def t13(t: Tables) -> DataFrame:
-    return S.weighted_sample(t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 50)
+    return S.weighted_sample(t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey"), ["o_orderpriority"], "o_totalprice", "o_orderkey", 50).select("o_orderpriority", "o_orderkey")
 
 
-@query("t14_mixture")
+@query(
+    "t14_mixture",
+    "WITH r AS (SELECT * FROM (VALUES ('en', 2), ('fr', 1), ('de', 1), ('es', 1)) v(lang, ratio)), p AS (SELECT doc_id, d.lang, ratio, row_number() OVER (PARTITION BY d.lang ORDER BY " + _seeded_sql("doc_id") + ", doc_id) AS k FROM documents d JOIN r ON d.lang = r.lang) "
+    "SELECT doc_id, lang, lang AS source FROM p WHERE k <= round_even(200 * ratio / 5.0, 0)",
+)
 def t14(t: Tables) -> DataFrame:
-    parts = {lang: t.documents.where(F.col("lang") == lang).select("doc_id", "lang") for lang in ("en", "fr", "de")}
-    return S.mixture(parts, {"en": 2, "fr": 1, "de": 1}, 200, "doc_id")
+    """All languages of the documents, by ratio."""
+    ratios = {"en": 2, "fr": 1, "de": 1, "es": 1}
+    parts = {lang: t.documents.where(F.col("lang") == lang).select("doc_id", "lang") for lang in ratios}
+    return S.mixture(parts, ratios, 200, "doc_id")
 
 
-@query("v26_mask_tokens")
+@query(
+    "v26_mask_tokens",
+    "WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), t AS (SELECT item_id, unnest(range(0, len(w))) AS i, unnest(w) AS w FROM w), "
+    f"u AS (SELECT item_id, i, length(w) AS id, {_uniform_sql('item_id', 'i')} AS u, {_uniform_sql('item_id', 'i', seed='1')} AS v, {_uniform_sql('item_id', 'i', seed='2')} AS x FROM t) "
+    "SELECT item_id, string_agg(CASE WHEN u < 0.15 AND v < 0.8 THEN 103 WHEN u < 0.15 AND v < 0.9 THEN floor(x * 30000)::INT ELSE id END::VARCHAR, ' ' ORDER BY i) AS inputs, string_agg(CASE WHEN u < 0.15 THEN id ELSE -100 END::VARCHAR, ' ' ORDER BY i) AS labels FROM u GROUP BY 1",
+)
 def v26(t: Tables) -> DataFrame:
-    ids = F.transform(C.tokens("text"), lambda w: F.pmod(F.xxhash64(w), F.lit(30000)).cast("int"))
+    """Masked words of the benchmark's texts; a word's length stands in for its token id."""
+    ids = F.transform(C.tokens("text"), F.length)
     d = t.benchmark.select("item_id", S.mask_tokens(ids, F.col("item_id"), 103, 30000).alias("m"))
-    return d.select("item_id", F.size(F.filter("m", lambda x: x["label"] >= 0)).alias("n_masked"), F.size("m").alias("n"))
+    line = lambda f: F.array_join(F.transform("m", lambda x: x[f].cast("string")), " ")
+    return d.select("item_id", line("input").alias("inputs"), line("label").alias("labels"))
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------
@@ -480,7 +511,12 @@ def v01(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", r6(V.norm("embedding")).alias("norm"), r6(V.total(V.normalise("embedding"))).alias("unit_sum"))
 
 
-@query("v20_quantise")
+@query(
+    "v20_quantise",
+    "WITH x AS (SELECT vec_id, (p - 1) // 32 AS g, x::DOUBLE AS x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS p, unnest(embedding) AS x FROM embeddings)), s AS (SELECT vec_id, g, min(x) AS mn, max(x) AS mx FROM x GROUP BY ALL), "
+    "q AS (SELECT x.vec_id, x.x, mn, CASE WHEN mx > mn THEN 255 / (mx - mn) ELSE 0.0 END AS scale FROM x JOIN s USING (vec_id, g)), b AS (SELECT vec_id, x, CASE WHEN scale > 0 THEN round_even(least(255.0, greatest(0.0, (x - mn) * scale)), 0) / scale ELSE 0.0 END + mn AS back FROM q) "
+    "SELECT vec_id, round(max(abs(x - back)), 6) AS worst FROM b GROUP BY 1",
+)
 def v20(t: Tables) -> DataFrame:
     d = t.embeddings.select("vec_id", V.doubles("embedding").alias("v"), V.quantise("embedding", 32).alias("q"))
     d = d.select("vec_id", "v", V.dequantise("q", F.size("v")).alias("back"))
@@ -503,9 +539,10 @@ def a14(t: Tables) -> DataFrame:
     return d.select("label", F.posexplode("mean").alias("place", "mean")).withColumn("mean", r6(F.col("mean")))
 
 
-@query("v19_positional", "SELECT event_id, round(sin(event_id::DOUBLE), 6) AS s0, round(cos(event_id / pow(10000.0, 2 / 8.0)), 6) AS c1 FROM events WHERE event_id < 257")
+@query("v19_positional", "SELECT event_id, round(sin(event_id::DOUBLE), 6) AS s0, round(cos(event_id / pow(10000.0, 2 / 8.0)), 6) AS c1 FROM events")
 def v19(t: Tables) -> DataFrame:
-    d = t.events.where("event_id < 257").select("event_id", V.positional(F.col("event_id"), 8).alias("p"))
+    """The codes of all events' numbers."""
+    d = t.events.select("event_id", V.positional(F.col("event_id"), 8).alias("p"))
     return d.select("event_id", r6(F.get("p", 0)).alias("s0"), r6(F.get("p", 3)).alias("c1"))
 
 
@@ -549,8 +586,16 @@ def m10(t: Tables) -> DataFrame:
     return d.select("scene", "vx", "vy", "vz", r6(F.get("mean", 0)).alias("f0"), r6(F.get("mean", 60)).alias("f60"), "n")
 
 
-@query("m10_object_voxels")
+@query(
+    "m10_object_voxels",
+    _POINTS + ", k AS (SELECT * FROM p WHERE sqrt(x*x + y*y + z*z) > 0 AND sqrt(x*x + y*y + z*z) < 10000), c AS (SELECT scene, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM k GROUP BY 1), d AS (SELECT vec_id, scene, feat, x - cx AS x, y - cy AS y, z - cz AS z FROM k JOIN c USING (scene)), "
+    "r AS (SELECT scene, max(sqrt(x*x + y*y + z*z)) AS radius FROM d GROUP BY 1), n AS (SELECT vec_id, scene, feat, x / radius AS x, y / radius AS y, z / radius AS z FROM d JOIN r USING (scene) WHERE list_sum(feat) <> 0), "
+    f"s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY scene ORDER BY {_seeded_sql('vec_id')}, vec_id) <= 100), v AS (SELECT scene, trunc(x * 4 + 4)::INT AS vx, trunc(y * 4 + 4)::INT AS vy, trunc(z * 4 + 4)::INT AS vz, feat FROM s), "
+    "m AS (SELECT scene, vx, vy, vz, q, avg(f) AS f FROM (SELECT scene, vx, vy, vz, unnest(range(1, 62)) AS q, unnest(feat) AS f FROM v) GROUP BY ALL), g AS (SELECT scene, vx, vy, vz, sqrt(sum(f * f)) AS norm FROM m GROUP BY ALL), h AS (SELECT scene, vx, vy, vz, count(*) AS n FROM v GROUP BY ALL) "
+    "SELECT scene, vx, vy, vz, round(norm, 6) AS norm, n FROM g JOIN h USING (scene, vx, vy, vz)",
+)
 def m10b(t: Tables) -> DataFrame:
+    """From points to voxelised features of objects."""
     d = P.object_voxels(_points(t), "scene", "vec_id", "x", "y", "z", "feat", limit=100, half=4)
     return d.select("scene", "vx", "vy", "vz", r6(V.norm("mean")).alias("norm"), "n")
 
@@ -606,30 +651,46 @@ def a21(t: Tables) -> DataFrame:
     return d.select("vec_id", "label", r6(F.col("avg_sim")).alias("avg_sim"))
 
 
-@query("m8_fuse_and_fold")
+@query(
+    "m8_fuse_and_fold",
+    "WITH RECURSIVE " + _FUSE.removeprefix("WITH ") + "s AS (SELECT label, p, sum(x) AS x FROM (SELECT label, unnest(range(1, len(u) + 1)) AS p, unnest(u) AS x FROM u) GROUP BY ALL), l AS (SELECT label, list(x ORDER BY p) AS s FROM s GROUP BY label), n AS (SELECT label, count(*) AS n FROM u GROUP BY label), "
+    "a AS (SELECT vec_id, label, (vec_id * 37 % 1000) / 1000.0::DOUBLE AS score, (list_dot_product(u, s) - list_dot_product(u, u)) / n AS sim FROM u JOIN l USING (label) JOIN n USING (label)), "
+    "w AS (SELECT vec_id, label, score, exp(score - sim - max(score - sim) OVER (PARTITION BY label)) AS e FROM a), k AS (SELECT vec_id, label, score, e / sum(e) OVER (PARTITION BY label) AS weight FROM w), "
+    "b AS (SELECT vec_id, label, score, list_transform(range(1, len(v) + 1), lambda i: weight * (CASE WHEN i = 1 THEN 1.0 ELSE 0.0 END) + (1 - weight) * v[i]) AS f FROM k JOIN e USING (vec_id, label)), "
+    "m AS MATERIALIZED (SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place, list_transform(f, lambda x: x / greatest(sqrt(list_dot_product(f, f)), 1e-12)) AS f FROM b), "
+    "o(label, place, f) AS (SELECT label, place, list_transform(f, lambda x: x / greatest(sqrt(list_dot_product(f, f)), 1e-12)) FROM m WHERE place = 1 UNION ALL "
+    "SELECT label, place, list_transform(g, lambda x: x / greatest(sqrt(list_dot_product(g, g)), 1e-12)) FROM (SELECT m.label, m.place, list_transform(range(1, len(m.f) + 1), lambda i: o.f[i] + m.f[i]) AS g FROM o JOIN m ON m.label = o.label AND m.place = o.place + 1)) "
+    "SELECT label, round(sqrt(list_dot_product(f, f)), 6) AS norm, round(f[2], 6) AS f1 FROM o QUALIFY place = max(place) OVER (PARTITION BY label)",
+)
 def m8(t: Tables) -> DataFrame:
     """Vectors of a label as masks of one view, fused and folded in score order (M8: T06, A21, A20, V05, A22)."""
     whole = F.transform(V.doubles("embedding"), lambda x, i: F.when(i == 0, 1.0).otherwise(0.0))
-    d = t.embeddings.withColumn("score", F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000.0)
+    d = t.embeddings.withColumn("score", (F.col("vec_id") * 37 % 1000) / 1000.0)
     d = K.order_by_score(K.fuse_masks(d, "label", "vec_id", "score", "embedding", whole), "label", "score", "vec_id")
     f = K.fold_pixels(d, ["label"], "place", "fused")
     return f.select("label", r6(V.norm("feature")).alias("norm"), r6(F.get("feature", 1)).alias("f1"))
 
 
-@query("j14_assignment")
+@query("j14_assignment", "WITH a AS (SELECT o_custkey, o_totalprice / 100 AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 100) AS k FROM orders), b AS (SELECT o_custkey, o_orderkey / 10.0 AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT o_custkey, count(*) AS n, round(sum((x - y) * (x - y)) / 1000, 3) AS cost FROM a JOIN b USING (o_custkey, k) GROUP BY 1")
 def j14(t: Tables) -> DataFrame:
-    """Cheapest assignment of suppliers to customers of a region's nations."""
-    s = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
-    c = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    d = s.join(c, "nation").select("nation", "s_suppkey", "c_custkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("cost"))
-    return K.match(d, "nation", "s_suppkey", "c_custkey", "cost")
+    """Cheapest assignment of a customer's prices to a customer's order numbers by squared difference (J14), which on a line is the one in order."""
+    p = t.orders.select("o_custkey", F.col("o_orderkey").alias("pred"), (F.col("o_totalprice") / 100).alias("x"))
+    y = t.orders.select("o_custkey", F.col("o_orderkey").alias("target"), (F.col("o_orderkey") / 10.0).alias("y"))
+    d = p.join(y, "o_custkey").withColumn("cost", (F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))
+    found = K.match(d.select("o_custkey", "pred", "target", "cost"), "o_custkey", "pred", "target", "cost")
+    return found.join(d, ["o_custkey", "pred", "target"]).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("cost") / 1000, 3).alias("cost"))
 
 
-@query("m7_scene_prompts", "SELECT l_orderkey, least(count(*), 50) AS n FROM lineitem GROUP BY 1")
+@query(
+    "m7_scene_prompts",
+    "WITH f AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 50), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS running FROM f) "
+    "SELECT l_orderkey, string_agg('<' || l_returnflag || '>(' || running || '): [' || (l_quantity / 2)::VARCHAR || ', ' || round_even(l_partkey / 4.0, 3)::DOUBLE::VARCHAR || ']', chr(10) ORDER BY k) AS description FROM r GROUP BY 1",
+)
 def m7(t: Tables) -> DataFrame:
-    """Scene descriptions of the first boxes (M7: T09, W01, V07, F16); their lines are counted."""
-    d = T.scene_description(t.lineitem, "l_orderkey", "l_returnflag", "l_linenumber", [(F.col("l_quantity") + F.col("l_tax")) / 2, (F.col("l_discount") + F.col("l_tax")) / 2])
-    return d.select("l_orderkey", F.size(F.split("description", "\n")).cast("long").alias("n"))
+    """Scene descriptions of the first boxes (M7: T09, W01, V07, F16), the text itself."""
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    d = t.lineitem.select("l_orderkey", "l_returnflag", place.alias("place"), "l_quantity", "l_partkey")
+    return T.scene_description(d, "l_orderkey", "l_returnflag", "place", [F.col("l_quantity") / 2, F.col("l_partkey") / 4.0])
 
 
 @query("s02_json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -639,14 +700,13 @@ def s02(t: Tables) -> DataFrame:
 
 @query("stream_windowed_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream(t: Tables) -> DataFrame:
-    """Day windows by a stream over the table's files, run to its end; the sink holds one row a window and type."""
-    from ..streaming.streams import windowed_counts
+    """Day windows by a stream over the table's files, run to its end into a table of the shared folder, where the checkpoint is too."""
+    from ..streaming.streams import drain, windowed_counts
 
     files = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    name = f"stream_{abs(hash(t.folder)) % 10**9}"
-    q = windowed_counts(files, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = scratch(t.spark, "windows")
+    drain(windowed_counts(files, ["event_type"]), lambda rows, _: rows.write.mode("overwrite").parquet(out), scratch(t.spark, "checkpoint"), "complete")
+    return t.spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 # --- more filters, joins, aggregates and functions ------------------------------------------------------------------
@@ -709,17 +769,23 @@ def j13(t: Tables) -> DataFrame:
     return D.reverse_or_fail(t.customer.select("c_custkey", F.col("c_nationkey").alias("key")), table, "key", "n_name").select("c_custkey", "n_name")
 
 
-@query("j16_contexts")
+@query(
+    "j16_contexts",
+    "WITH d AS (SELECT source, lower(text) AS c FROM documents), k AS (SELECT source, min(c) FILTER (contains(c, 'the')) AS c1 FROM d GROUP BY 1), l AS (SELECT d.source, c1, min(c) FILTER (contains(c, 'de') AND c IS DISTINCT FROM c1) AS c2 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY 1, 2), "
+    "m AS (SELECT d.source, c1, c2, min(c) FILTER (contains(c, 'the') AND c IS DISTINCT FROM c1 AND c IS DISTINCT FROM c2) AS c3 FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source GROUP BY 1, 2, 3) "
+    "SELECT source, ((c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT)::INT AS n, concat_ws('|', c1, c2, c3) AS contexts FROM m",
+)
 def j16(t: Tables) -> DataFrame:
     """Whole texts as captions, in alphabetical order."""
     d = T.first_captions(t.documents.select("source", F.lower("text").alias("c")), "source", "c", ["the", "de", "the"])
     return T.context_for_answers(d, "source", "answers", "captions").select("source", F.size("contexts").alias("n"), F.array_join("contexts", "|").alias("contexts"))
 
 
-@query("a09_maps", "SELECT lang, string_agg(doc_id::VARCHAR || '=' || quality::VARCHAR, ',' ORDER BY doc_id) AS scores FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+@query("a09_maps", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR || '=' || o_orderpriority, ',' ORDER BY o_orderkey) AS scores FROM orders GROUP BY 1")
 def a09(t: Tables) -> DataFrame:
-    d = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_id", "quality")))).alias("m"))
-    return d.select("lang", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",").alias("scores"))
+    """Maps by question for each of a key that has a bounded number of them, here a customer's orders."""
+    d = t.orders.groupBy("o_custkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))).alias("m"))
+    return d.select("o_custkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("scores"))
 
 
 @query("a11_strict_accuracy", "SELECT lang, round(avg((lower(source) = 'src' || (doc_id % 20))::INT::DOUBLE) * 100, 6) AS accuracy FROM documents GROUP BY 1")
@@ -728,10 +794,17 @@ def a11(t: Tables) -> DataFrame:
     return d.groupBy("lang").agg(r6(M.strict_accuracy("pred", "gold", True)).alias("accuracy"))
 
 
-@query("a25_panoptic")
+@query(
+    "a25_panoptic",
+    "WITH r AS (SELECT l_suppkey % 7 AS view, l_partkey % 50 AS px, l_orderkey % 5 AS query, max((l_orderkey * 7 + l_linenumber * 131 + l_partkey * 3) % 1000) / 1000.0 AS mask FROM lineitem GROUP BY ALL), m AS (SELECT *, 0.5 + query / 20.0 AS score, (query % 3)::INT AS label FROM r), "
+    "w AS (SELECT view, px, query FROM m WHERE label <> 9 AND score > 0.4 QUALIFY row_number() OVER (PARTITION BY view, px ORDER BY round(score * mask, 9) DESC, query) = 1), a AS (SELECT view, query, count(*) AS whole FROM m WHERE mask >= 0.5 GROUP BY ALL), "
+    "b AS (SELECT view, query, count(*) AS won FROM m JOIN w USING (view, px, query) WHERE mask >= 0.5 GROUP BY ALL), k AS (SELECT view, query, won, (query % 3)::INT AS label FROM a JOIN b USING (view, query) WHERE won >= 0.05 * whole), "
+    "f AS (SELECT *, label = 0 AS isthing, min(query) OVER (PARTITION BY view, CASE WHEN label = 0 THEN 't' || query ELSE 's' || label END) AS first FROM k) SELECT view, query, label, isthing, dense_rank() OVER (PARTITION BY view ORDER BY first)::INT AS segment, won FROM f",
+)
 def a25(t: Tables) -> DataFrame:
     """Panoptic segments of lines as masks over pixels."""
-    d = t.lineitem.select((F.col("l_suppkey") % 7).alias("view"), (F.col("l_partkey") % 50).alias("px"), (F.col("l_orderkey") % 5).alias("query"), F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(1000)).alias("h"))
+    h = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131 + F.col("l_partkey") * 3) % 1000
+    d = t.lineitem.select((F.col("l_suppkey") % 7).alias("view"), (F.col("l_partkey") % 50).alias("px"), (F.col("l_orderkey") % 5).alias("query"), h.alias("h"))
     d = d.groupBy("view", "px", "query").agg((F.max("h") / 1000.0).alias("mask")).withColumn("score", 0.5 + F.col("query") / 20.0).withColumn("label", (F.col("query") % 3).cast("int"))
     return K.panoptic_segments(d, "view", ["px"], "query", "score", "label", "mask", F.col("label") == 0, 9, 0.4, 0.05)
 
@@ -771,7 +844,7 @@ def t15(t: Tables) -> DataFrame:
     return M.top_k(t.supplier, "s_nationkey", "s_acctbal", "s_suppkey", 3).select("s_nationkey", "s_suppkey")
 
 
-@query("t16_uncertain_points")
+@query("t16_uncertain_points", f"WITH n AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 50), event_id) AS near FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, near <= 75 ORDER BY {_seeded_sql('event_id')}, event_id) AS rest FROM n) SELECT event_type, event_id FROM r WHERE near <= 75 OR rest <= 25")
 def t16(t: Tables) -> DataFrame:
     d = t.events.select("event_type", "event_id", (F.col("value") - 50).alias("logit"))
     return S.uncertain_points(d, ["event_type"], "logit", "event_id", 100).select("event_type", "event_id")
@@ -827,12 +900,17 @@ def v16(t: Tables) -> DataFrame:
     return _points(t).select("vec_id", G.cell(F.col("x"), 0.05).alias("c"), G.digitise(F.col("y"), [-0.1, 0.1]).alias("b"), G.voxel(F.col("x")).alias("v"))
 
 
-@query("v18_actions")
+@query(
+    "v18_actions",
+    "WITH a AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'l' WHEN event_id % 7 = 0 THEN 'r' ELSE 'f' END AS a FROM events), h AS (SELECT user_id, a, 0.5 + radians(30.0) * coalesce(sum(CASE a WHEN 'l' THEN 1 WHEN 'r' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM a), "
+    "s AS (SELECT user_id, sum(CASE WHEN a = 'f' THEN 0.025 * cos(h) / 0.05 ELSE 0 END) AS x, sum(CASE WHEN a = 'f' THEN 0.025 * sin(h) / 0.05 ELSE 0 END) AS y, sum(CASE a WHEN 'l' THEN 1 WHEN 'r' THEN -1 ELSE 0 END) AS turns FROM h GROUP BY 1) "
+    "SELECT user_id, round(x, 6) AS x, round(y, 6) AS y, round(sin(0.5 + radians(30.0) * turns), 6) AS heading_sin, round(cos(0.5 + radians(30.0) * turns), 6) AS heading_cos FROM s",
+)
 def v18(t: Tables) -> DataFrame:
     move = F.when(F.col("event_id") % 3 == 0, "turn_left").when(F.col("event_id") % 7 == 0, "turn_right").otherwise("move_forward")
     d = N.ordered_values(t.events.withColumn("a", move), "user_id", "event_id", "a")
     d = d.withColumn("p", G.follow_actions(F.col("values"), F.lit(0.0), F.lit(0.0), F.lit(0.5), 0.025, 30.0, 0.05))
-    return d.select("user_id", *[r6(F.col(f"p.{c}")).alias(c) for c in ("x", "y", "heading")])
+    return d.select("user_id", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"), r6(F.sin("p.heading")).alias("heading_sin"), r6(F.cos("p.heading")).alias("heading_cos"))
 
 
 @query("v23_v24_repeats", "SELECT o_custkey, o_orderpriority AS answer FROM orders")
@@ -922,7 +1000,12 @@ def m6(t: Tables) -> DataFrame:
     return d.select("c_custkey", F.lower("answer").alias("answer"), r6(F.col("weight")).alias("weight"), "question")
 
 
-@query("m9_world_points")
+@query(
+    "m9_world_points",
+    _POINTS + f", c AS (SELECT vec_id, scene AS room, feat, y AS heading, (vec_id % 31 - 15.5) * abs(x) / (16 / tan(radians(45.0))) * 10 AS u, abs(x) * 10 AS v, ((31 - vec_id % 32) - 15.5) * abs(x) / (16 / tan(radians(45.0))) * 10 AS h FROM p WHERE len(list_filter(feat, lambda f: f <> 0)) > 0), "
+    "w AS (SELECT room, vec_id, v * cos(heading + pi() / 2) + u * cos(heading) AS x, h AS y, -v * sin(heading + pi() / 2) - u * sin(heading) AS z FROM c), k AS (SELECT * FROM w WHERE x > -1 AND x < 1 AND y > -1 AND y < 1 AND z > -1.5 AND z < 1.5) "
+    f"SELECT room, vec_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM k QUALIFY row_number() OVER (PARTITION BY room ORDER BY {_seeded_sql('vec_id')}, vec_id) <= 300",
+)
 def m9(t: Tables) -> DataFrame:
     """World points of rooms from depth, pose and features (M9)."""
     p = _points(t)
