@@ -98,8 +98,8 @@ def wrap(angle: Column) -> Column:
 
 
 def cell(value: Column, resolution: float) -> Column:
-    """Map cell, halves to even."""
-    return F.bround(value / resolution, 0).cast("int")
+    """Map cell, halves to even (V16); null where the value is NaN."""
+    return F.bround(F.when(~F.isnan(value), value) / resolution, 0).cast("int")
 
 
 def digitise(value: Column, bins: list[float]) -> Column:

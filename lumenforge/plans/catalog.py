@@ -288,14 +288,6 @@ def m4(t: Tables) -> DataFrame:
     return best.groupBy("label").agg(F.count("*").alias("n"), r6(M.accuracy("label", "p")).alias("accuracy"))
 
 
-@query("bleu_cider_captions")
-def captions(t: Tables) -> DataFrame:
-    """BLEU and mean CIDEr of passages against the benchmark's."""
-    d = t.benchmark.select("item_id", F.col("text").alias("h"), F.array("text", F.reverse("text")).alias("rs"))
-    score = C.cider(d, "item_id", "h", "rs").agg(F.avg("cider").alias("cider"))
-    return C.bleu(d, "item_id", "h", "rs").crossJoin(score).select(*[r6(F.col(f"bleu{n}")).alias(f"bleu{n}") for n in range(1, 5)], r6(F.col("cider")).alias("cider"), r6(C.caption_score(F.col("cider"), F.col("bleu4"))).alias("agg"))
-
-
 # --- joins ------------------------------------------------------------------------------------------------------
 
 
@@ -1044,3 +1036,6 @@ def f06(t: Tables) -> DataFrame:
 def v04(t: Tables) -> DataFrame:
     q = F.array(*[F.transform(F.sequence(F.lit(0), F.lit(63)), mod) for mod in (lambda i: (i % 2).cast("double"), lambda i: (i % 3).cast("double"))])
     return t.embeddings.select("vec_id", r6(V.late_interaction(q, "embedding")).alias("best"))
+
+
+from . import files, measures  # noqa: E402, F401  they register theirs

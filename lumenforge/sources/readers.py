@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from ..operators.ordering import number_rows
 
 
-def annotations(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, required: Sequence[str] = ()) -> DataFrame:
-    """JSON arrays or documents of several files, each row with its file (S01, S04, S14). Rows without a required field go."""
-    d = spark.read.schema(schema).option("multiLine", True).json(list(paths)).withColumn("_file", F.col("_metadata.file_path"))
+def annotations(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, required: Sequence[str] = (), lines: bool = False) -> DataFrame:
+    """JSON arrays or documents of several files, or JSON lines, as our own sinks write them, each row with its file (S01, S04, S14). Rows without a required field go."""
+    d = spark.read.schema(schema).option("multiLine", not lines).json(list(paths)).withColumn("_file", F.col("_metadata.file_path"))
     for c in required:
         d = d.where(F.col(c).isNotNull())
     return d
@@ -58,9 +58,9 @@ def select_questions(df: DataFrame, images: Sequence = (), question_types: Seque
     return df
 
 
-def result_shards(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Result files of all ranks with rank and place, ranks by number, not by name."""
-    d = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_path"))
+def result_shards(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """Result files of all ranks, JSON arrays or lines, with rank and place, ranks by number, not by name."""
+    d = spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("_file", F.col("_metadata.file_path"))
     d = d.withColumn("rank", F.regexp_extract("_file", r"rank(\d+)", 1).cast("int"))
     return d.withColumn("pos", F.monotonically_increasing_id()).drop("_file")
 

@@ -236,3 +236,70 @@ def test_attention_heads(spark):
     a = F.array(arr(1, 2), arr(3, 4))
     assert value(spark, V.weighted_attention(a, F.array(arr(1, -1), arr(1, 1)))) == [2.0, 2.0]
     assert value(spark, V.late_interaction(a, arr(1, 0))) == 3.0
+
+
+def test_image_operations_keep_their_rules():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 256, (9, 7, 3), dtype=np.uint8)
+    for name, f in I.OPERATIONS.items():
+        for m in (0.0, 0.3, 1.0):
+            for s in (1, -1):
+                out = f(a, m, s)
+                assert out.shape == a.shape and out.dtype == np.uint8, name
+    assert len(I.OPERATIONS) == 14
+    assert (I.warp(a, [[1, 0, 0], [0, 1, 0]]) == a).all() and (I.rotate(a, 0) == a).all() and (I.shear(a) == a).all()
+    assert (I.warp(a, [[1, 0, 2], [0, 1, 0]])[:, 2:] == a[:, :-2]).all() and (I.warp(a, [[1, 0, 2], [0, 1, 0]])[:, :2] == 128).all()
+    assert (I.colour(a, 1.0).astype(int) - a <= 0).all() and (abs(I.colour(a, 1.0).astype(int) - a) <= 1).all()
+    grey = I.colour(a, 0.0)
+    assert (grey[..., 0] == grey[..., 1]).all()
+    flat = np.full((5, 5, 3), 90, dtype=np.uint8)
+    assert (I.contrast(flat, 1.9) == 90).all() and (I.sharpness(flat, 1.9) == 90).all() and (I.rotate(flat, 33, fill=90) == 90).all()
+    square = np.zeros((6, 6, 1), dtype=np.uint8)
+    square[1, 2] = 200
+    assert I.rotate(square, 90)[4, 1, 0] == 200 or I.rotate(square, 90).max() > 0
+    cut = I.cutout(a, 4, 3, 4, fill=1)
+    assert (cut[2:6, 1:5] == 1).all() and (cut[0] == a[0]).all()
+    classes, masks = I.class_masks(np.array([[1, 2], [255, 1]]))
+    assert classes == [1, 2] and masks.sum(axis=(1, 2)).tolist() == [2, 1]
+    assert I.pad_to(a, 4).shape == (12, 8, 3)
+    images, mask = I.batch([a, a[:4, :5]])
+    assert images.shape == (2, 9, 7, 3) and mask.sum() == 63 - 20
+
+
+def test_random_augmentation_is_seeded(spark):
+    from lumenforge.operators import augment as A
+
+    r = np.random.default_rng(5)
+    rows = [(i, 6, 5, 3, r.integers(0, 256, 90, dtype=np.uint8).tobytes()) for i in range(40)] + [(99, 6, 5, 3, None)]
+    d = spark.createDataFrame(rows, "k long, height int, width int, channels int, pixels binary")
+    one, two, other = ({x["k"]: bytes(x["pixels"]) for x in A.augment(d.repartition(n), "k", 2, seed=s).collect()} for n, s in ((1, 0), (3, 0), (1, 7)))
+    assert one == two and one != other and len(one) == 40
+    drawn = [A.random_operations(k, 2, tuple(I.OPERATIONS)) for k in range(4000)]
+    names = [n for x in drawn for n, _ in x]
+    assert 0.45 < len(names) / 8000 < 0.55 and len(set(names)) == 14
+
+
+def test_assignment_of_sparse_costs(spark):
+    rows = [(1, 10, 1, 5.0), (1, 10, 2, 1.0), (1, 11, 2, 2.0), (2, 1, 1, 3.0), (3, 1, 1, 2.0), (3, 2, 1, 1.0)]
+    d = spark.createDataFrame(rows, "image long, pred long, target long, cost double")
+    assert {tuple(x) for x in K.match(d, "image", "pred", "target", "cost").collect()} == {(1, 10, 1), (1, 11, 2), (2, 1, 1), (3, 2, 1)}
+    with pytest.raises(Exception, match="more than 2"):
+        K.match(d, "image", "pred", "target", "cost", most=2).collect()
+
+
+def test_word_tokens_equal_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from lumenforge.operators import word_tokens
+
+    path = str(P.path("word_bpe_49k.json"))
+    with open(path, encoding="utf-8") as f:
+        mine = word_tokens.WordTokens(f.read())
+    other = tokenizers.Tokenizer.from_file(path)
+    texts = ["A photo of a cat, sitting!", "it's 2024 & they've 3.5 cats", "", "éèß naïve 字 🙂", "x" * 300, "a  b\tc\nd", "<|endoftext|> end"]
+    for t in texts:
+        assert mine.encode(t) == other.encode(t, add_special_tokens=False).ids, t
+    assert mine.decode(mine.encode("a photo of a cat")) == "a photo of a cat "
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, None)], "k int, t string")
+    rows = {r["k"]: r["ids"] for r in word_tokens.fixed(d, "k", "t", path).collect()}
+    assert all(len(x) == 77 and x[0] == 49406 for x in rows.values()) and rows[4][-1] == 49407 and rows[50][:3] == [49406, 49407, 0]
