@@ -1,69 +1,15 @@
-"""What the operators share: scratch tables in the cluster's shared folder, connected components, small expression helpers."""
+"""What the operators share: joins of checked size, connected components, small expression helpers; scratch tables come from the runtime."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise, release, shared_dir
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LEFT: dict[str, SparkSession] = {}
-_PATHS: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, which only local mode may do, a new one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _LEFT[path] = spark
-    _PATHS[id(out)] = path
-    out._scratch_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the scratch tables behind frames that materialise() returned and nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_scratch_path", None)
-        if path in _LEFT:
-            _delete(_LEFT.pop(path), path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for path, spark in list(_LEFT.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
-
-
-atexit.register(_clean)
-
-
 #: Up to so many narrow rows a side of a join is broadcast (some 40 MB as a hash table); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -125,3 +71,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     out._scratch_path = e._scratch_path
     return out
+
+
+__all__ = ["WORD", "ascii_lower", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized"]

@@ -154,8 +154,8 @@ def _member_sets(df: DataFrame, id_col: str, text_col: str, members: DataFrame,
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are linked: each a's set goes before the sets that it is compared with, in parts of some BLOCK of them, and a task reads them in that order."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("parts"))
-    dealt = pairs.join(counts, "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    counts = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("parts")), "parts")
+    dealt = pairs.join(_sized(counts), "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     needs = dealt.select(F.col("b").alias("id"), F.col("a").alias("grp"), "blk", F.lit(1).alias("role"))
     needs = materialise(needs.unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("grp"), "blk", F.lit(0).alias("role")).distinct()), "needs")
 
@@ -177,7 +177,7 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     held = sets.join(_sized(needs), "id").select("id", "grp", "blk", "role", "set").repartition("grp", "blk").sortWithinPartitions("grp", "blk", "role")
     links = materialise(held.mapInArrow(run, "a long, b long").distinct(), "links")
-    release(needs)
+    release(needs, counts)
     return links
 
 

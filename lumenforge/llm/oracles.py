@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express in full.
 
 The others have none: quality, licences and sharding settle by methods of their own over the whole table, and personal
-data, secrets, BPE and page extraction are trained or coded; they are tested against brute force instead.
+data, secrets, BPE and page extraction are trained or coded; they are tested against brute force instead. What the
+contracts fix of quality, licences, personal data and secrets has queries of its own, with SQL.
 """
 
 from __future__ import annotations
@@ -11,7 +12,61 @@ _WORD = r"[^\x20\x09-\x0D]+"
 #: Smallest id reachable over pairs (a, b), given in both directions, for every row of `nodes`.
 _REACH = "reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a), components AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
 
+
+
+def _found(kind: int, name: str, pattern: str, keep: str) -> str:
+    """Spans of a pattern as (doc_id, s, kind, e): matches m and what stands between them give the places."""
+    q = pattern.replace("'", "''")
+    return (
+        f"x{kind} AS (SELECT doc_id, regexp_extract_all(t, '{q}') AS m, string_split_regex(t, '{q}') AS b FROM d WHERE regexp_matches(t, '{q}')), "
+        f"y{kind} AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS v, m, b FROM x{kind}), "
+        f"z{kind} AS (SELECT doc_id, '{name}' AS name, {kind} AS kind, v, list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s FROM y{kind}), "
+        f"f{kind} AS (SELECT doc_id, name, kind, s, s + length(v) AS e FROM z{kind} WHERE {keep})"
+    )
+
+
+def _spans_sql(kinds: list[tuple[str, str, str]]) -> str:
+    """Counts of each kind and the digest of all spans in order."""
+    parts = [_found(i, *k) for i, k in enumerate(kinds)]
+    both = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(kinds)))
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k[0]}" for i, k in enumerate(kinds))
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(parts)}, f AS ({both}), "
+        f"g AS (SELECT doc_id, {counts}, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS j FROM f GROUP BY 1) "
+        f"SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0)::BIGINT AS n_{k[0]}' for k in kinds)}, sha256(coalesce(j, '')) AS base_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id"
+    )
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CASE WHEN i % 2 = 1 THEN {_DIGITS}[length({_DIGITS}) - i]::INT + 1 ELSE 1 END] + CASE WHEN i % 2 = 0 THEN {_DIGITS}[length({_DIGITS}) - i]::INT ELSE 0 END)) % 10 = 0"
+
 SQL: dict[str, str] = {
+    "base_quality": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) AS g FROM w WHERE len(w) >= 8),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+s AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM r) GROUP BY 1),
+c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(s.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN s ON s.doc_id = w.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c""",
+    "base_licenses": """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w)::BIGINT AS n_words, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS m, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS a, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS g FROM w)
+SELECT doc_id, n_words, (len(m) + len(a) + len(g))::BIGINT AS n_base, list_min(m || a || g)::BIGINT AS first_word, list_max(m || a || g)::BIGINT AS last_word, concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM p""",
+    "base_pii": _spans_sql(
+        [
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+            ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: coalesce(try_cast(x AS BIGINT) > 255, true))) = 0"),
+            ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+        ]
+    ),
+    "base_secrets": _spans_sql(
+        [
+            ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""length(regexp_extract(v, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 6"""),
+            ("access", "AKIA[A-Z0-9]+", "length(v) >= 20"),
+            ("hex", "[0-9a-f]+", "length(v) >= 24"),
+        ]
+    ),
     "op1_mixing": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS d FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -62,8 +62,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str, vocabulary_file: str | None =
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), vocabulary_file=vocabulary_file or vocabulary_path())
 
 
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract fixes of op3_quality, which SQL can say too."""
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract fixes of op4_licenses."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract fixes of op5_pii."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract fixes of op10_secrets."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if (k.startswith("op") and k[2].isdigit()) or k.startswith("base_")}
 
 
 def oracle_sql() -> dict[str, str]:
