@@ -204,10 +204,24 @@ def index(templates=TEMPLATES) -> tuple[dict[str, float], list[dict]]:
     return idf, out
 
 
-def _gate(phrase: list[str]) -> str:
-    """What any text with the phrase matches, case aside: its longest word, or all of it where that is short and would match everywhere."""
+def _gate(phrase: list[str]) -> tuple[str, str | None]:
+    """(what the lower-cased text of any text with the phrase holds, pattern that it matches besides): the longest word; where that is short, and would stand anywhere, the phrase."""
     longest = max(phrase, key=len)
-    return longest if len(longest) >= 5 else BETWEEN.join(phrase)
+    return longest, None if len(longest) >= 5 else BETWEEN.join(phrase)
+
+
+def _may_hold(text: Column, phrases: list[list[str]]) -> Column:
+    """Whether a text may hold any of the phrases. Plain search on the lower-cased text, which is far cheaper than one pattern of all words."""
+    gates = sorted({_gate(p) for p in phrases}, key=str)
+    alone = [g for g, more in gates if more is None]
+    found = F.lit(False)
+    for g in alone:
+        if not any(o != g and o in g for o in alone):
+            found = found | text.contains(g)
+    for g, more in gates:
+        if more is not None:
+            found = found | (text.contains(g) & text.rlike(more))
+    return found
 
 
 def _stands(words: Column, at: Column, phrase: list[str]) -> Column:
@@ -282,11 +296,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf, known = index(templates)
     phrases = [(p.split(), label) for p, label in BASE]
     looked = sorted({w for t in known for w, _, _ in t["postings"]} | {p[0] for p, _ in phrases})
-    gates = sorted({_gate(t["keys"][0]) for t in known} | {_gate(p) for p, _ in phrases})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = df.select(F.col(id_col).alias("id"), text.alias("t"))
     d = d.withColumn("n_words", F.regexp_count("t", F.lit(RAW_WORD)).cast("long"))
-    maybe = F.col("t").rlike("(?i)" + "|".join(g for g in gates if not any(o != g and o in g for o in gates)))
+    maybe = let(F.lower("t"), lambda x: _may_hold(x, [t["keys"][0] for t in known] + [p for p, _ in phrases]))
     d = d.withColumn("w", F.when(maybe, F.regexp_extract_all(ascii_lower(F.col("t")), F.lit(WORD), F.lit(0)))).drop("t")
     words = F.col("w")
     hits = F.filter(F.transform("w", lambda w, i: F.when(w.isin(looked), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())

@@ -123,8 +123,9 @@ def _verdicts(stats: DataFrame) -> tuple[DataFrame, Column, Column]:
 def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df that judge() keeps, with all their columns.
 
-    The rows go to the shared folder with their counts beside them, so texts are read by the rules once and
-    never shuffled; then those that are kept are read back.
+    Null and empty texts have no words and go; rows may be repeated, and each has its own verdict; an empty table stays empty; the
+    columns of df may have any names; texts of any length are read whole; a posterior of exactly the threshold keeps. The rows go to the shared
+    folder with their counts beside them, so texts are read by the rules once and never shuffled; then those that are kept are read back.
     """
     stats = materialise(text_statistics(df, text_col, row=F.struct(*[F.col(f"`{c}`") for c in df.columns])), "quality")
     voted, base, quality = _verdicts(stats)
@@ -134,8 +135,9 @@ def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior) for every row.
 
-    A null text has no words and fails the base rule, as an empty one does; ids may be null or repeated;
-    other columns are not looked at; an empty table gives no rows. The texts are read once, by built-in
+    A null text has no words and fails the base rule, as an empty one does; ids may be null or repeated, each row has its own verdict;
+    other columns, whatever their names, are not looked at; an empty table gives no rows; texts of any length are read whole; a posterior of
+    exactly the threshold keeps. The texts are read once, by built-in
     expressions within each row; the counts go to the shared folder. The only thing to meet in one
     place is the count of each pattern of votes: at most 3 ** 9 rows, however many documents there are.
     """

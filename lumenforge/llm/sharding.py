@@ -134,8 +134,9 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own. An empty table gives no rows. Other columns of df, whatever their names, are not looked at.
     A group larger than an even share makes the smallest capacity its own size; it gets a shard to itself, and the
     capacity of the others is the smallest that holds the rest. slot runs from 0 in each shard; it orders
-    rows by (hash range, cell, hash, id), a cell being one of `cells` parts by the id's hash, so that
-    no group of copies, however large, is numbered by one task.
+    rows by (hash range, cell, hash, id), a cell being one of `cells` parts by the id's hash, or, without an id, by the
+    part of the table that the row came from, so that no group of copies, however large, is numbered by one task. Texts of any length
+    count whole; rows that are the same in every respect get their slots in any order.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = materialise(
@@ -144,7 +145,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
-        ).withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")),
+        ).withColumn("cell", F.when(F.col("id").isNull(), F.pmod(F.spark_partition_id(), F.lit(cells))).otherwise(F.pmod(F.xxhash64("id"), F.lit(cells))).cast("int")),
         "shard-rows",
     )
     groups = materialise(rows.groupBy("h").agg(F.sum("size").alias("bytes")), "shard-groups")
