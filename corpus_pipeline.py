@@ -1,4 +1,8 @@
-"""A training corpus out of raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus out of raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage takes rows with null or repeated ids, null, empty and very long texts, rows that are the same in every column, empty
+tables and further columns of any name; what each does with them is said below and where its operator is.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, whole; null and empty texts go, each of equal rows has the same verdict, a posterior of one half keeps."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies, the one of the smallest id: five-word shingles of whole texts, similarity 0.8 or more. Of equal rows one stays; rows that share an id, or have none, are told apart by content."""
     return minhash.drop_duplicates(docs, k=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked; n_chars follows the text."""
+    """All documents, with secrets masked wherever they stand; n_chars follows the text and is null where that is."""
     return secrets.redact(docs, vocabulary_file=vocabulary_path()).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents, whole, as often as the mix takes them; targets are met with null, repeated and equal rows too."""
     return mixing.mix_documents(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and decoded text."""
+    """Token ids of every document, with digests of ids and decoded text; a null text has no tokens."""
     return bpe.encode_documents(docs, vocabulary_path(), with_ids=True)
 
 
