@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release, shared_dir
+from .common import byte_slices as _blocks
+from .common import materialise, release, shared_dir, tidy
 from .lexicon import Lexicon, compile_lexicon
 
 #: White space as the vocabulary's pattern sees it (the Unicode property).
@@ -179,7 +179,7 @@ class Vocabulary:
 class Encoder:
     """Encoding of texts in one process: pieces are looked up in a cache of bounded bytes, then word by word in the lexicon, then merged."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, cache: int = 64 << 20):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, cache: int = 40 << 20):
         self.v, self.lexicon, self.size, self.held = vocabulary, lexicon, cache, 0
         self.spaced: dict[str, bytes] = {}  # pieces with a space before them, kept without it
         self.plain: dict[str, bytes] = {}
@@ -259,18 +259,6 @@ class Encoder:
         return b"".join(map(self.v._bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", errors="replace")
 
 
-def _blocks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about so many bytes together, to bound what is held at a time."""
-    start = held = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        held += n
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _short_pieces(text: str) -> list[str]:
     """What stands between blanks, without pieces longer than any word of a lexicon."""
     pieces = text.split(" ")
@@ -280,6 +268,7 @@ def _short_pieces(text: str) -> list[str]:
 def piece_counts(df: DataFrame, text_col: str = "text", held: int = 48 << 20) -> DataFrame:
     """(piece, n) over all texts: what stands between blanks, counted within each task's batches, then summed by piece. A task holds about `held` bytes of counts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
@@ -375,6 +364,7 @@ def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id"
         fields.append(T.StructField("ids", T.BinaryType()))
     schema = T.StructType(fields)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, name)
         sha = lambda x: hashlib.sha256(x).hexdigest()

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +25,32 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def byte_slices(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about so many bytes of text together, to bound what a worker holds at a time whatever a batch's rows."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which hands memory that it no longer uses back to the system when a task ends: workers live on for other stages' tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value, computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -73,4 +105,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["WORD", "ascii_lower", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized"]
+__all__ = ["WORD", "ascii_lower", "byte_slices", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized", "tidy"]

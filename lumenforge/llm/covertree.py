@@ -154,18 +154,20 @@ def _open(a: Tree, left: tuple[int, int], b: Tree, right: tuple[int, int], same:
     for s in range(left[0], left[1], 4 * _CHUNK):
         e = min(left[1], s + 4 * _CHUNK)
         size_a = np.array(a.end[s:e]) - np.array(a.begin[s:e])
+        ra = a.radii[s:e]
         for t in range(right[0] if not same else s, right[1], 4 * _CHUNK):
             f = min(right[1], t + 4 * _CHUNK)
-            cos = a.centres[s:e] @ b.centres[t:f].T
-            # 1e-7 over the bound: a cosine's rounding may move a distance near zero by so much
-            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos)) <= reach + 1e-7 + a.radii[s:e, None] + b.radii[None, t:f]
-            sb = size_b[t - right[0] : f - right[0]]
-            if same:
-                near &= np.arange(s, e)[:, None] <= np.arange(t, f)[None, :]
-                upper = (np.arange(s, e)[:, None] < np.arange(t, f)[None, :]).astype(np.int64)
-                whole = int(size_a @ (upper @ sb))
+            cos, rb = a.centres[s:e] @ b.centres[t:f].T, b.radii[t:f]
+            # as cosines: the distance 2 - 2 cos is at most the square of all bounds together; 1e-7 over, for a cosine's rounding near 1
+            if ra.any() or rb.any():
+                near = cos >= 1.0 - np.square(reach + 1e-7 + ra[:, None] + rb[None, :]) / 2.0
             else:
-                whole = int(size_a.sum()) * int(sb.sum())
+                near = cos >= 1.0 - (reach + 1e-7) ** 2 / 2.0
+            sb = size_b[t - right[0] : f - right[0]]
+            whole = int(size_a.sum()) * int(sb.sum())
+            if same and s == t:  # each pair once
+                near = np.triu(near)
+                whole = (whole - int((size_a * size_a).sum())) // 2
             i, j = np.nonzero(near)
             own = same & (i + s == j + t)
             single = (size_a[i] == 1) & (sb[j] == 1) & ~own

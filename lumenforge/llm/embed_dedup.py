@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, release, sized
+from .common import connected_components, materialise, release, sized, tidy
 from .covertree import Tree, pairs_within
 
 #: Vectors of a block: BLOCK, or a label's 64th part up to LARGEST (16 MB of 64 components).
@@ -33,6 +33,7 @@ HEAVY = 50_000
 def prepare(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(id, label, dim, key, vec): vec is the unit vector in double precision, null (as key) where a vector can link with nothing."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, units, dims = [], [], []
@@ -129,6 +130,7 @@ def _pivots(reps: DataFrame) -> dict[int, np.ndarray]:
 def _place(reps: DataFrame, pivots: dict[int, np.ndarray], block: int, largest: int, reach: float) -> DataFrame:
     """reps with their block's size, their cell and the other cells that may hold partners; `n` is how many classes their label has."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):

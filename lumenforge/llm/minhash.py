@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialise, release, row_hash
+from .common import connected_components, fresh, materialise, release, row_hash, tidy
 from .shingles import MinHash, mix, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -77,6 +77,7 @@ def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, pa.Ar
 def sketch(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, k1, k2, sig, bands): size of the shingle set, a 128-bit key of it, 16 bits each of the compared hashes, and the bands' keys."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(BANDS * ROWS)
         for b in batches:
@@ -115,6 +116,7 @@ def _sized(df: DataFrame) -> DataFrame:
 def _pass_signatures(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that outlast the sequential test of their signatures."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -142,6 +144,7 @@ def _member_sets(df: DataFrame, id_col: str, text_col: str, members: DataFrame,
     Afterwards only sets of texts that share a bucket with another are moved.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in _slices(b.column(1)):
@@ -159,6 +162,7 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     needs = dealt.select(F.col("b").alias("id"), F.col("a").alias("grp"), "blk", F.lit(1).alias("role"))
     needs = materialise(needs.unionByName(dealt.select(F.col("a").alias("id"), F.col("a").alias("grp"), "blk", F.lit(0).alias("role")).distinct()), "needs")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
         for batch in batches:
@@ -184,6 +188,7 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _signatures_of(sets: DataFrame) -> DataFrame:
     """(id, sig) of sets: 16 bits each of the compared hashes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(COMPARED)
         for b in batches:

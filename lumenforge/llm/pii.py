@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import byte_slices, tidy
 from .crf import LinearChainCRF
 
 # --- the base patterns, fixed by the contract -------------------------------------------------------------
@@ -577,10 +578,13 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
     schema = T.StructType([T.StructField(id_col, kind), *SCHEMA.fields])
     tagger = trained() if table is None else Tagger(table)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = list(zip(*scan_batch(b.column(1), tagger), strict=True)) or [[] for _ in SCHEMA.fields]
-            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=schema.names)
+        types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64()]
+        for whole in batches:
+            for start, end in byte_slices(whole.column(1)):
+                b = whole.slice(start, end - start)
+                columns = zip(*scan_batch(b.column(1), tagger), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=schema.names)
 
     return slim.mapInArrow(run, schema)

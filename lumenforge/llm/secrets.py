@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import byte_slices, tidy
+
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -269,11 +271,14 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by = guesser(vocabulary_file)
     least = by.least if least is None else least
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = list(zip(*scan_batch(b.column(1), least, by), strict=True)) or [[] for _ in SCHEMA.fields]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=schema.names)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+        for whole in batches:
+            for start, end in byte_slices(whole.column(1)):
+                b = whole.slice(start, end - start)
+                columns = zip(*scan_batch(b.column(1), least, by), strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
@@ -287,22 +292,31 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]", least:
     by = guesser(vocabulary_file)
     least = by.least if least is None else least
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            texts = b.column(at)
-            filled = pc.fill_null(texts, "")
-            new = None
-            for i, row in enumerate(scan_batch(filled, least, by)):
-                if row[4]:
-                    new = texts.to_pylist() if new is None else new
-                    text, out, done = new[i], [], 0
-                    for s, e in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in row[4].split(",")):
-                        if s >= done:
-                            out.append(text[done:s])
-                            out.append(mask)
-                        done = max(done, e)
-                    new[i] = "".join([*out, text[done:]])
-            yield b if new is None else pa.RecordBatch.from_arrays([pa.array(new, texts.type) if j == at else b.column(j) for j in range(b.num_columns)], schema=b.schema)
+        for whole in batches:
+            at = whole.schema.get_field_index(text_col)
+            for start, end in byte_slices(whole.column(at)):
+                b = whole.slice(start, end - start)
+                texts = b.column(at)
+                hits = {i: row[4] for i, row in enumerate(scan_batch(pc.fill_null(texts, ""), least, by)) if row[4]}
+                if not hits:
+                    yield b
+                    continue
+                new = texts.to_pylist()
+                for i, spans in hits.items():
+                    new[i] = _masked(new[i], spans, mask)
+                yield pa.RecordBatch.from_arrays([pa.array(new, texts.type) if j == at else b.column(j) for j in range(b.num_columns)], schema=b.schema)
 
     return df.mapInArrow(run, df.schema)
+
+
+def _masked(text: str, spans: str, mask: str) -> str:
+    """The text with its spans, kind:start:end and so on, masked."""
+    out, done = [], 0
+    for s, e in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans.split(",")):
+        if s >= done:
+            out.append(text[done:s])
+            out.append(mask)
+        done = max(done, e)
+    return "".join([*out, text[done:]])
