@@ -6,8 +6,10 @@ null text gives null.
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,6 +208,25 @@ def clean_text(c: Column | str) -> Column:
     return F.lower(strip(F.regexp_replace(strip(t), r"(?U)\s+", " ")))
 
 
+def repair(text: str) -> str:
+    """Text that was UTF-8 read as Windows' Western code page, read rightly; all else as it is."""
+    if not any(c in text for c in "ÃÂâ"):
+        return text
+    try:
+        return text.encode("cp1252").decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return text
+
+
+def clean_any_text(c: Column | str) -> Column:
+    """clean_text() with every named and numbered entity and with wrongly read UTF-8 repaired (F22); in Arrow batches, as built-in functions know neither."""
+    @F.pandas_udf("string")
+    def resolve(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(html.unescape(repair(t))))
+
+    return F.lower(strip(F.regexp_replace(strip(resolve(as_column(c))), r"(?U)\s+", " ")))
+
+
 def fix_length(ids: Column | str, length: int, start: int, end: int, pad: int = 0) -> Column:
     """start, ids, end, cut to length with end kept last, padded behind."""
     full = F.concat(F.array(F.lit(start)), as_column(ids), F.array(F.lit(end)))

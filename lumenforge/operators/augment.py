@@ -84,3 +84,26 @@ def polygon_cells(df: DataFrame, key: str, polygon: str, height: int, width: int
                 yield pd.DataFrame({key: np.full(len(x), k), "y": y.astype(np.int32), "x": x.astype(np.int32)})
 
     return df.select(key, polygon).mapInPandas(run, T.StructType([df.schema[key], T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())]))
+
+
+def padded(df: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, order, height, width, channels, pixels, mask): a batch's images filled up with 0 behind to its largest height and width; mask is 1 where there is filling (V33). A task holds one image."""
+    from pyspark.sql import functions as F
+
+    sizes = df.groupBy(group).agg(F.max("height").alias("_h"), F.max("width").alias("_w"))
+    d = df.select(group, order, "height", "width", "channels", "pixels").join(sizes, group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, masks = [], []
+            for r in b.itertuples(index=False):
+                a, h, w = image(r), r[-2], r[-1]
+                full = np.zeros((h, w, a.shape[2]), dtype=np.uint8)
+                mask = np.ones((h, w), dtype=np.uint8)
+                full[: a.shape[0], : a.shape[1]], mask[: a.shape[0], : a.shape[1]] = a, 0
+                out.append(full.tobytes())
+                masks.append(mask.tobytes())
+            yield pd.DataFrame({group: b[group], order: b[order], "height": b["_h"], "width": b["_w"], "channels": b["channels"], "pixels": out, "mask": masks})
+
+    schema = T.StructType([df.schema[group], df.schema[order], *[T.StructField(c, T.IntegerType()) for c in ("height", "width", "channels")], T.StructField("pixels", T.BinaryType()), T.StructField("mask", T.BinaryType())])
+    return d.mapInPandas(run, schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
+import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -239,3 +241,76 @@ def t14_turns(t: Tables) -> DataFrame:
 
     d = S.mixture_stream([(x, t.documents.where(F.col("lang") == x), 2.0 if x == "en" else 1.0) for x in ("en", "fr", "de", "es")], "doc_id")
     return d.withColumn("turn", r6(F.col("turn")))
+
+
+@query("s13_zip_members", "SELECT lpad(n_nationkey::VARCHAR, 3, '0') AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'gz' ELSE 'zip' END AS kind, n_name AS name FROM nation")
+def s13(t: Tables) -> DataFrame:
+    """Members of zip archives and of gz files."""
+    base = scratch(t.spark, "zips")
+    names = {r["n_nationkey"]: r["n_name"] for r in t.nation.select("n_nationkey", "n_name").collect()}
+    for k in range(1, 5):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            for n, name in names.items():
+                if n % 5 == k:
+                    z.writestr(f"r/{n:03}.txt", name)
+        write_file(t.spark, f"{base}/{k}.zip", raw.getvalue())
+    for n, name in names.items():
+        if n % 5 == 0:
+            write_file(t.spark, f"{base}/{n:03}.txt.gz", gzip.compress(name.encode()))
+    d = R.zip_members(t.spark, base, "*.zip").withColumn("kind", F.lit("zip")).unionByName(R.zip_members(t.spark, base, "*.gz").withColumn("kind", F.lit("gz")))
+    return d.where("error is null").select("key", "kind", F.col("content").cast("string").alias("name"))
+
+
+@query("s11_decoded_frames", "SELECT n_nationkey, i::INT AS frame, ascii(n_name[(i * length(n_name)) // 4 + 1])::INT AS value FROM nation, (SELECT unnest(range(0, 4)) AS i)")
+def s11_frames(t: Tables) -> DataFrame:
+    """Four frames of each video by an injected decoder; here a name's letters are the frames."""
+    from ..operators import sampling as S
+
+    d = t.nation.select("n_nationkey", F.encode("n_name", "utf-8").alias("content"), S.frame_indices(4, F.length("n_name")).alias("wanted"))
+
+    def make():
+        import pandas as pd
+
+        return lambda b: pd.DataFrame([(k, i, c[at]) for k, c, w in zip(b["n_nationkey"], b["content"], b["wanted"], strict=True) for i, at in enumerate(w)], columns=["n_nationkey", "frame", "value"])
+
+    return R.frames(d, make, "n_nationkey int, frame int, value int")
+
+
+@query("k11_resumed_stream", "SELECT n_nationkey, (n_nationkey >= 10)::INT AS run FROM nation")
+def k11(t: Tables) -> DataFrame:
+    """A stream that stops and goes on from its checkpoint: the second run takes only files that came since."""
+    source, out, mark = scratch(t.spark, "source"), scratch(t.spark, "runs"), scratch(t.spark, "checkpoint")
+    for run, part in enumerate(("n_nationkey < 10", "n_nationkey >= 10")):
+        t.nation.where(part).select("n_nationkey").write.mode("append").parquet(source)
+        stream = Z.file_stream(t.spark, source, t.nation.select("n_nationkey").schema)
+        Z.drain(stream, lambda rows, k, run=run: rows.withColumn("run", F.lit(run)).write.mode("overwrite").parquet(f"{out}/batch={k}"), mark)
+    return t.spark.read.parquet(out).select("n_nationkey", "run")
+
+
+@query("s17_image_sets", "SELECT 'mapillary_vistas_sem_seg_train' AS name, 'n/' || n_nationkey AS stem, 65 AS ignore FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'ade20k_full_sem_seg_val', 'n/' || n_nationkey, 65535 FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0")
+def s17(t: Tables) -> DataFrame:
+    """Images and label files of two named sets; images without a label file go."""
+    from ..sources import image_sets as I
+
+    root, out = scratch(t.spark, "sets"), None
+    for name, region in (("mapillary_vistas_sem_seg_train", 1), ("ade20k_full_sem_seg_val", 2)):
+        s = I.image_set(name)
+        for (k,) in t.nation.where(F.col("n_regionkey") == region).select("n_nationkey").collect():
+            write_file(t.spark, f"{root}/{s.images}/n/{k}.{s.image_ext}", b"image")
+            if region == 1 or k % 2 == 0:
+                write_file(t.spark, f"{root}/{s.labels}/n/{k}.{s.label_ext}", b"label")
+        d = I.pairs(t.spark, root, s).select(F.lit(name).alias("name"), "stem", "ignore")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("s16_panoptic_sets", "SELECT l_orderkey::VARCHAR AS image_id, 'sem/im.' || l_orderkey || '.png' AS semantic, l_linenumber::INT AS id, CASE WHEN l_suppkey % 9 IN (1, 2, 3) THEN l_suppkey % 9 - 1 ELSE 10 + l_suppkey % 9 END::INT AS category_id, l_suppkey % 9 IN (1, 2, 3) AS isthing FROM lineitem WHERE l_suppkey % 9 <> 0")
+def s16(t: Tables) -> DataFrame:
+    """Segments with contiguous categories, things and stuff by two maps."""
+    from ..sources import image_sets as I
+
+    things = t.spark.createDataFrame([(k, k - 1) for k in (1, 2, 3)], "key int, id int")
+    stuff = t.spark.createDataFrame([(k, k + 10) for k in (4, 5, 6, 7, 8)], "key int, id int")
+    d = I.panoptic_rows(_panoptic(t), "images", "masks", "sem", things, stuff)
+    return d.where("category_id is not null").select("image_id", "semantic", "id", "category_id", "isthing")

@@ -234,3 +234,51 @@ def f23_tokens(t: Tables) -> DataFrame:
 
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     return word_tokens.fixed(t.conversations.select(key.alias("key"), clean_text("text").alias("text")), "key", "text", str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("f22_any_entities", "SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || ' é & <b> ½ café' AS clean FROM conversations")
+def f22_any(t: Tables) -> DataFrame:
+    """Every named and numbered entity, twice, and wrongly read UTF-8."""
+    from ..functions.text import clean_any_text
+
+    d = t.conversations.select("conv_id", "turn", clean_any_text("text").alias("a"), clean_any_text(F.lit(" &eacute; &amp;amp; &lt;B&gt; &#189; caf&amp;eacute;")).alias("b"))
+    return d.select("conv_id", "turn", F.concat_ws(" ", "a", "b").alias("clean"))
+
+
+@query("f22_repaired", "SELECT n_nationkey, 'café ' || lower(n_name) AS clean FROM nation")
+def f22_repaired(t: Tables) -> DataFrame:
+    """UTF-8 that was read as Windows' Western code page."""
+    from ..functions.text import clean_any_text
+
+    return t.nation.select("n_nationkey", clean_any_text(F.concat(F.lit("cafÃ© "), "n_name")).alias("clean"))
+
+
+@query("f26_lemmas", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: rtrim(w, 's')), ' ') AS lemmas FROM part")
+def f26(t: Tables) -> DataFrame:
+    """Words by an injected lemmatiser, here one that drops the last s."""
+    from ..operators import scorers
+
+    return scorers.lemmas(t.part.select("p_partkey", "p_name"), "p_name", lambda: lambda w: w.rstrip("s")).select("p_partkey", "lemmas")
+
+
+@query(
+    "v33_padded_batch",
+    _PIXELS + ", z AS (SELECT s_suppkey, y, x, c, v, 3 + s_suppkey % 4 AS h, 2 + s_suppkey % 5 AS w, s_suppkey // 4 AS b FROM p), k AS (SELECT * FROM z WHERE y < h AND x < w), m AS (SELECT b, max(h) AS mh, max(w) AS mw FROM z GROUP BY 1) "
+    "SELECT s_suppkey, mh::INT AS height, mw::INT AS width, sum(v * ((y * mw + x) * 3 + c + 1))::BIGINT AS digest, (mh * mw - max(h) * max(w))::BIGINT AS filled FROM k JOIN m USING (b) GROUP BY s_suppkey, mh, mw",
+)
+def v33(t: Tables) -> DataFrame:
+    """Images of different sizes, four to a batch, filled up to the largest of it."""
+    import numpy as np
+
+    def cut(a, k):
+        return a[: 3 + int(k) % 4, : 2 + int(k) % 5]
+
+    d = A.map_images(_images(t), cut, "s_suppkey").withColumn("b", F.floor(F.col("s_suppkey") / 4))
+    d = A.padded(d, "b", "s_suppkey")
+
+    def digest(batches):
+        for b in batches:
+            sums = [int((np.frombuffer(p, np.uint8).astype(np.int64) * np.arange(1, len(p) + 1)).sum()) for p in b["pixels"]]
+            yield b[["s_suppkey", "height", "width"]].assign(digest=sums, filled=[int(np.frombuffer(m, np.uint8).sum()) for m in b["mask"]])
+
+    return d.mapInPandas(digest, "s_suppkey long, height int, width int, digest long, filled long")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ast
+import gzip
 import io
 import struct
 import tarfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -133,9 +135,7 @@ def tar_members(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataF
                     with tarfile.open(fileobj=io.BytesIO(raw)) as t:
                         for m in t:
                             if m.isfile():
-                                name = m.name.rsplit("/", 1)[-1]
-                                key, _, ext = name.partition(".")
-                                rows.append((path, m.name, key, ext, t.extractfile(m).read(), None))
+                                rows.append((path, m.name, *_key(m.name), t.extractfile(m).read(), None))
                 except (tarfile.TarError, EOFError, OSError) as e:
                     rows.append((path, None, None, None, None, str(e)))
                 yield pd.DataFrame(rows, columns=["path", "member", "key", "ext", "content", "error"])
@@ -143,6 +143,40 @@ def tar_members(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataF
     return d.mapInPandas(unpack, "path string, member string, key string, ext string, content binary, error string")
 
 
+def zip_members(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+    """The same columns for zip archives, and for single .gz files, whose one member is the file without its ending."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, raw in zip(b.path, b.content, strict=True):
+                rows = []
+                try:
+                    if path.endswith(".gz"):
+                        name = path.rsplit("/", 1)[-1].removesuffix(".gz")
+                        rows.append((path, name, *_key(name), gzip.decompress(raw), None))
+                    else:
+                        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                            rows += [(path, m.filename, *_key(m.filename), z.read(m), None) for m in z.infolist() if not m.is_dir()]
+                except (zipfile.BadZipFile, EOFError, OSError, RuntimeError) as e:
+                    rows = [(path, None, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["path", "member", "key", "ext", "content", "error"])
+
+    return d.mapInPandas(unpack, "path string, member string, key string, ext string, content binary, error string")
+
+
+def _key(member: str) -> tuple[str, str]:
+    key, _, ext = member.rsplit("/", 1)[-1].partition(".")
+    return key, ext
+
+
+def frames(df: DataFrame, make: Callable, schema: T.StructType | str, attempts: int = 1) -> DataFrame:
+    """Frames of videos: (.., content) through a decoder that the caller injects, made once a task (S11); indices come from sampling.frame_indices()."""
+    from ..operators.scorers import score
+
+    return score(df, make, schema, batch_rows=1, attempts=attempts)
+
+
 def read_ply(raw: bytes) -> np.ndarray:
     """x, y, z of an ASCII or little-endian float PLY."""
     head, body = raw.split(b"end_header\n", 1)
