@@ -39,7 +39,7 @@ BATCH = 16 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Have Spark send batches of at most BATCH bytes, unless the session asks for fewer or for another number than Spark's own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":
+    if spark.conf.get(key) == "67108864b":
         spark.conf.set(key, str(BATCH))
 
 
