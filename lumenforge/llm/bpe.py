@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_slices as _blocks
-from .common import materialise, release, shared_dir, tidy
+from .common import bound_batches, materialise, release, shared_dir, tidy
 from .lexicon import Lexicon, compile_lexicon
 
 #: White space as the vocabulary's pattern sees it (the Unicode property).
@@ -353,6 +353,7 @@ def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id"
     word), one encodes, decodes again from the ids, and shuffles nothing. The vocabulary file is read on
     the driver and travels as a broadcast; the lexicon is memory-mapped by every worker.
     """
+    bound_batches(df.sparkSession)
     with open(vocabulary_file, encoding="utf-8") as f:
         content = f.read()
     name = _publish(df, build_lexicon(df, Vocabulary(content), text_col, words=words))

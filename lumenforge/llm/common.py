@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, release, shared_dir
+from ..runtime import bound_batches, materialise, release, shared_dir
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -105,4 +105,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["WORD", "ascii_lower", "byte_slices", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized", "tidy"]
+__all__ = ["WORD", "ascii_lower", "bound_batches", "byte_slices", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized", "tidy"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, release, sized, tidy
+from .common import bound_batches, connected_components, materialise, release, sized, tidy
 from .covertree import Tree, pairs_within
 
 #: Vectors of a block: BLOCK, or a label's 64th part up to LARGEST (16 MB of 64 components).
@@ -202,6 +202,7 @@ def near_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     table gives no rows; other columns, whatever their names, are not looked at. Labels may be of any type. Cosines within
     a rounding error of the threshold are decided by the products of the unit vectors.
     """
+    bound_batches(df.sparkSession)
     rows = materialise(prepare(df, id_col, vector_col, label_col), "vectors")
     group = ["label", "dim", "key"]
     is_good = F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()

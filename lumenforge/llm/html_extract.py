@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import bound_batches, tidy
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside section article main table thead tbody tr td th caption form fieldset figure figcaption blockquote pre address details summary dialog center menu search hgroup label legend".split())
@@ -481,6 +481,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     a node whose odds are even counts as content. The model is trained on the driver from the small labelled table and travels with
     the function; one narrow pass over Arrow batches, nothing is shuffled.
     """
+    bound_batches(df.sparkSession)
     model = model or trained()
     slim = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("u"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("h"))
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(url_col, df.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_kept", T.LongType())])

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialise, release, row_hash, tidy
+from .common import bound_batches, connected_components, fresh, materialise, release, row_hash, tidy
 from .shingles import MinHash, mix, shingle_sets
 
 BANDS, ROWS = 40, 6
@@ -277,6 +277,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id link with nothing, get no component and are kept. An empty table gives no rows; other columns, whatever their names, are not
     looked at. Texts of any length count whole. The probability that banding misses a pair at 0.8 is 5e-6, and less above.
     """
+    bound_batches(df.sparkSession)
     t = percent / 100
     sk = materialise(sketch(df, id_col, text_col, k), "sketch")
     keyed = sk.where("n > 0 and id is not null")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, tidy
+from .common import bound_batches, byte_slices, tidy
 from .crf import LinearChainCRF
 
 # --- the base patterns, fixed by the contract -------------------------------------------------------------
@@ -573,6 +573,7 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
     field is trained on the driver from the small labelled table and its weights travel with the
     function; one narrow pass over Arrow batches, nothing is shuffled.
     """
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField(id_col, kind), *SCHEMA.fields])

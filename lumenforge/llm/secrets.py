@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, tidy
+from .common import bound_batches, byte_slices, tidy
 
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -265,6 +265,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     together are ordered by kind. Words come by rank from a public tokenizer's file, read on the driver; without `least` the bound is
     the one that tells the labelled values apart best. One narrow pass over Arrow batches, nothing is shuffled.
     """
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     schema = T.StructType([T.StructField(id_col, kind), *SCHEMA.fields])
@@ -289,6 +290,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]", least:
     Null texts stay null, texts without a span stay as they are, and so do all other columns, whatever their names; an
     empty table stays empty; rows may be repeated. Texts of any length are read whole.
     """
+    bound_batches(df.sparkSession)
     by = guesser(vocabulary_file)
     least = by.least if least is None else least
 
