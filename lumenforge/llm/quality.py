@@ -14,10 +14,32 @@ WINDOW = 8
 FUNCTION_WORDS = "the of and to in is that for it with as on be by are this was der die und das den von zu mit ist im nicht ein eine auf für dem des sich le la les de du des et est en que qui un une dans pour par sur pas au el los las del y se con su para una no".split()
 
 
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash for each window of the array: every word is hashed once, then spans of 1, 2, 4, .. words are put together, so a window costs as many steps as its length has bits."""
+    n = F.size(words)
+
+    def joined(a: Column, b: Column, at: int, length: int) -> Column:
+        """Hashes of spans of `length` words: those of a, and those of b that begin `at` words on."""
+        k = n - (length - 1)
+        return F.zip_with(F.slice(a, 1, k), F.slice(b, at + 1, k), lambda x, y: F.xxhash64(x, y))
+
+    def build(span: Column, length: int, out: Column | None, done: int) -> Column:
+        if window & length:
+            out, done = (span, length) if out is None else (joined(out, span, done, done + length), done + length)
+        if done == window:
+            return out
+        twice = joined(span, span, length, 2 * length)
+        if out is None:
+            return let(twice, lambda x: build(x, 2 * length, None, 0))
+        return let(F.struct(twice.alias("x"), out.alias("o")), lambda s: build(s["x"], 2 * length, s["o"], done))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: build(h, 1, None, 0))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of `window` words that occurs twice or more in the array."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+    hashes = window_hashes(words, window)
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))

@@ -99,3 +99,20 @@ def test_verdicts(spark):
         base = s["words"] < 20 or 100 * s["repeat"] > 30 * s["words"]
         assert x["posterior"] == pytest.approx(p, abs=1e-9) and x["base_failed"] == base and x["kept"] == (not base and p >= 0.5), texts[x["doc_id"]]
     assert 20 < sum(x["kept"] for x in rows) < len(rows) - 20
+
+
+def test_repeats_of_any_window(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    lists = [[r.choice("abc") for _ in range(r.randint(0, 40))] for _ in range(120)] + [[], ["a"] * 30]
+    d = spark.createDataFrame(list(enumerate(lists)), "k int, w array<string>")
+    for window in (2, 3, 5, 7, 8, 13):
+        got = {x["k"]: x["n"] for x in d.select("k", quality.repeated_words(F.col("w"), window).alias("n")).collect()}
+        for k, words in enumerate(lists):
+            spans = [tuple(words[i : i + window]) for i in range(len(words) - window + 1)]
+            n, inside = Counter(spans), set()
+            for i, s in enumerate(spans):
+                if n[s] > 1:
+                    inside |= set(range(i, i + window))
+            assert got[k] == len(inside), (window, words)
