@@ -23,22 +23,22 @@ class ImageSet:
     ignore: int = 255
 
 
-#: Folders as the sets are published, and their ignored labels.
-SETS = tuple(
-    ImageSet(*x)
-    for split, folder in (("train", "training"), ("val", "validation"))
-    for x in (
-        (f"ade20k_sem_seg_{split}", f"ADEChallengeData2016/images/{folder}", f"ADEChallengeData2016/annotations_detectron2/{folder}"),
-        (f"ade20k_full_sem_seg_{split}", f"ADE20K_2021_17_01/images_detectron2/{folder}", f"ADE20K_2021_17_01/annotations_detectron2/{folder}", "jpg", "tif", 65535),
-        (f"mapillary_vistas_sem_seg_{split}", f"mapillary_vistas/{folder}/images", f"mapillary_vistas/{folder}/labels", "jpg", "png", 65),
-    )
-) + tuple(ImageSet(f"coco_2017_{split}_stuff_10k_sem_seg", f"coco/coco_stuff_10k/images_detectron2/{split}", f"coco/coco_stuff_10k/annotations_detectron2/{split}") for split in ("train", "test"))
-
-
-def image_set(name: str) -> ImageSet:
-    found = [s for s in SETS if s.name == name]
+def sets(prepared: str = "prepared") -> list[ImageSet]:
+    """The sets' splits, folders as the sets are published; `prepared` ends the names of folders whose files a preparing step has written."""
+    out = []
+    for split, folder in (("train", "training"), ("val", "validation")):
+        out.append(ImageSet(f"ade20k_sem_seg_{split}", f"ADEChallengeData2016/images/{folder}", f"ADEChallengeData2016/annotations_{prepared}/{folder}"))
+        out.append(ImageSet(f"ade20k_full_sem_seg_{split}", f"ADE20K_2021_17_01/images_{prepared}/{folder}", f"ADE20K_2021_17_01/annotations_{prepared}/{folder}", label_ext="tif", ignore=65535))
+        out.append(ImageSet(f"mapillary_vistas_sem_seg_{split}", f"mapillary_vistas/{folder}/images", f"mapillary_vistas/{folder}/labels", ignore=65))
+    for split in ("train", "test"):
+        out.append(ImageSet(f"coco_2017_{split}_stuff_10k_sem_seg", f"coco/coco_stuff_10k/images_{prepared}/{split}", f"coco/coco_stuff_10k/annotations_{prepared}/{split}"))
+    return out
+
+
+def image_set(name: str, prepared: str = "prepared") -> ImageSet:
+    found = [s for s in sets(prepared) if s.name == name]
     if not found:
-        raise KeyError(f"no set {name}; there are {[s.name for s in SETS]}")
+        raise KeyError(f"no set {name}; there are {[s.name for s in sets()]}")
     return found[0]
 
 
