@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_slices as _blocks
-from .common import bound_batches, materialise, release, shared_dir, tidy
+from .common import bound_batches, give_back, materialise, release, shared_dir, tidy
 from .lexicon import Lexicon, compile_lexicon
 
 #: White space as the vocabulary's pattern sees it (the Unicode property).
@@ -293,7 +293,7 @@ def piece_counts(df: DataFrame, text_col: str = "text", held: int = 48 << 20) ->
     return slim.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", pieces: int = 262_144, words: int = 131_072) -> bytes:
+def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", pieces: int = 196_608, words: int = 98_304) -> bytes:
     """The compiled lexicon of the pattern's most frequent words within the corpus's most frequent pieces.
 
     A histogram of counts (a row for each sixteenth of a power of two) says from where on at most `pieces` pieces are left;
@@ -306,14 +306,19 @@ def build_lexicon(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
         if r["k"] > left:
             break
         least, left = r["size"], left - r["k"]
-    top = counted.where(F.col("size") >= least).collect()
+    top = counted.where(F.col("size") >= least).select("piece", "n").toArrow()
     release(counted)
     counts: Counter = Counter()
-    for r in top:
-        for w in PATTERN.findall(" " + bytes(r["piece"]).decode()):
-            counts[w.encode()] += r["n"]
+    for b in top.to_batches(max_chunksize=10_000):
+        for piece, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for w in PATTERN.findall(" " + piece.decode()):
+                counts[w.encode()] += n
+    del top
     chosen = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words] if len(w) <= LONGEST_WORD]
-    return compile_lexicon(zip(chosen, vocabulary.merge_batch(chosen), strict=True))
+    del counts
+    data = compile_lexicon(zip(chosen, vocabulary.merge_batch(chosen), strict=True))
+    give_back()
+    return data
 
 
 def _publish(df: DataFrame, data: bytes) -> str:
@@ -344,7 +349,7 @@ def _encoder(content: str, name: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", words: int = 131_072, with_ids: bool = False) -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary_file: str, id_col: str = "doc_id", text_col: str = "text", words: int = 98_304, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row; ids as little-endian 32-bit integers.
 
     A null text counts as empty: no tokens. Ids of rows may be null or repeated, each row has its own result; other columns,

@@ -44,13 +44,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Hand memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value, computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -105,4 +110,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-__all__ = ["WORD", "ascii_lower", "bound_batches", "byte_slices", "connected_components", "fresh", "let", "materialise", "release", "row_hash", "shared_dir", "sized", "tidy"]
+__all__ = ["WORD", "ascii_lower", "bound_batches", "byte_slices", "connected_components", "fresh", "give_back", "let", "materialise", "release", "row_hash", "shared_dir", "sized", "tidy"]
