@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,21 @@ def cider(df: DataFrame, key: str, hypothesis: str, references: str, n_max: int
     return total.groupBy(key).agg((F.sum("v") / n_max * 10).alias("cider"))
 
 
+def external_metric(df: DataFrame, key: str, hypothesis: str, references: str, make: Callable[[], Callable[[str, list[str]], float]], name: str = "score") -> DataFrame:
+    """(key, name): a metric that the caller injects, such as METEOR or SPICE with their word nets; make() is called once a task."""
+    from .scorers import score
+
+    def scorer() -> Callable:
+        metric = make()
+        return lambda b: b.assign(**{name: [float(metric(h, list(rs))) for h, rs in zip(b[hypothesis], b[references], strict=True)]})[[key, name]]
+
+    slim = df.select(key, hypothesis, references)
+    return score(slim, scorer, f"{key} {df.schema[key].dataType.simpleString()}, {name} double")
+
+
 def caption_score(cider_mean: Column, bleu4: Column) -> Column:
     """What the best epoch is chosen by."""
     return cider_mean + bleu4
 
 
-__all__ = ["bleu", "caption_score", "cider", "lcs_length", "ngrams", "rouge_l", "tokens"]
+__all__ = ["bleu", "caption_score", "cider", "external_metric", "lcs_length", "ngrams", "rouge_l", "tokens"]

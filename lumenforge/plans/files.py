@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import struct
 import tarfile
 import zipfile
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -314,3 +316,38 @@ def s16(t: Tables) -> DataFrame:
     stuff = t.spark.createDataFrame([(k, k + 10) for k in (4, 5, 6, 7, 8)], "key int, id int")
     d = I.panoptic_rows(_panoptic(t), "images", "masks", "sem", things, stuff)
     return d.where("category_id is not null").select("image_id", "semantic", "id", "category_id", "isthing")
+
+
+def _exr(rows: list[list[float]], packed: bool) -> bytes:
+    """A small file with one channel Z of floats, deflated or as it is."""
+    a = np.array(rows, dtype="<f4")
+    h, w = a.shape
+    lines = 16 if packed else 1
+    head = struct.pack("<II", 20000630, 2)
+    for name, kind, value in (("channels", "chlist", b"Z\0" + struct.pack("<iiii", 2, 0, 1, 1) + b"\0"), ("compression", "compression", bytes([3 if packed else 0])), ("dataWindow", "box2i", struct.pack("<4i", 0, 0, w - 1, h - 1))):
+        head += name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(value)) + value
+    head += b"\0"
+    blocks = []
+    for y in range(0, h, lines):
+        raw = a[y : y + lines].tobytes()
+        d = np.concatenate([np.frombuffer(raw, np.uint8)[0::2], np.frombuffer(raw, np.uint8)[1::2]]).astype(np.int64)
+        data = zlib.compress(np.concatenate([d[:1], (d[1:] - d[:-1] + 128) & 255]).astype(np.uint8).tobytes()) if packed else raw
+        data = raw if len(data) >= len(raw) else data
+        blocks.append(struct.pack("<ii", y, len(data)) + data)
+    at, offsets = len(head) + 8 * len(blocks), []
+    for b in blocks:
+        offsets.append(at)
+        at += len(b)
+    return head + struct.pack(f"<{len(blocks)}Q", *offsets) + b"".join(blocks)
+
+
+@query("s10_exr_depth", "SELECT r_regionkey, y::INT AS y, x::INT AS x, (r_regionkey * 100 + y * 0.5 + x * 0.25)::DOUBLE AS value FROM region, (SELECT unnest(range(0, 20)) AS y), (SELECT unnest(range(0, 12)) AS x)")
+def s10_exr(t: Tables) -> DataFrame:
+    """OpenEXR files as depth maps, a row for each pixel."""
+    from ..sources import exr
+
+    base = scratch(t.spark, "exr")
+    for (k,) in t.region.select("r_regionkey").collect():
+        write_file(t.spark, f"{base}/{k}.exr", _exr([[k * 100 + y * 0.5 + x * 0.25 for x in range(12)] for y in range(20)], k % 2 == 0))
+    d = R.pixels(exr.depth_maps(t.spark, base, "Z"))
+    return d.select(F.regexp_extract("path", r"(\d+)\.exr$", 1).cast("int").alias("r_regionkey"), "y", F.col("x").cast("int").alias("x"), "value")

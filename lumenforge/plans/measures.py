@@ -68,6 +68,22 @@ def rouge(t: Tables) -> DataFrame:
     return t.conversations.join(before, ["conv_id", "turn"]).select("conv_id", "turn", r6(C.rouge_l("text", "rs")).alias("rouge"))
 
 
+@query("a31_external_metric", "SELECT item_id, round(length(replace(text, 'th', 'z')) / (length(text) * 2.0), 6) AS score FROM benchmark")
+def external(t: Tables) -> DataFrame:
+    """A metric from outside, here the lengths' quotient."""
+    d = C.external_metric(_captions(t), "item_id", "h", "rs", lambda: lambda h, rs: len(h) / sum(map(len, rs)))
+    return d.select("item_id", r6(F.col("score")).alias("score"))
+
+
+@query("a33_aggregate", _GRAMS.replace("replace(text, chr(116) || chr(104), chr(122))", "text") + "x AS (SELECT count(*) AS n FROM t) SELECT n, true AS best FROM x")
+def a33(t: Tables) -> DataFrame:
+    """What the best epoch is chosen by: CIDEr plus BLEU-4, at its best where every caption is its own reference."""
+    d = t.benchmark.select("item_id", F.col("text").alias("h"), F.array("text").alias("rs"))
+    score = C.cider(d, "item_id", "h", "rs").agg(F.count("*").alias("n"), F.avg("cider").alias("cider"))
+    whole = C.bleu(d, "item_id", "h", "rs").crossJoin(score)  # one row each
+    return whole.select("n", (F.abs(C.caption_score(F.col("cider"), F.col("bleu4")) - 11.0) < 1e-6).alias("best"))
+
+
 # --- retrieval in both directions -----------------------------------------------------------------------------------
 
 _BOTH = (
