@@ -7,8 +7,8 @@ falls below the chosen miss probability. Survivors are verified on their full se
 
 A bucket never becomes all its pairs. First every member meets the bucket's centre; links found that way join
 components, and only members of different components are compared further: pair by pair in buckets of at
-most SMALL members, and in larger ones by blocks of sets within a task, smaller components against all,
-where only links that join components leave the task.
+most SMALL members; in larger ones signatures are dealt in blocks, smaller components against all, then the
+sets of those that agree with some other of their task, and only links that join components leave it.
 """
 
 from __future__ import annotations
