@@ -91,6 +91,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder within the shared folder."""
+    p, fs = _file_system(spark, old)
+    q, _ = _file_system(spark, new)
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{old} can't be moved to {new}")
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, by the file system that the path names."""
     p, fs = _file_system(spark, path)
