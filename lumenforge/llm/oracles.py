@@ -95,4 +95,30 @@ common AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g =
 pairs AS MATERIALIZED (SELECT a, b FROM common JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
 {_REACH}
 SELECT c.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.id = component_id AS kept FROM components c LEFT JOIN n USING (id)""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS leader FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM leader THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM leader THEN leader END AS refers_to FROM g""",
+    "op12_panes": """
+WITH bits AS (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(0, 256)) AS i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits),
+r AS (SELECT click_id, min(row(coalesce(arrived_at, ts), ts, kind, value)) AS r FROM clicks WHERE ts IS NOT NULL AND click_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT click_id, row(coalesce(arrived_at, ts), ts, kind, value) FROM clicks WHERE ts IS NOT NULL AND click_id IS NULL),
+c AS (SELECT click_id, coalesce(r[3], 'none') AS kind, CASE WHEN r[4] IS NULL OR NOT isfinite(r[4]) THEN 0 ELSE floor(100 * r[4] + 0.5)::BIGINT END AS cents, epoch_us(r[2]) AS ts, epoch_us(r[1]::DATE) // 86400000000 AS d,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(click_id::VARCHAR) + 1), lambda j: ord(substr(click_id::VARCHAR, j, 1))::BIGINT)), lambda x, y: xor(t[xor(x, y) % 256 + 1], x // 256))) AS crc FROM r, tab),
+e AS (SELECT click_id, kind, cents, least(7, (d % 8 + 8) % 8 + greatest(0, coalesce(crc, 0) % 30 - 23)) AS batch, ts - (d - (d % 8 + 8) % 8) * 86400000000 AS event FROM c),
+h AS (SELECT *, (event - (event % 3600000000 + 3600000000) % 3600000000) // 3600000000 AS hour FROM e),
+b AS (SELECT k AS batch, (SELECT max(event) FROM h WHERE h.batch < k) AS w FROM (SELECT unnest(range(0, 8)) AS k)),
+p AS (SELECT kind, hour, coalesce((SELECT min(batch) FROM b WHERE w >= (hour + 7) * 3600000000), 99) AS due, coalesce((SELECT min(batch) FROM b WHERE w >= (hour + 97) * 3600000000), 99) AS closed FROM (SELECT DISTINCT kind, hour FROM h)),
+j AS (SELECT h.*, due, closed FROM h JOIN p USING (kind, hour)),
+t AS (SELECT kind, hour, batch, any_value(due) AS due, count(*) AS n, sum(cents) AS c FROM j WHERE batch < closed GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER o AS n_all, sum(c) OVER o AS c_all, min(batch) OVER (PARTITION BY kind, hour) AS first, max(batch) OVER (PARTITION BY kind, hour) AS final FROM t WINDOW o AS (PARTITION BY kind, hour ORDER BY batch)),
+s AS (SELECT *, greatest(due, first) AS sent FROM u),
+x AS (SELECT sent AS batch, hour, -1 AS click_id, max(n_all) AS n_rows, max_by(c_all, batch) AS cents, 'emit' AS record, kind FROM s WHERE sent <= 7 AND batch <= sent GROUP BY sent, hour, kind
+  UNION ALL SELECT batch, hour, -1, n_all - n, c_all - c, 'retract', kind FROM s WHERE batch > sent
+  UNION ALL SELECT batch, hour, -1, n_all, c_all, 'replace', kind FROM s WHERE batch > sent
+  UNION ALL SELECT 7, hour, -1, n_all, c_all, 'final', kind FROM s WHERE sent > 7 AND batch = final
+  UNION ALL SELECT batch, hour, click_id, 1, cents, 'late', kind FROM j WHERE batch >= closed)
+SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM x""",
 }
