@@ -100,6 +100,13 @@ def move(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"{old} can't be moved to {new}")
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make a folder; its full address, with the scheme that a plain path means here."""
+    p, fs = _file_system(spark, path)
+    fs.mkdirs(p)
+    return fs.makeQualified(p).toString()
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, by the file system that the path names."""
     p, fs = _file_system(spark, path)
