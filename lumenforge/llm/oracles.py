@@ -121,4 +121,8 @@ x AS (SELECT sent AS batch, hour, -1 AS click_id, max(n_all) AS n_rows, max_by(c
   UNION ALL SELECT 7, hour, -1, n_all, c_all, 'final', kind FROM s WHERE sent > 7 AND batch = final
   UNION ALL SELECT batch, hour, click_id, 1, cents, 'late', kind FROM j WHERE batch >= closed)
 SELECT batch::BIGINT AS batch, hour::BIGINT AS hour, click_id::BIGINT AS click_id, n_rows::BIGINT AS n_rows, cents::BIGINT AS cents, record, kind FROM x""",
+    "base_whitening": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM v), e AS (SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM f), s AS (SELECT list(s ORDER BY i) AS s FROM (SELECT i, sum(x)::BIGINT AS s FROM e GROUP BY i)), n AS (SELECT count(*) AS n FROM f)
+SELECT vec_id, component::INT AS component, n, list_sum(list_transform(x, lambda c, i: (n * c - s[i]) ** 2))::BIGINT AS deviation FROM v, s, n, (SELECT unnest(range(1, 17)) AS component)""",
 }

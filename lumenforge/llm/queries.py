@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import bpe, embed_dedup, html_extract, licenses, minhash, mixing, panes, pii, quality, secrets, sharding
+from . import bpe, embed_dedup, html_extract, licenses, minhash, mixing, panes, pii, quality, secrets, sharding, warc, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str, vocabulary_file: str | None =
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"), vocabulary_file=vocabulary_file or vocabulary_path())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op12_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panes.revise_panes(_table(spark, sf_dir, "clicks"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def base_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op13_whitening: the fit's size and exact deviations."""
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the contract fixes of op3_quality, which SQL can say too."""
     return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
