@@ -44,6 +44,7 @@ SETTINGS = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # a batch's rows come before its deadlines, so time may not go on between batches
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside for each
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
