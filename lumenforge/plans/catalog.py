@@ -1038,4 +1038,4 @@ def v04(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", r6(V.late_interaction(q, "embedding")).alias("best"))
 
 
-from . import files, measures  # noqa: E402, F401  they register theirs
+from . import evaluation, files, flows, measures  # noqa: E402, F401  they register theirs
