@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import contextlib
 import itertools
-import json
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
@@ -153,7 +153,7 @@ class LookAhead(DataSource):
     """Format `look_ahead`: the rows of a numbered Parquet table, at most `ahead` of them beyond what the query has committed.
 
     Options: path of a table of (item long, payload string), items from 0, one row each, in files that hold ranges of them; rows, how many; ahead; parts,
-    the ranges that a batch is read in; state, a folder where the last committed item is noted, so that a query that starts anew goes on from it.
+    the ranges that a batch is read in; state, a folder where the end of the last batch is noted, so that a query that starts anew goes on from it.
     """
 
     @classmethod
@@ -173,28 +173,30 @@ class LookAheadReader(DataSourceStreamReader):
         self.parts, self.state = int(options.get("parts", 2)), options["state"]
         if self.ahead < 1:
             raise ValueError("ahead must be 1 at least")
-        fs, at = open_path(f"{self.state}/committed")
+        fs, at = open_path(f"{self.state}/planned")
         self.done = int(fs.open_input_stream(at).read()) if fs.get_file_info(at).type == pafs.FileType.File else 0
 
     def initialOffset(self) -> dict:
         return {"item": 0}
 
     def latestOffset(self) -> dict:
-        """What may be asked for: `ahead` items beyond the last that is committed, whatever there is."""
+        """What may be asked for: `ahead` items beyond the last batch. Spark asks when that batch is done, so all of it is committed."""
         return {"item": min(self.rows, self.done + self.ahead)}
 
     def partitions(self, start: dict, end: dict) -> list[Frames]:
+        self._note(end["item"])
         n = end["item"] - start["item"]
         cuts = [start["item"] + n * i // self.parts for i in range(self.parts + 1)]
         return [Frames(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
-    def commit(self, end: dict) -> None:
-        self.done = max(self.done, end["item"])
+    def _note(self, end: int) -> None:
+        """The end of the batch that runs now; a query that starts anew runs that batch to its end before it asks for more."""
+        self.done = max(self.done, end)
         fs, at = open_path(self.state)
         fs.create_dir(at)
-        with fs.open_output_stream(f"{at}/committed.new") as f:
+        with fs.open_output_stream(f"{at}/planned.new") as f:
             f.write(str(self.done).encode())
-        fs.move(f"{at}/committed.new", f"{at}/committed")
+        fs.move(f"{at}/planned.new", f"{at}/planned")
 
     def read(self, partition: Frames) -> Iterator[tuple]:
         fs, at = open_path(self.path)
@@ -218,7 +220,7 @@ def run_through(stream: DataFrame, out: str, checkpoint: str) -> list[tuple[int,
         q.processAllAvailable()
         for p in q.recentProgress:
             s = p["sources"][0]
-            start, end = ((json.loads(x) if isinstance(x, str) else x or {"item": 0})["item"] for x in (s["startOffset"], s["endOffset"]))
+            start, end = ((ast.literal_eval(str(x)) or {"item": 0})["item"] for x in (s["startOffset"], s["endOffset"]))
             if end > start:
                 seen[p["batchId"]] = start, end
     finally:
