@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
+from ..operators import blocks as B
 from ..operators import detection as E
-from .catalog import Tables, query, r6
+from ..operators import meteor as O
+from .catalog import _RANKED, Tables, query, r6
 
 _BOXES_SQL = """
 WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, l_returnflag AS class, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, 20 + l_quantity::DOUBLE AS w, 10 + 5 * l_linenumber::DOUBLE AS h, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
@@ -60,3 +63,29 @@ SELECT metric, round(value, 6) AS value FROM (SELECT 'AP' AS metric, avg(ap) * 1
 def a32_ap(t: Tables) -> DataFrame:
     """AP, AP50, AP75, AR and AP of each class."""
     return E.evaluate(*_boxes(t)).withColumn("value", r6(F.col("value")))
+
+
+@query("d05_split_top_k", _RANKED + "SELECT q, i, s FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) <= 10")
+def d05(t: Tables) -> DataFrame:
+    """The ten nearest of one vector in a hundred among all, by products of blocks."""
+    e = t.embeddings.select("vec_id", V.normalise("embedding").alias("u"))
+    return B.split_top_k(e.where("vec_id % 100 = 0"), e, 10).select("q", "i", "s")
+
+
+_METEOR_SQL = """WITH RECURSIVE p AS (SELECT p_partkey AS k, lower(p_name) AS n, lower(p_type) AS y FROM part),
+c AS (SELECT a.k, string_split(a.n || ' ' || b.n || ' ' || a.y, ' ') AS h, string_split(b.n || ' ' || b.y || ' ' || a.n, ' ') AS r FROM p a JOIN p b ON b.k = a.k + 1),
+s(k, i, last, used, m, ch) AS (SELECT k, 0, -2, []::BIGINT[], 0, 0 FROM c
+  UNION ALL SELECT s.k, s.i + 1, o.j, CASE WHEN o.j >= 0 THEN list_append(s.used, o.j) ELSE s.used END, s.m + (o.j >= 0)::INT, s.ch + (o.j >= 0 AND o.j <> s.last + 1)::INT
+  FROM s JOIN c ON c.k = s.k AND s.i < len(c.h) CROSS JOIN LATERAL (SELECT -2 AS j UNION ALL SELECT unnest(list_filter(range(0, len(c.r)), lambda x: c.r[x + 1] = c.h[s.i + 1] AND NOT list_contains(s.used, x)))) o),
+e AS (SELECT s.k, m, ch, len(h) AS nh, len(r) AS nr FROM s JOIN c ON c.k = s.k WHERE s.i = len(h) QUALIFY row_number() OVER (PARTITION BY s.k ORDER BY m DESC, ch) = 1)
+SELECT k AS p_partkey, round(CASE WHEN m = 0 THEN 0 ELSE (m / nh::DOUBLE) * (m / nr::DOUBLE) / (0.9::DOUBLE * (m / nh::DOUBLE) + 0.1::DOUBLE * (m / nr::DOUBLE)) * (1 - 0.5::DOUBLE * (ch / m::DOUBLE) ** 3) END, 6) AS meteor FROM e"""
+
+
+@query("a31_meteor", _METEOR_SQL)
+def a31_meteor(t: Tables) -> DataFrame:
+    """METEOR of short captions made of neighbouring parts, equal words only; the SQL goes through all alignments."""
+    name, kind = F.lower("p_name"), F.lower("p_type")
+    a = t.part.select("p_partkey", name.alias("n"), kind.alias("y"))
+    b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), name.alias("n2"), kind.alias("y2"))
+    d = a.join(b, "p_partkey").select("p_partkey", F.concat_ws(" ", "n", "n2", "y").alias("h"), F.array(F.concat_ws(" ", "n2", "y2", "n")).alias("rs"))
+    return O.meteor(d, "p_partkey", "h", "rs", stages=("exact",)).withColumn("meteor", r6(F.col("meteor")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import vectors as V
 from ..operators import augment as A
+from ..operators import blocks as B
 from ..operators import captions as C
 from ..operators import maps as P
 from ..operators import metrics as M
@@ -102,15 +103,10 @@ _BOTH = (
 def m3_both(t: Tables) -> DataFrame:
     """Recalls from images to texts and back, a text's vector being its image's, turned by one place; one in a hundred of either asks, all answer (M3: J09, V01, V02, T02, T03)."""
     u = t.embeddings.select("vec_id", "label", V.normalise("embedding").alias("u"))
-    w = u.select(F.col("vec_id").alias("text"), F.col("label").alias("tl"), F.concat(F.slice("u", 2, F.size("u") - 1), F.slice("u", 1, 1)).alias("w"))
-
-    def ranks(pairs: DataFrame, asks: str, answers: str, prefix: str) -> DataFrame:
-        d = pairs.select(asks, answers, F.round(V.dot("u", "w"), 9).alias("s"), (F.col("label") == F.col("tl")).alias("gold"))
-        return M.recalls(M.rank_golds(d, asks, answers, "s", F.col("gold")), prefix=f"{prefix}_r")
-
-    each = (F.col("vec_id") >= 0) | (F.col("text") >= 0)
-    txt = ranks(u.where("vec_id % 100 = 0").join(w, each), "vec_id", "text", "txt")
-    img = ranks(u.join(w.where("text % 100 = 0"), each), "text", "vec_id", "img")
+    w = u.select("vec_id", "label", F.concat(F.slice("u", 2, F.size("u") - 1), F.slice("u", 1, 1)).alias("u"))
+    asks = lambda d: d.where("vec_id % 100 = 0")
+    txt = M.recalls(B.gold_ranks(asks(u), w, others=False), prefix="txt_r")
+    img = M.recalls(B.gold_ranks(asks(w), u, others=False), prefix="img_r")
     d = txt.crossJoin(img).withColumn("r_mean", (F.col("txt_r_mean") + F.col("img_r_mean")) / 2).withColumn("agg_metrics", F.col("txt_r_mean"))  # one row each
     return d.select(*[r6(F.col(c)).alias(c) for c in d.columns])
 
