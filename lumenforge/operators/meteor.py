@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .captions import tokens
 
-WIDTH = 4096
+WIDTH = 256
 #: Weights of recall, fragmentation and its power, and of the stages (fixed values of the first paper; the stages' weights of later ones).
 ALPHA, GAMMA, POWER = 0.9, 0.5, 3.0
 WEIGHTS = {"exact": 1.0, "stem": 0.6, "synonym": 0.8}

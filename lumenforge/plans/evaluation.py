@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import heatmaps as H
+from ..functions import strided as S
 from ..functions import vectors as V
 from ..operators import blocks as B
 from ..operators import detection as E
@@ -89,3 +91,42 @@ def a31_meteor(t: Tables) -> DataFrame:
     b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), name.alias("n2"), kind.alias("y2"))
     d = a.join(b, "p_partkey").select("p_partkey", F.concat_ws(" ", "n", "n2", "y").alias("h"), F.array(F.concat_ws(" ", "n2", "y2", "n")).alias("rs"))
     return O.meteor(d, "p_partkey", "h", "rs", stages=("exact",)).withColumn("meteor", r6(F.col("meteor")))
+
+
+_GRID_SQL = """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT vec_id, list_transform(e, lambda x: CASE WHEN list_max(e) > list_min(e) THEN (x - list_min(e)) / (list_max(e) - list_min(e)) ELSE 0 END) AS e FROM g),
+c AS (SELECT k::INT AS k, least(greatest((k + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE, 0), 7) AS x FROM (SELECT unnest(range(0, 12)) AS k)), a AS (SELECT k, floor(x)::INT AS a, least(floor(x)::INT + 1, 7) AS b, x - floor(x) AS t FROM c),
+z AS (SELECT vec_id, y.k AS y, x.k AS x, (e[8 * y.a + x.a + 1] * (1 - x.t) + e[8 * y.a + x.b + 1] * x.t) * (1 - y.t) + (e[8 * y.b + x.a + 1] * (1 - x.t) + e[8 * y.b + x.b + 1] * x.t) * y.t AS v FROM s, a y, a x)"""
+
+
+@query("v28_resize", _GRID_SQL + " SELECT vec_id, y, x, round(v, 6) + 0.0 AS value FROM z")
+def v28_resize(t: Tables) -> DataFrame:
+    """Attention grids of 8 x 8, stretched and resized to 12 x 12."""
+    g = H.resize(H.stretch(F.transform("embedding", lambda x: x.cast("double"))), 8, 8, 12, 12)
+    d = t.embeddings.select("vec_id", F.posexplode(g).alias("p", "v"))
+    return d.select("vec_id", F.floor(F.col("p") / 12).cast("int").alias("y"), (F.col("p") % 12).alias("x"), r6(F.col("v")).alias("value"))
+
+
+@query(
+    "v28_blur",
+    """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT unnest(range(-4, 5)) AS d), w AS (SELECT d, exp(-0.5::DOUBLE * d * d) / (SELECT sum(exp(-0.5::DOUBLE * d * d)) FROM d) AS w FROM d),
+n AS (SELECT k, CASE WHEN m < 8 THEN m ELSE 15 - m END AS q, w FROM (SELECT k, ((k + d) % 16 + 16) % 16 AS m, w FROM w, (SELECT unnest(range(0, 8)) AS k))),
+f AS (SELECT vec_id, k AS y, x, sum(w * e[8 * q + x + 1]) AS v FROM g, n, (SELECT unnest(range(0, 8)) AS x) GROUP BY ALL) SELECT vec_id, y::INT AS y, k::INT AS x, round(sum(w * v), 5) + 0.0 AS value FROM f JOIN n ON n.q = f.x GROUP BY ALL""",
+)
+def v28_blur(t: Tables) -> DataFrame:
+    """Gaussian blur of the grids, mirrored at the border."""
+    g = H.blur(F.transform("embedding", lambda x: x.cast("double")), 8, 8, 1.0)
+    d = t.embeddings.select("vec_id", F.posexplode(g).alias("p", "v"))
+    return d.select("vec_id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), (F.round("v", 5) + 0.0).alias("value"))
+
+
+@query(
+    "v31_video_views",
+    "WITH p AS (SELECT vec_id, embedding AS e, t, y, x, c FROM embeddings, (SELECT unnest([0, 1]) AS t), (SELECT unnest([0, 1]) AS y), (SELECT unnest([0, 1, 2]) AS x), (SELECT unnest([0, 1]) AS c)) "
+    "SELECT vec_id, (((t * 2 + y) * 3 + x) * 2 + c)::INT AS place, round(((e[c * 32 + t * 16 + (y + 1) * 4 + (3 - x) + 1]::DOUBLE / 255) - [0.5, 0.25][c + 1]) / [0.5, 2.0][c + 1], 6) + 0.0 AS value FROM p",
+)
+def v31(t: Tables) -> DataFrame:
+    """Clips of two channels, two frames of 4 x 4: cropped, mirrored, axes from CTHW to THWC, normalised by channel."""
+    clip = S.view(F.transform("embedding", lambda x: x.cast("double")), [2, 2, 4, 4])
+    seen = S.permute(S.crop(S.flip(clip, 3, 4), [0, 0, 1, 0], [2, 2, 2, 3]), [1, 2, 3, 0])
+    d = t.embeddings.select("vec_id", F.posexplode(S.normalise(seen, 3, 4, [0.5, 0.25], [0.5, 2.0])).alias("place", "v"))
+    return d.select("vec_id", "place", r6(F.col("v")).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..operators.ordering import number_rows
 from ..runtime import make_folder, move, scratch
 from ..sources import ply as L
@@ -137,3 +138,21 @@ def k09(t: Tables) -> DataFrame:
     L.save_ply(d, path, "label", {"x": "float", "y": "float", "z": "float"})
     back = L.read_ply(t.spark, path, ["x", "y", "z"], points=100)
     return back.groupBy("scene").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 4) + 0.0).alias("x"), (F.round(F.sum("y"), 4) + 0.0).alias("y"), r6(F.max("z")).alias("z"))
+
+
+@query("udtf_prefixes", "SELECT conv_id, turn, role, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), chr(10)), '') AS history FROM conversations")
+def udtf_prefixes(t: Tables) -> DataFrame:
+    """Dialogue prefixes by a table function in SQL."""
+    table_functions.register(t.spark)
+    return t.spark.sql("SELECT conv_id, turn, role, array_join(history, chr(10)) AS history FROM prefix_turns(TABLE({t}) PARTITION BY conv_id ORDER BY turn)", t=t.conversations)
+
+
+@query("udtf_load_members", _MEMBERS_SQL + " SELECT shard::INT AS shard, count(*) FILTER (NOT (shard = 0 AND k = 1)) AS n, count(*) FILTER (shard = 0 AND k = 1) AS broken, sum(length(content)) FILTER (NOT (shard = 0 AND k = 1))::BIGINT AS size FROM r GROUP BY 1")
+def udtf_load_members(t: Tables) -> DataFrame:
+    """Archives loaded by a table function over their listing."""
+    table_functions.register(t.spark)
+    folder, _ = _shards(t)
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder).select("path")
+    d = t.spark.sql("SELECT * FROM load_members(TABLE({files}) PARTITION BY path)", files=files)
+    shard = F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("int")
+    return d.groupBy(shard.alias("shard")).agg(F.count_if(F.col("error").isNull()).alias("n"), F.count("error").alias("broken"), F.sum(F.length("content")).alias("size"))
