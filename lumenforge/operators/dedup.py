@@ -107,6 +107,14 @@ def check_ratios(names: Sequence[str], ratios: dict[str, float]) -> None:
         raise ValueError(f"ratios missing for {missing}, unexpected for {more}")
 
 
+def ratio_problems(df: DataFrame, column: str, ratios: dict[str, float]) -> DataFrame:
+    """(name, problem): values of the column that have no ratio, and ratios whose value doesn't come (U06); null values are no source."""
+    there = df.select(F.col(column).alias("name")).where("name is not null").distinct()
+    named = df.sparkSession.createDataFrame([(x,) for x in ratios], "name string")
+    missing, more = there.join(named, "name", "left_anti"), named.join(there, "name", "left_anti")
+    return missing.withColumn("problem", F.lit("missing")).unionByName(more.withColumn("problem", F.lit("unexpected")))
+
+
 def unfinished(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work items whose output isn't there yet."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -112,13 +112,16 @@ def best(df: DataFrame, key: str, score: str, label: str) -> DataFrame:
 def nearest_label(df: DataFrame, vector: str, centres: DataFrame, label: str, centre: str, name: str, most: int = 10_000) -> DataFrame:
     """df with the label of the centre of largest inner product, rounded to nine digits, the smaller label among equals.
 
-    The centres travel with every task as one row's array, for which they are counted: more than `most` end the job.
+    The centres travel with every task as one row's array, for which they are counted; more than `most` are compared by blocks.
     """
     from ..functions.vectors import dot
+    from ..runtime import materialise
+    from .blocks import split_top_k
 
-    n = centres.count()
-    if n > most:
-        raise ValueError(f"{n} centres, more than {most}")
+    if centres.count() > most:
+        d = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = split_top_k(d.select("_row", F.col(vector).alias("_u")), centres.select(F.col(label).alias("_row"), F.col(centre).alias("_u")), 1, "_row", "_u", others=False)
+        return d.join(found.select(F.col("q").alias("_row"), F.col("i").cast(centres.schema[label].dataType).alias(name)), "_row", "left").drop("_row")
     table = centres.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("_centres"))
     score = F.transform("_centres", lambda c: F.struct(F.round(dot(vector, c["c"]), 9).alias("s"), (-c["l"]).alias("l")))
     return df.crossJoin(F.broadcast(table)).withColumn(name, -F.array_max(score)["l"]).drop("_centres")  # one row

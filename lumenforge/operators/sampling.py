@@ -57,13 +57,15 @@ def uncertain_points(df: DataFrame, group: Sequence[str], logit: str, key: str,
 
 
 def mixture(sources: dict[str, DataFrame], ratios: dict[str, float], rows: int, key: str, seed: int = 0) -> DataFrame:
-    """About ratio * rows rows of each source, fewer where it has fewer, in one table with `source` (T14). Each source's share is cut by its own hash order."""
+    """About ratio * rows rows of each source, fewer where it has fewer, in one table with `source` (T14). Each source's share is cut by its own hash order, whose places are numbered by ranges."""
     from .dedup import check_ratios
+    from .ordering import number_rows
 
     check_ratios(list(sources), ratios)
     whole, out = sum(ratios.values()), None
     for name, df in sources.items():
-        part = df.withColumn("source", F.lit(name)).orderBy(seeded(seed, key), key).limit(round(rows * ratios[name] / whole))
+        part = number_rows(df.withColumn("_h", seeded(seed, key)), ["_h", key], "_k").where(F.col("_k") < round(rows * ratios[name] / whole))
+        part = part.drop("_h", "_k").withColumn("source", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -811,8 +811,10 @@ def a26(t: Tables) -> DataFrame:
 
 @query("a27_semantic_scores", "SELECT l_suppkey % 20 AS q, l_returnflag AS label, round(sum(l_discount * l_tax), 6) AS score FROM lineitem GROUP BY ALL")
 def a27(t: Tables) -> DataFrame:
-    d = t.lineitem.select((F.col("l_suppkey") % 20).alias("q"), F.col("l_returnflag").alias("label"), "l_discount", "l_tax").withColumn("row", F.monotonically_increasing_id())
-    d = d.groupBy("q", "label").agg(F.sum(F.col("l_discount") * F.col("l_tax")).alias("score"))
+    row = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row")
+    classes = t.lineitem.select(row, F.col("l_returnflag").alias("label"), "l_discount")
+    masks = t.lineitem.select(row, (F.col("l_suppkey") % 20).alias("q"), "l_tax")
+    d = K.semantic_scores(classes, masks, "row", "label", ["q"], "l_discount", "l_tax")
     return d.select("q", "label", r6(F.col("score")).alias("score"))
 
 
@@ -1040,4 +1042,4 @@ def v04(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", r6(V.late_interaction(q, "embedding")).alias("best"))
 
 
-from . import evaluation, files, flows, measures  # noqa: E402, F401  they register theirs
+from . import evaluation, files, flows, measures, proofs  # noqa: E402, F401  they register theirs

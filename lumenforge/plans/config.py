@@ -5,6 +5,9 @@ from __future__ import annotations
 import ast
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def merge(*sources: dict) -> dict:
     """Nested dicts, the later one's value where both have a key (F32)."""
@@ -57,3 +60,22 @@ def check(config: dict, schema: dict[str, dict[str, Any]]) -> dict:
             raise ValueError(f"{key}: {value!r} is none of {rule['choices']}")
         out[key] = value
     return out
+
+
+def checked_rows(df: DataFrame, words: str, spec: dict) -> DataFrame:
+    """Rows of df, one for each setting in its array of `a.b=c` words, with name, value and problem.
+
+    Of equal names the last counts. problem: `no value`, `unknown key`, `not a <type>` or `not a choice` after spec ({name: {type, choices}}), or null. Null words are left out.
+    """
+    one = df.drop(words).columns
+    d = df.select(*one, F.posexplode(F.filter(words, lambda w: w.isNotNull())).alias("_k", "_w"))
+    d = d.select(*one, "_k", F.regexp_extract("_w", "^([^=]*)", 1).alias("name"), F.when(F.contains("_w", F.lit("=")), F.regexp_replace("_w", "^[^=]*=", "")).alias("value"))
+    d = d.groupBy(*one, "name").agg(F.max_by("value", "_k").alias("value"))
+    problem = F.when(F.col("value").isNull(), "no value").when(~F.col("name").isin(*spec), "unknown key")
+    for name, rule in spec.items():
+        here = F.col("name") == name
+        if "type" in rule:
+            problem = problem.when(here & F.col("value").try_cast(rule["type"]).isNull(), f"not a {rule['type']}")
+        if "choices" in rule:
+            problem = problem.when(here & ~F.col("value").isin(*rule["choices"]), "not a choice")
+    return d.withColumn("problem", problem)

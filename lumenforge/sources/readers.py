@@ -217,8 +217,26 @@ def simple_yaml(text: str) -> dict:
     return root
 
 
+def yaml_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, value) of YAML files, nested names with dots, values as text, null where there is none (S03); a file is small."""
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+    def flat(tree: dict, before: str = "") -> Iterator[tuple[str, str | None]]:
+        for k, v in tree.items():
+            if isinstance(v, dict) and v:
+                yield from flat(v, f"{before}{k}.")
+            else:
+                yield before + str(k), None if v is None or v == {} else str(v)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *x) for p, text in zip(b.path, b.value, strict=True) for x in flat(simple_yaml(text))], columns=["path", "name", "value"])
+
+    return d.mapInPandas(parse, "path string, name string, value string")
+
+
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table by the path's extension (S03): .txt, .json, .csv, .parquet, .orc, .npy; .gz and .bz2 after them are read by Spark."""
+    """A table by the path's extension (S03): .txt, .json, .csv, .parquet, .orc, .npy, .yaml; .gz and .bz2 after them are read by Spark."""
     name = path.rstrip("/").removesuffix(".gz").removesuffix(".bz2")
     ext = name.rsplit(".", 1)[-1].lower()
     readers: dict[str, Callable[[], DataFrame]] = {
@@ -229,6 +247,8 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
         "parquet": lambda: spark.read.options(**options).parquet(path),
         "orc": lambda: spark.read.options(**options).orc(path),
         "npy": lambda: arrays(spark, path),
+        "yaml": lambda: yaml_settings(spark, path),
+        "yml": lambda: yaml_settings(spark, path),
     }
     if ext not in readers:
         raise ValueError(f"no reader for .{ext}: pickles are refused, other formats have their own functions")
