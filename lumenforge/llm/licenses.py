@@ -167,7 +167,23 @@ TEXTS = (
         "you want to public license",
     ),
 )
-TEMPLATES = NOTICES + TEXTS
+#: Tags of the form `SPDX-License-Identifier: <name>`: label and name.
+TAGS = tuple(
+    (label, f"SPDX-License-Identifier: {name}", f"identifier {name}")
+    for label, name in (("mit", "MIT"), ("apache-2.0", "Apache-2.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("mpl-2.0", "MPL-2.0"), ("isc", "ISC"), ("epl", "EPL-2.0"), ("eupl", "EUPL-1.2"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc0", "CC0-1.0"), ("unlicense", "Unlicense"))
+)
+#: Parts of licence texts that stand alone.
+PARTS = (
+    ("apache", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "in binary form must reproduce the above copyright notice"),
+    ("gpl", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software", "designed to take away your freedom to share and change it"),
+    ("epl", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE", "eclipse public license v 2"),
+    ("eupl", "This European Union Public Licence (the EUPL) applies to the Work provided under the terms of this Licence", "european union public licence"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons attribution sharealike 4 0 international"),
+)
+TEMPLATES = NOTICES + TEXTS + TAGS + PARTS
+#: Words that stand around anything and anchor nothing.
+STOP = frozenset("a an and any as at be by for from in is it its of on or that the this to was we with you your".split())
 #: Words of a template on either side of its key phrase that may anchor it, and how many of the rarest do; a text of LONG words needs two of them, a notice one.
 AROUND, ANCHORS, LONG = 25, 8, 30
 #: A further phrase may stand so many words off its place: holders' names and years differ in length.
@@ -178,7 +194,7 @@ def index(templates=TEMPLATES) -> tuple[dict[str, float], list[dict]]:
     """(idf of every template word, templates with their postings).
 
     Postings are (word, position, side): side 0 for the rarest words of the key phrase, side 1 for the rarest around it; ties go
-    to the longer word. A template without words around its key phrase needs two words of it instead.
+    to the longer word; words of STOP stand nowhere. A template without words around its key phrase needs two words of it instead.
     """
     cut = lambda t: re.findall(WORD, t.lower())
     texts = [cut(t[1]) for t in templates]
@@ -196,7 +212,7 @@ def index(templates=TEMPLATES) -> tuple[dict[str, float], list[dict]]:
         at, end = places[0], places[0] + len(keys[0])
         rarest = lambda span: sorted(span, key=lambda i: (-idf[words[i]], -len(words[i]), i))[:ANCHORS]  # noqa: B023, E731
         inside = rarest(range(at, end))
-        around = rarest([i for i in range(max(0, at - AROUND), min(len(words), end + AROUND)) if not at <= i < end])
+        around = rarest([i for i in range(max(0, at - AROUND), min(len(words), end + AROUND)) if not at <= i < end and words[i] not in STOP])
         if not around:
             inside, around = inside[:1], inside[1:]
         postings = [(words[i], i, 0) for i in inside] + [(words[i], i, 1) for i in around]
@@ -291,7 +307,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty: no words, null places, empty labels, score 0. Ids may be null or
     repeated, each row has its own result; other columns, whatever their names, are not looked at; an empty table gives no rows. Nothing is
     shuffled: a text is matched within its row, whatever its length. Texts without any template's key phrase or base phrase are counted
-    but not cut into words. places lists label:word of every verified template, the word being where its key phrase begins.
+    but not cut into words. places lists label:word of every verified template, the word being where its key phrase begins; of templates that
+    begin at one word, the one listed first in `templates` stands first, and equal entries stand once.
     """
     idf, known = index(templates)
     phrases = [(p.split(), label) for p, label in BASE]

@@ -84,3 +84,27 @@ def test_a_key_phrase_without_its_surroundings_is_rejected(spark):
     got = {r["doc_id"]: r for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k]["labels"] for k in range(4)] == ["", "", "gpl", ""]
     assert [got[k]["places"] for k in range(4)] == [""] * 4
+
+
+def test_tags_parts_and_phrases_that_are_merely_named(spark):
+    want = {
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0 OR GPL-3.0": "cc-by-sa",
+        "The identifier mit stands in the table.": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "the EUPL (c) the European Union 2007. This European Union Public Licence applies to the Work": "eupl",
+        "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS": "epl",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce": "apache",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation": "bsd",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the": "gpl",
+        "We visited the European Union public licence office.": "",
+    }
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(want)] + [(None, "MIT"), (None, "MIT"), (0, None)], "doc_id long, text string")
+    rows = L.scan_licenses(d).collect()
+    assert len(rows) == len(want) + 3
+    got = {r["doc_id"]: r for r in rows if r["n_words"]}
+    for k, (text, labels) in enumerate(want.items()):
+        assert set(filter(None, labels.split(","))) <= set(got[k]["labels"].split(",")) and (labels or got[k]["labels"] == ""), (text, got[k]["labels"])
+    quoted = L.scan_licenses(spark.createDataFrame([(1, "We reject the MIT license for this project.")], "doc_id long, text string")).first()
+    assert quoted["places"] == "" and quoted["labels"] == "mit"  # the contract's phrase stays, the index rejects the place
