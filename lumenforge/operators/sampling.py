@@ -56,6 +56,26 @@ def uncertain_points(df: DataFrame, group: Sequence[str], logit: str, key: str,
     return df.withColumn("_rest", rest).where((F.col("_near") <= most) | (F.col("_rest") <= n - most)).drop("_near", "_rest")
 
 
+def oversampled_points(df: DataFrame, group: Sequence[str], logit: str, key: str, n: int, oversample: float = 3.0, share: float = 0.75, seed: int = 0) -> DataFrame:
+    """n points of each group: share * n, the nearest to logit 0 among oversample * n seeded ones, and the rest of n seeded from those not drawn so far.
+
+    Groups with fewer points give what they have.
+    """
+    drawn, most = int(oversample * n), int(share * n)
+    order = [seeded(seed, key), key]
+    d = df.withColumn("_place", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    sure = F.row_number().over(W.partitionBy(*group, F.col("_place") <= drawn).orderBy(F.abs(logit), key))
+    near = (F.col("_place") <= drawn) & (F.col("_sure") <= most)
+    fill = (F.col("_place") > drawn) & (F.col("_place") <= drawn + n - most)
+    return d.withColumn("_sure", sure).where(near | fill).drop("_place", "_sure")
+
+
+def seeded_choice(seed: int, key: str | Column, choices: Sequence[str]) -> Column:
+    """One of the choices, fixed by the seed and the row's key (T12: a prompt for each row)."""
+    at = F.least(F.lit(len(choices) - 1), F.floor(uniform(seed, key) * len(choices))).cast("int")
+    return F.get(F.array(*[F.lit(c) for c in choices]), at)
+
+
 def mixture(sources: dict[str, DataFrame], ratios: dict[str, float], rows: int, key: str, seed: int = 0) -> DataFrame:
     """About ratio * rows rows of each source, fewer where it has fewer, in one table with `source` (T14). Each source's share is cut by its own hash order, whose places are numbered by ranges."""
     from .dedup import check_ratios

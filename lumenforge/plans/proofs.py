@@ -11,11 +11,13 @@ from ..operators import captions as C
 from ..operators import dedup as D
 from ..operators import masks as K
 from ..operators import metrics as M
+from ..operators import sampling as S
 from ..runtime import scratch
+from ..sources import image_sets as I
 from ..sources import readers as R
 from ..sources import sinks
 from . import config
-from .catalog import _DOUBLES, ORACLES, Tables, query, r6
+from .catalog import _DOUBLES, ORACLES, Tables, _seeded_sql, _uniform_sql, query, r6
 from .measures import _captions
 
 
@@ -111,3 +113,39 @@ def m4_many(t: Tables) -> DataFrame:
     e = t.embeddings.select("vec_id", V.normalise("embedding").alias("u"))
     centres = e.where("vec_id % 10 = 3").select(F.col("vec_id").alias("l"), F.col("u").alias("c"))
     return M.nearest_label(e, "u", centres, "l", "c", "centre", most=1).select("vec_id", "centre")
+
+
+@query(
+    "s17_instance_sets",
+    "SELECT o_orderkey::VARCHAR AS image_id, 'ADEChallengeData2016/images/validation/' || o_orderkey || '.jpg' AS image, id, (c % 7)::INT AS label, 'class ' || (c % 7) AS name, x, w, crowd FROM (SELECT l_orderkey AS o_orderkey, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_suppkey % 9 AS c, (l_partkey % 50)::DOUBLE AS x, l_quantity::DOUBLE AS w, l_linenumber = 3 AS crowd FROM lineitem) WHERE c < 7",
+)
+def s17_instances(t: Tables) -> DataFrame:
+    """Instances of a named set by its own annotation file, classes numbered as it lists them; annotations of classes that it doesn't list go."""
+    root, which = scratch(t.spark, "instances"), I.annotated_set("ade20k_instance_val")
+    lines = t.lineitem
+    one = F.struct(
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), F.col("l_orderkey").cast("string").alias("image_id"), (100 + F.col("l_suppkey") % 9).cast("int").alias("category_id"),
+        F.array((F.col("l_partkey") % 50).cast("double"), F.lit(1.0), F.col("l_quantity").cast("double"), F.lit(2.0)).alias("bbox"), (F.col("l_linenumber") == 3).cast("int").alias("iscrowd"),
+    )
+    image = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+    classes = F.array(*[F.struct(F.lit(100 + k).alias("id"), F.lit(f"class {k}").alias("name")) for k in range(7)])
+    whole = lines.groupBy((F.col("l_orderkey") % 64).alias("part")).agg(F.collect_set(image).alias("images"), F.collect_list(one).alias("annotations")).select("part", classes.alias("categories"), "images", "annotations")
+    whole.write.partitionBy("part").json(f"{root}/{which.annotations}")  # documents of a bounded part each
+    return I.instances(t.spark, root, which).select("image_id", "image", "id", "label", "name", "x", "w", "crowd")
+
+
+@query(
+    "t16_oversampled_points",
+    "WITH p AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY " + _seeded_sql("event_id") + ", event_id) AS k FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY event_type, k <= 60 ORDER BY abs(value - 50), event_id) AS r FROM p) "
+    "SELECT event_id, event_type FROM s WHERE (k <= 60 AND r <= 15) OR (k > 60 AND k <= 65)",
+)
+def t16_over(t: Tables) -> DataFrame:
+    """Fifteen uncertain points of sixty drawn ones, and five more, for each type."""
+    d = t.events.select("event_id", "event_type", (F.col("value") - 50).alias("logit"))
+    return S.oversampled_points(d, ["event_type"], "logit", "event_id", 20).select("event_id", "event_type")
+
+
+@query("t12_seeded_choices", "SELECT c_custkey, ['a', 'b', 'c', 'd', 'e'][least(4, floor(" + _uniform_sql("c_custkey", seed="12") + " * 5))::INT + 1] AS prompt FROM customer")
+def t12(t: Tables) -> DataFrame:
+    """A prompt for each row, drawn by seed."""
+    return t.customer.select("c_custkey", S.seeded_choice(12, "c_custkey", list("abcde")).alias("prompt"))
