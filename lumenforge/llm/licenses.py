@@ -178,7 +178,7 @@ PARTS = (
     ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "in binary form must reproduce the above copyright notice"),
     ("gpl", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software", "designed to take away your freedom to share and change it"),
     ("epl", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE", "eclipse public license v 2"),
-    ("eupl", "This European Union Public Licence (the EUPL) applies to the Work provided under the terms of this Licence", "european union public licence"),
+    ("eupl", "This European Union Public Licence (the EUPL) applies to the Work (as defined below) which is provided under the terms of this Licence", "european union public licence"),
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "creative commons attribution sharealike 4 0 international"),
 )
 TEMPLATES = NOTICES + TEXTS + TAGS + PARTS

@@ -93,7 +93,7 @@ def test_tags_parts_and_phrases_that_are_merely_named(spark):
         "SPDX-License-Identifier: CC-BY-SA-4.0 OR GPL-3.0": "cc-by-sa",
         "The identifier mit stands in the table.": "",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
-        "the EUPL (c) the European Union 2007. This European Union Public Licence applies to the Work": "eupl",
+        "the EUPL (c) the European Union 2007. This European Union Public Licence (the 'EUPL') applies to the Work (as defined below)": "eupl",
         "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS": "epl",
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce": "apache",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation": "bsd",
