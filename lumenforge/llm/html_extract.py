@@ -56,9 +56,16 @@ SAYS = {
     "form": "search login password username submit send suche anmelden recherche buscar register".split(),
 }
 _SAY = {w: k for k, ws in SAYS.items() for w in ws}
+#: Words that notices and adverts in whole sentences are made of; two of a kind at a block's begin speak.
+TELLS = {
+    "note": "cookie cookies consent privacy data device partners stores store browsing preferences accept agree newsletter inbox subscribe sign daten geräte datenschutz zustimmen données confidentialité datos privacidad".split(),
+    "ad": "buy cheap today shop price prices free delivery offer offers deal deals discount sale order save kaufen günstig rabatt acheter promotion comprar oferta ofertas".split(),
+}
+_TELL = {w: k for k, ws in TELLS.items() for w in ws}
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DATED = re.compile(r"\b\d{1,2}[:.]\d\d\b|\b(?:19|20)\d\d\b")
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend summary caption dt".split())
 #: A comment's begin, a tag (quotes count after an equals sign, if they are closed), or other markup.
 _MARKUP = re.compile(r"""<!--(?:-?>)?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?/][^>]*+>""", re.S)
@@ -252,18 +259,27 @@ def _said(text: str) -> list[str]:
     return sorted(out)
 
 
+def _told(text: str) -> list[str]:
+    """Kinds of TELLS of which two words stand at a block's begin."""
+    found = Counter(k for w in set(map(str.lower, _LETTERS.findall(text))) if (k := _TELL.get(w)))
+    return sorted(k for k, n in found.items() if n >= 2)
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
-    """Each node's features: tag, names, size, links and sentences of itself and of what is below it, words of short texts, repeated siblings, what the heading before it says, place in the page."""
+    """Each node's features: tag, names, size, links and sentences of itself and of what is below it, words of short texts and of notices, repeated siblings, what the heading before it says, place in the page."""
     whole = max(1, nodes[0].all_chars)
     said = [_said(x.head) if x.chars else [] for x in nodes]
     out: list[list[str]] = []
     after: list[str] = [""] * len(nodes)
     twins = [0] * len(nodes)
+    leads = [False] * len(nodes)  # headings beside paragraphs in sentences: what they say is the article's, but for a talk
     for x in nodes:
         kinds = Counter((nodes[c].tag, nodes[c].attrs.get("class")) for c in x.children)
         heading = ""
+        prose = any(nodes[c].tag == "p" and nodes[c].stops for c in x.children)
         for c in x.children:
             child = nodes[c]
+            leads[c] = prose and child.tag in _TITLES and "talk" not in said[c]
             twins[c] = kinds[child.tag, child.attrs.get("class")]
             if child.tag in HEADINGS:
                 heading = said[c][0] if said[c] else "other"
@@ -291,7 +307,9 @@ def features(nodes: list[Node]) -> list[list[str]]:
                 fs.append("dated")
         else:
             fs.append("own=none")
-        fs += [f"says={k}" for k in said[i]]
+        fs += ["leads"] if leads[i] else [f"says={k}" for k in said[i]]
+        if x.chars and x.tag not in _TITLES:
+            fs += [f"tells={k}" for k in _told(x.head)]
         if after[i]:
             fs.append(f"after={after[i]}")
         if twins[i] > 1 and x.tag not in ("p", "li", "td", "tr", "th"):
@@ -402,6 +420,8 @@ PAGES = (
     """<html><body data-y=1><div data-y=0 class=topbar>{n} <a href=l>Login</a> <a href=r>Register</a></div><div data-y=1><div data-y=0 class=breadcrumb><a href=/>Home</a> &gt; {l} &gt; {t}</div><h1>{t}</h1><div data-y=1><p>{p}</p><ul><li>{s}<li>{s}</ul>[<p>{p}</p>]</div><div data-y=0><a href=b>Buy now</a> <span>Special offer: {t}</span></div></div><div data-y=0><h3>Customer reviews</h3>[<div><b>{n}</b> wrote on {d}: <p>{p}</p></div>]</div></body></html>""",
     """<html><body data-y=1><div data-y=0 role=banner>{t}</div><div data-y=1 role=main><h1>{t}</h1>[<p>{p}</p>]</div><div data-y=0 role=complementary>{s} {l}</div><div data-y=0 role=contentinfo>{s}</div><div data-y=0 role=dialog><p>{s}</p><button>OK</button></div></body></html>""",
     """<html><body data-y=1><p>{p}</p>[<p>{p}</p>]</body></html>""",
+    """<html><body data-y=1><div data-y=0>{l} {l} {l}</div><main data-y=1><h1>(About us|Contact|Help and FAQ|Privacy and terms|Über uns und Kontakt)</h1><p>{p}</p><h2>(Subscribe|Our newsletter and privacy|Related work|Terms and rights|Follow us|Search tips|{t})</h2><p>{p}</p>[<p>{p}</p>]<h2>(Contact|Latest news|Login|Archive|{t})</h2><p>{p}</p></main><div data-y=0>&copy; {d} {n}</div></body></html>""",
+    """<html><body data-y=1><div data-y=0><p>(We value your privacy.|We use cookies to store data on your device.|This site stores data about your browsing and shares it with partners.|Wir speichern Daten und Cookies auf Ihrem Gerät.) {s}</p></div><div data-y=1><h1>{t}</h1><p>{p}</p>[<p>{p}</p>]<div data-y=0>(Buy cheap|Shop for|Save today on|Order now: free delivery of) {t} (today|at the best price|while offers last|, free delivery). {s}</div><p>{p}</p></div><div data-y=0><h3>(Newsletter|Stay in touch)</h3><p>(Sign up and get our newsletter in your inbox.|Subscribe to get news in your inbox.)</p></div></body></html>""",
     """<html><body data-y=1>{p}<br><br>{p}<br><br>{p}</body></html>""",
     """<html><body data-y=1><div data-y=0><ul>[<li>{l}</li>]</ul></div><h3>{t}</h3><p>{s}</p><p>{p}</p><ul><li>{s}</li><li>{s}</li></ul><p>{s}</p><div data-y=0><p>{l}</p><p>Powered by {n}</p></div></body></html>""",
     """<html><body data-y=1><div data-y=1 class=recipe><h1>{t}</h1><p>{p}</p><h2>{t}</h2><ul><li>{t}</li><li>{t}</li>[<li>{t}</li>]</ul><h2>{t}</h2><ol><li>{s}</li>[<li>{s}</li>]</ol></div><div data-y=0><h2>Comments</h2>[<div><p>{n}</p><p>{s}</p></div>]</div><div data-y=0><p>Sponsored</p><a href=a>{s}</a></div></body></html>""",

@@ -83,3 +83,16 @@ def test_deep_long_and_odd_pages():
     assert H.extract("<a " * 20_000, H.trained())[0].startswith("<a <a")
     assert H.extract("<script>" * 3000 + "<p>x</p>", H.trained())[0] == "x"
     assert H.extract("", H.trained()) == ("", 0, 0)
+
+
+#: Pages whose headings are made of menu words, and notices, adverts and boxes without names: what is to be found.
+PLAIN = {
+    "<body><nav><a href=/>Home</a> <a href=/x>Blog</a></nav><main><h1>About us</h1><h2>Contact</h2><p>Write to us at any time. We answer within a day.</p><h2>Subscribe and privacy</h2><p>We keep what you send for a year. Then it goes.</p></main><footer>&copy; 2020</footer></body>": "About us Contact Write to us at any time. We answer within a day. Subscribe and privacy We keep what you send for a year. Then it goes.",
+    "<body><div><p>We value your privacy. This site stores data about your visit.</p></div><div><h1>Lakes</h1><p>The lake lies in a wide valley. It was cold and clear when we came.</p><div>Buy cheap tyres today at Tyre World, free delivery on all orders.</div><p>In spring the ice breaks with a noise like thunder. Nobody sleeps then.</p></div><div><h3>Newsletter</h3><p>Get our newsletter in your inbox every week.</p></div></body>": "Lakes The lake lies in a wide valley. It was cold and clear when we came. In spring the ice breaks with a noise like thunder. Nobody sleeps then.",
+    "<body><div class=x1><a href=/>Start</a> <a href=/k>Kontakt</a></div><article><h2>Archiv und Suche</h2><p>Das Archiv wurde 1890 gegründet. Es liegt am Markt.</p><h3>Datenschutz im Archiv</h3><p>Akten werden nach dreißig Jahren geöffnet. Bis dahin bleiben sie zu.</p></article></body>": "Archiv und Suche Das Archiv wurde 1890 gegründet. Es liegt am Markt. Datenschutz im Archiv Akten werden nach dreißig Jahren geöffnet. Bis dahin bleiben sie zu.",
+}
+
+
+def test_headings_of_menu_words_stay_and_nameless_notices_go():
+    for page, text in PLAIN.items():
+        assert H.extract(page, H.trained())[0] == text
