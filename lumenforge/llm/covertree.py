@@ -172,8 +172,11 @@ def _open(a: Tree, left: tuple[int, int], b: Tree, right: tuple[int, int], same:
             own = same & (i + s == j + t)
             single = (size_a[i] == 1) & (sb[j] == 1) & ~own
             left_over = int((size_a[i] * sb[j])[~own].sum())
-            seen["pruned"] += whole - left_over
-            seen["compared"] += int(single.sum())
+            # of two single vectors the centres' cosine is theirs: compared, not pruned
+            n1, m1 = int((size_a == 1).sum()), int((sb == 1).sum())
+            looked = n1 * (n1 - 1) // 2 if same and s == t else n1 * m1
+            seen["pruned"] += whole - left_over - (looked - int(single.sum()))
+            seen["compared"] += looked
             hit = single & (cos[i, j] >= threshold)
             if hit.any():
                 found(np.array(a.centre)[s + i[hit]], np.array(b.centre)[t + j[hit]])

@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import bound_batches, connected_components, materialise, release, sized, tidy
 from .covertree import Tree, pairs_within
 
-#: Vectors of a block: BLOCK, or a label's 64th part up to LARGEST (16 MB of 64 components).
-BLOCK, LARGEST = 4096, 32768
+#: Vectors of a block: BLOCK, or a label's 64th part up to LARGEST; in no case more than BYTES of them, but 256 at least.
+BLOCK, LARGEST, BYTES = 4096, 32768, 16 << 20
+#: Pivots for labels of up to so many blocks; larger labels have as many as they have blocks, up to the sample.
 PIVOTS = 256
-SAMPLE = 4096
+SAMPLE = 8192
 #: Rows of one class that meet in a join; larger classes are dealt over several keys.
 HEAVY = 50_000
 
@@ -115,28 +116,37 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: fl
     return pd.DataFrame({"key": both.key.to_numpy()[hit], "links": links[hit], "rep": rep[hit], "other": rep[order[root[place[hit]]]]})
 
 
-def _pivots(reps: DataFrame) -> dict[int, np.ndarray]:
+def _block_size(n: np.ndarray | int, dim: np.ndarray | int, block: int, largest: int) -> np.ndarray:
+    """Vectors of a block of a label of n classes."""
+    return np.minimum(np.clip(np.asarray(n) // 64, block, max(block, largest)), np.maximum(256, BYTES // (8 * np.maximum(1, dim))))
+
+
+def _pivots(reps: DataFrame, block: int = BLOCK, largest: int = LARGEST) -> dict[int, np.ndarray]:
     """Pivots by length of vectors, farthest first, from SAMPLE vectors or so: those whose hash lies below a share that leaves about so many."""
+    most = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.max("n").alias("n")).collect()}  # a row a length
     share = min(1.0, SAMPLE / max(1, reps.count()))
     chosen = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = sorted(chosen.select("rep", "vec").collect(), key=lambda r: (r["rep"], r["vec"]))
     out: dict[int, np.ndarray] = {}
     for d in {len(r["vec"]) for r in sample}:
         x = np.frombuffer(b"".join(r["vec"] for r in sample if len(r["vec"]) == d), dtype=np.float64).reshape(-1, d // 8)
-        out[d // 8] = farthest_first(x, PIVOTS)
+        cells = -(-most[d // 8] // int(_block_size(most[d // 8], d // 8, block, largest)))
+        out[d // 8] = farthest_first(x, max(PIVOTS, cells))
     return out
 
 
 def _place(reps: DataFrame, pivots: dict[int, np.ndarray], block: int, largest: int, reach: float) -> DataFrame:
     """reps with their block's size, their cell and the other cells that may hold partners; `n` is how many classes their label has."""
 
+    step = max(64, 2048 * 256 // max([256, *map(len, pivots.values())]))  # rows whose cosines with all pivots a task holds
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 dims, n = b.column(2).to_numpy(), b.column(6).to_numpy()
-                size = np.clip(n // 64, block, max(block, largest))
+                size = _block_size(n, dims, block, largest)
                 wanted = np.maximum(1, np.ceil(n / size).astype(int))
                 cell, others = np.zeros(b.num_rows, dtype=np.int32), [[] for _ in range(b.num_rows)]
                 vecs = b.column(5)
@@ -149,7 +159,7 @@ def _place(reps: DataFrame, pivots: dict[int, np.ndarray], block: int, largest:
                     cos[np.arange(cos.shape[1])[None, :] >= wanted[rows][:, None]] = -9.0
                     home = cos.argmax(axis=1)
                     own = cos[np.arange(len(rows)), home]
-                    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[d] @ pivots[d].T)))[home]
+                    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[d][home] @ pivots[d].T)))
                     # the distance to the plane midway between two pivots p, q is (cos p - cos q) / |p - q|
                     near = (own[:, None] - cos <= (reach + 1e-7) * apart + 1e-12) & (cos > -9.0)
                     near[np.arange(len(rows)), home] = False
@@ -211,7 +221,7 @@ def near_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
     reps = classes.join(sized(sizes), ["label", "dim"]).select("rep", *group, "m", "vec", "n")
-    placed = materialise(_place(reps, _pivots(classes), block, largest, reach), "cells")
+    placed = materialise(_place(reps, _pivots(reps, block, largest), block, largest, reach), "cells")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
