@@ -115,14 +115,6 @@ def invert(a: np.ndarray) -> np.ndarray:
     return (255 - a).astype(np.uint8)
 
 
-def shift(a: np.ndarray, dx: int, dy: int, fill: int = 128) -> np.ndarray:
-    out = np.full_like(a, fill)
-    h, w = a.shape[:2]
-    ys, xs = slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx))
-    out[ys, xs] = a[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
-    return out
-
-
 def centre_crop(a: np.ndarray, height: int, width: int) -> np.ndarray:
     y, x = (a.shape[0] - height) // 2, (a.shape[1] - width) // 2
     return a[y : y + height, x : x + width]

@@ -17,11 +17,6 @@ def answer_weights(df: DataFrame, key: str, answers: str) -> DataFrame:
     return rows.groupBy(key, "answer").agg((F.count("*") / F.max("_n")).alias("weight"))
 
 
-def constant_weights(df: DataFrame, key: str, answers: str, weight: float) -> DataFrame:
-    """(key, answer, weight) with the same weight for all answers."""
-    return df.select(key, F.explode(answers).alias("answer")).withColumn("weight", F.lit(weight))
-
-
 def exact_match(df: DataFrame, prediction: str, answers: str) -> Column:
     """100 times the share of predictions that are among their answers, as an aggregate."""
     return F.avg(F.array_contains(answers, F.col(prediction)).cast("double")) * 100

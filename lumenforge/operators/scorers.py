@@ -38,11 +38,6 @@ def score(df: DataFrame, make: Callable[[], Scorer], schema: T.StructType | str,
     return df.mapInPandas(run, schema)
 
 
-def stub(column: str, name: str, value: Callable[[object], object]) -> Callable[[], Scorer]:
-    """A scorer that stands in for a model: one column's values through a function."""
-    return lambda: lambda b: b.assign(**{name: [value(x) for x in b[column]]})
-
-
 def lemmas(df: DataFrame, column: str, make: Callable[[], Callable[[str], str]], name: str = "lemmas") -> DataFrame:
     """df with the column's words replaced by what an injected lemmatiser says of each (F26); make() is called once a task."""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import gzip
 import io
-import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -17,7 +16,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import number_rows
 
 
 def annotations(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, required: Sequence[str] = (), lines: bool = False) -> DataFrame:
@@ -36,22 +34,11 @@ def quarantine(spark: SparkSession, paths: Sequence[str], schema: T.StructType)
     return d.where("r._corrupt is null").select("r.*").drop("_corrupt"), d.where("r._corrupt is not null").select("value")
 
 
-def instance_ids(df: DataFrame, order: Sequence[str], name: str = "instance_id") -> DataFrame:
-    """Position in the order as a string."""
-    return number_rows(df, order, name).withColumn(name, F.col(name).cast("string"))
-
-
 def explode_field(df: DataFrame, field: str) -> DataFrame:
     """The rows nested in a document's field."""
     return df.select(F.explode(field).alias("_r")).select("_r.*")
 
 
-def vqa_tables(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Questions with their annotations by id: (question_id, question, image_id, question_type, answer_type, answers)."""
-    q = explode_field(questions, "questions").select("question_id", "question")
-    return q.join(explode_field(answers, "annotations"), "question_id")
-
-
 def select_questions(df: DataFrame, images: Sequence = (), question_types: Sequence[str] = (), answer_types: Sequence[str] = ()) -> DataFrame:
     """Rows by lists of images and types; an empty list asks for nothing."""
     for c, values in (("image_id", images), ("question_type", question_types), ("answer_type", answer_types)):
@@ -177,15 +164,6 @@ def frames(df: DataFrame, make: Callable, schema: T.StructType | str, attempts:
     return score(df, make, schema, batch_rows=1, attempts=attempts)
 
 
-def read_ply(raw: bytes) -> np.ndarray:
-    """x, y, z of an ASCII or little-endian float PLY."""
-    head, body = raw.split(b"end_header\n", 1)
-    n = next(int(x.split()[2]) for x in head.decode().splitlines() if x.startswith("element vertex"))
-    if b"format ascii" in head:
-        return np.array([[float(v) for v in line.split()[:3]] for line in body.decode().splitlines()[:n]]).reshape(n, 3)
-    return np.array(list(struct.iter_unpack("<3f", body[: 12 * n])), dtype=np.float64).reshape(n, 3)
-
-
 _YAML_VALUES = {"true": True, "false": False, "null": None, "~": None, "": None}
 
 
