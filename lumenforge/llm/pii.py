@@ -481,6 +481,8 @@ SCHEMA = T.StructType([*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4
 _EMPTY = hashlib.sha256(b"").hexdigest()
 _MAYBE = r"\p{Nd}|@|(?:^|\PL)(?:" + "|".join(CUES["at"]) + r")(?:\PL|$)"
 #: A sequence of the field is a line's stretch around such places: from so many characters before the first to as many after the last, next blanks included.
+#: Spans begin and end at such places, so none is cut; what a stretch leaves out of its line can change a label only by the chain of labels, which the
+#: outside label breaks many words before. Tests decode long lines whole and in stretches, with equal spans.
 MARGIN = 120
 #: Characters of stretches that are decoded together.
 BLOCK = 1_000_000

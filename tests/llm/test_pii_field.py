@@ -141,3 +141,22 @@ def test_span_after_a_cue_on_the_line_before():
     lines = "Phone:\n(415) 555-0132\nnothing else"
     (row,) = pii.scan_batch(pa.array([lines]), pii.trained())
     assert row[5] == "tel:7:21" and row[6:] == (1, 1)
+
+
+def test_stretches_decode_as_whole_lines_do(monkeypatch):
+    """On long lines the field finds the same spans whether it reads the line whole or the stretches around likely places."""
+    r = random.Random(9)
+    plain = [re.sub(r"\{\w+\|([^}]*)\}", r"\1", x) for x in HELD_OUT]
+    filler = "the river of an old town and its people were known for bread wool music after long winter many came to work".split()
+    lines = []
+    for _ in range(60):
+        parts = []
+        for x in r.sample(plain, 3):
+            parts += [x, " ".join(r.choice(filler) for _ in range(r.choice([5, 40, 90])))]
+        lines.append(" ".join(parts))
+    cut = pii.scan_batch(pa.array(lines), pii.trained())
+    monkeypatch.setattr(pii, "MARGIN", 1 << 30)
+    whole = pii.scan_batch(pa.array(lines), pii.trained())
+    assert sum(len(list(pii.stretches(x))) == 1 for x in lines) == len(lines)
+    differ = [k for k in range(len(lines)) if cut[k][5] != whole[k][5]]
+    assert not differ, [(lines[k], cut[k][5], whole[k][5]) for k in differ[:2]]
