@@ -106,7 +106,7 @@ def d09(t: Tables) -> DataFrame:
     rows = number_rows(t.supplier.select(F.col("s_name").alias("payload"), "s_suppkey"), ["s_suppkey"], "item").select("item", "payload")
     rows.write.parquet(f"{root}/items")
     n = t.spark.read.parquet(f"{root}/items").count()
-    spans = O.run_through(O.look_ahead(t.spark, make_folder(t.spark, f"{root}/items"), n, make_folder(t.spark, f"{root}/state"), ahead=17), f"{root}/out", f"{root}/checkpoint")
+    spans = O.run_through(O.look_ahead(t.spark, make_folder(t.spark, f"{root}/items"), n, make_folder(t.spark, f"{root}/state"), ahead=17), f"{root}/out", f"{root}/checkpoint", n // 17 + 1)
     most = max((b - a for a, b in spans), default=0)
     d = t.spark.read.schema("item long, payload string").parquet(f"{root}/out")
     return d.agg(F.count_distinct("item").alias("items"), F.lit(len(spans)).cast("long").alias("batches"), F.lit(most).cast("long").alias("most_ahead"), F.sum(F.length("payload")).alias("chars"))

@@ -24,10 +24,14 @@ STATE = {
 }
 
 
-@contextlib.contextmanager
 def state_settings(spark: SparkSession, **more: str):
     """Settings that a query with arbitrary state is started under; the session's own come back."""
-    new = STATE | more
+    return settings(spark, STATE | more)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, new: dict[str, str]):
+    """The session with other settings for a while."""
     old = {k: spark.conf.get(k, None) for k in new}
     for k, v in new.items():
         spark.conf.set(k, v)
@@ -212,8 +216,13 @@ def look_ahead(spark: SparkSession, path: str, rows: int, state: str, ahead: int
     return spark.readStream.format("look_ahead").options(**options).load()
 
 
-def run_through(stream: DataFrame, out: str, checkpoint: str) -> list[tuple[int, int]]:
-    """Run a look-ahead stream to its end into Parquet; the items (start, end) of each batch, from the progress records."""
+def run_through(stream: DataFrame, out: str, checkpoint: str, batches: int = 1000) -> list[tuple[int, int]]:
+    """Run a look-ahead stream to its end into Parquet; the items (start, end) of each batch, from the progress records of up to so many batches."""
+    with settings(stream.sparkSession, {"spark.sql.streaming.numRecentProgressUpdates": str(2 * batches + 100)}):
+        return _run_through(stream, out, checkpoint)
+
+
+def _run_through(stream: DataFrame, out: str, checkpoint: str) -> list[tuple[int, int]]:
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="0 seconds").start()
     seen: dict[int, tuple[int, int]] = {}
     try:
