@@ -224,6 +224,46 @@ def v30_all(t: Tables) -> DataFrame:
     return _digest(A.augment(_images(t), "s_suppkey", 3))
 
 
+_GREYS = "(c0 * 0.114::DOUBLE + c1 * 0.587::DOUBLE + c2 * 0.299::DOUBLE)"
+_CUT = "least(255, greatest(0, {}))"
+_EACH = {
+    "auto_contrast": "CASE WHEN hi > lo THEN floor((v - lo)::DOUBLE * 255 / (hi - lo)) ELSE v END",
+    "brightness": "floor(" + _CUT.format("v * 1.3::DOUBLE") + ")",
+    "colour": "floor(" + _CUT.format(f"{_GREYS} + 0.5::DOUBLE * (v - {_GREYS})") + ")",
+    "contrast": "floor(" + _CUT.format("(v - mean) * 0.5::DOUBLE + mean") + ")",
+    "cutout": "CASE WHEN x BETWEEN 1 AND 4 AND y BETWEEN 0 AND 3 THEN 128 ELSE v END",
+    "invert": "255 - v",
+    "posterize": "v & 224",
+    "sharpness": "CASE WHEN around IS NULL THEN v ELSE floor(" + _CUT.format("around + 1.5::DOUBLE * (v - around)") + ") END",
+    "solarize": "CASE WHEN v < 100 THEN v ELSE 255 - v END",
+}
+
+
+@query(
+    "v30_each_operation",
+    _PIXELS
+    + ", a AS (SELECT s_suppkey, c, min(v) AS lo, max(v) AS hi, avg(v)::DOUBLE AS m FROM p GROUP BY ALL), g AS (SELECT s_suppkey, sum(m * [0.114::DOUBLE, 0.587::DOUBLE, 0.299::DOUBLE][c + 1] ORDER BY c) AS mean FROM a GROUP BY 1), "
+    "k AS (SELECT s_suppkey, y, x, max(v) FILTER (c = 0) AS c0, max(v) FILTER (c = 1) AS c1, max(v) FILTER (c = 2) AS c2 FROM p GROUP BY ALL), "
+    "n AS (SELECT p.s_suppkey, p.y, p.x, p.c, round_even((sum(q.v) + 4 * any_value(p.v)) / 13.0::DOUBLE, 0) AS around FROM p JOIN p q ON q.s_suppkey = p.s_suppkey AND q.c = p.c AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL HAVING count(*) = 9), "
+    "w AS (SELECT p.*, lo, hi, mean, c0, c1, c2, around FROM p JOIN a USING (s_suppkey, c) JOIN g USING (s_suppkey) JOIN k USING (s_suppkey, y, x) LEFT JOIN n USING (s_suppkey, y, x, c)), "
+    "o AS (" + " UNION ALL ".join(f"SELECT s_suppkey, y, x, c, '{name}' AS operation, ({sql})::INT AS v FROM w" for name, sql in _EACH.items()) + ") "
+    f"SELECT s_suppkey, operation, {_SIDE}::INT AS height, {_SIDE}::INT AS width, string_agg(lpad(lower(hex(v)), 2, '0'), '' ORDER BY y, x, c) AS pixels FROM o GROUP BY 1, 2",
+)
+def v30_each(t: Tables) -> DataFrame:
+    """Nine operations by themselves, each on every image."""
+    from ..functions import images as I
+
+    each = {
+        "auto_contrast": I.auto_contrast, "brightness": lambda a: I.brightness(a, 1.3), "colour": lambda a: I.colour(a, 0.5), "contrast": lambda a: I.contrast(a, 0.5), "cutout": lambda a: I.cutout(a, 4, 3, 2),
+        "invert": I.invert, "posterize": lambda a: I.posterize(a, 3), "sharpness": lambda a: I.sharpness(a, 1.5), "solarize": lambda a: I.solarize(a, 100),
+    }
+    out = None
+    for name, f in each.items():
+        d = _digest(A.map_images(_images(t), lambda a, _, f=f: f(a), "s_suppkey")).withColumn("operation", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("v32_polygon_cells", "SELECT s_suppkey, y::INT AS y, x::INT AS x FROM supplier, (SELECT unnest(range(0, 16)) AS y), (SELECT unnest(range(0, 16)) AS x) WHERE x + 0.5 > s_suppkey % 5 + 0.2 AND x + 0.5 < s_suppkey % 7 + 6.7 AND y + 0.5 > s_suppkey % 3 + 0.3 AND y + 0.5 < s_suppkey % 4 + 8.8")
 def v32(t: Tables) -> DataFrame:
     """Cells inside of polygons, here boxes with corners between the cells."""
