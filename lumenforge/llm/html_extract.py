@@ -435,7 +435,7 @@ _WORDS = {
 _NAMES = "Anna Bernd Carla David Elena Franck Greta Hugo Inés Jonas Klara Luis".split()
 
 
-def labelled_pages(n: int = 160, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 230, seed: int = 3) -> list[str]:
     """The training table: PAGES filled with seeded words; in part of them class and id say nothing and no element but div stands around blocks."""
     r = random.Random(seed)
 
@@ -477,7 +477,7 @@ def labels(nodes: list[Node]) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 160, seed: int = 3) -> TreeModel:
+def trained(n: int = 230, seed: int = 3) -> TreeModel:
     data = []
     for html in labelled_pages(n, seed):
         nodes, _ = parse(html)
