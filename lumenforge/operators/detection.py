@@ -74,6 +74,7 @@ def precision_recall(matches: DataFrame, truths: DataFrame, thresholds: tuple[fl
     """(class, threshold, ap, ar, positives) of each class that has true boxes: interpolated precision and largest recall."""
     positives = truths.where(~F.coalesce("crowd", F.lit(False))).groupBy("class").agg(F.count("*").alias("positives"))
     rows = matches.where(~F.col("ignored")).select("class", "threshold", "score", "image_id", "det_id", F.col("truth_id").isNotNull().cast("long").alias("hit"))
+    rows = materialise(rows, "matches")  # ranges are sampled first: without a table the matching would run twice
     order = [F.col("score").desc_nulls_last(), F.col("image_id"), F.col("det_id")]
     d = materialise(rows.repartitionByRange("class", "threshold", *order).withColumn("_range", F.spark_partition_id()), "ranks")
     inside = W.partitionBy("_range", "class", "threshold").orderBy(*order)

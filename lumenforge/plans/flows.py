@@ -51,7 +51,7 @@ r AS (SELECT shard, key, m.ext AS ext, m.c AS content, row_number() OVER (PARTIT
 def s07_shards(t: Tables) -> DataFrame:
     """Every member of archives that are read by range through a shuffle buffer; one has a damaged header, is named and doesn't stop the rest."""
     folder, _ = _shards(t)
-    d = A.read_shards(t.spark, A.index_shards(t.spark, folder, split=64 << 10))
+    d = A.read_shards(t.spark, A.index_shards(t.spark, folder, split=256 << 10))
     d = A.shuffle_buffer(d, 1000, seed=7)
     shard = F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("int")
     return d.select(shard.alias("shard"), "member", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("broken"))
@@ -67,7 +67,7 @@ SELECT i.i AS pick, count(*) AS n, sum(length(p_name))::BIGINT AS chars, min(p_b
 def s07_resampled(t: Tables) -> DataFrame:
     """Twelve archives drawn with replacement, their members as samples of text and class, incomplete ones skipped."""
     folder, _ = _shards(t)
-    d = A.read_shards(t.spark, A.index_shards(t.spark, folder, split=64 << 10), picks=12, seed=5, bad="skip")
+    d = A.read_shards(t.spark, A.index_shards(t.spark, folder, split=256 << 10), picks=12, seed=5, bad="skip")
     s = A.decoded(A.samples(A.shuffle_buffer(d, 100)), text=("txt", "string"), kind=("cls", "string"))
     return s.groupBy("pick").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("kind").alias("first_class"))
 
