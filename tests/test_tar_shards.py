@@ -52,7 +52,7 @@ def test_damaged_members_are_named_and_the_rest_is_read(spark):
     got = {(r.path.rsplit("/", 1)[-1], r.member, r.error is None) for r in A.read_shards(spark, index).collect()}
     assert got == {("bad.tar", "d/a.txt", True), ("bad.tar", "d/a.cls", True), ("bad.tar", "empty.txt", False), ("bad.tar", "b.txt", True), ("bad.tar", "b.cls", True), ("cut.tar", "d/a.txt", True), ("cut.tar", "d/a.cls", True), ("cut.tar", "empty.txt", True), ("cut.tar", "b.txt", False)}
     assert A.read_shards(spark, index, bad="skip").count() == 7
-    with pytest.raises(Exception, match="bad header"):
+    with pytest.raises(Exception, match="bad header|cut short"):
         A.read_shards(spark, index, bad="fail").collect()
 
 
