@@ -90,6 +90,14 @@ def test_blocks_equal_all_pairs(spark, monkeypatch, nbytes):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_blocks_hold_a_bounded_number_of_products():
+    n = B.BYTES // (8 * 64)  # rows of a full block of 64 dimensions
+    runs = list(B._runs((np.arange(n), np.arange(n) + 1), n))
+    assert max(len(k) * n for k, _ in runs) <= B.CELLS < n * n
+    assert np.concatenate([k for k, _ in runs]).tolist() == list(range(n)) and all((l == k + 1).all() for k, l in runs)
+    assert len(list(B._runs((np.arange(3),), 10 * B.CELLS))) == 3
+
+
 def test_strided_views(spark):
     a = np.arange(2 * 3 * 4 * 5, dtype=float).reshape(2, 3, 4, 5)
     d = spark.createDataFrame([(a.ravel().tolist(), 2), (a.ravel().tolist(), 9), ([], 1)], "v array<double>, n int")
