@@ -36,6 +36,25 @@ def similarity_matrix(df: DataFrame, view: str, mask: str, vector: str) -> DataF
     return u.join(v, view).select(view, "a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(V.dot("_u", "_v")).alias("sim"))
 
 
+def similarity_totals(df: DataFrame, view: str, mask: str, vector: str) -> DataFrame:
+    """(view, n, total): how many pairs similarity_matrix() has for each view, and their sum, without forming a pair.
+
+    All cosines of a view add up to the squared length of the sum of its unit vectors; those of a mask with itself, which count as 0, to the squared
+    length of the mask's own sum. Pairs of unequal lengths, or with a null entry, have no cosine: they count and add nothing, as in a sum over pairs.
+    """
+    rows = df.where(F.col(view).isNotNull()).select(view, F.col(mask).alias("_m"), V.normalise(vector).alias("_u"))
+    whole = rows.where(F.col("_u").isNotNull() & F.forall("_u", lambda x: x.isNotNull()))
+    parts = whole.select(view, "_m", F.size("_u").alias("_d"), F.posexplode("_u").alias("_p", "_x"))
+
+    def squares(d: DataFrame, name: str, *keys: str) -> DataFrame:
+        sums = d.groupBy(view, *keys, "_d", "_p").agg(F.sum("_x").alias("_x"))
+        return sums.groupBy(view).agg(F.sum(F.col("_x") * F.col("_x")).alias(name))
+
+    d = rows.groupBy(view).agg((F.count("*") * F.count("*")).alias("n"))
+    d = d.join(squares(parts, "_all"), view, "left").join(squares(parts.where("_m is not null"), "_own", "_m"), view, "left")
+    return d.select(view, "n", F.coalesce(F.col("_all") - F.coalesce("_own", F.lit(0.0)), F.lit(0.0)).alias("total"))
+
+
 def group_softmax(df: DataFrame, group: str, score: Column, name: str = "weight") -> DataFrame:
     """Softmax of a score over its group."""
     w = W.partitionBy(group)

@@ -164,6 +164,31 @@ def test_average_similarity_counts_itself_as_zero(spark):
     assert sorted(r["sim"] for r in K.similarity_matrix(d, "v", "m", "f").collect()) == [0, 0, pytest.approx(c), pytest.approx(c)]
 
 
+def test_similarity_totals_equal_the_sum_over_pairs(spark):
+    r = np.random.default_rng(3)
+    rows = [(i % 3, i, r.normal(size=4).tolist()) for i in range(30)] + [(0, 0, [1.0, 2.0, 0.0, 0.0]), (0, None, [1.0, 1.0, 0.0, 0.0]), (1, 40, [1.0]), (1, 41, [1.0]), (2, 42, None), (2, 43, [None, 1.0, 0.0, 0.0]), (None, 1, [1.0]), (7, 1, [3.0]), (8, 1, None), (9, 1, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "v int, m int, f array<double>")
+    want = K.similarity_matrix(d, "v", "m", "f").groupBy("v").agg(F.count("*").alias("n"), F.sum("sim").alias("total")).collect()
+    got = K.similarity_totals(d, "v", "m", "f")
+    assert {x.v: (x.n, pytest.approx(x.total, abs=1e-9)) for x in want} == {x.v: (x.n, x.total) for x in got.collect()}
+    same = spark.range(40_000).selectExpr("1 AS v", "id AS m", "array(1.0D, 0.0D) AS f")  # 1.6 billion pairs
+    assert tuple(K.similarity_totals(same, "v", "m", "f").first()) == (1, 1_600_000_000, 40_000.0**2 - 40_000)
+
+
+def test_assignment_on_a_line_is_cheapest(spark):
+    r = np.random.default_rng(4)
+    p = [(i // 7, i, float(r.integers(0, 9))) for i in range(35)]
+    t = [(i // 7, i, float(r.integers(0, 9))) for i in range(35)]
+    preds, targets = spark.createDataFrame(p, "i int, p int, x double"), spark.createDataFrame(t, "i int, t int, y double")
+    costs = preds.join(targets, "i").withColumn("c", (F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))
+    want = K.match(costs.select("i", "p", "t", "c"), "i", "p", "t", "c").join(costs, ["i", "p", "t"]).agg(F.sum("c")).first()[0]
+    found = K.match_on_line(preds, targets, "i", "p", "t", "x", "y")
+    assert found.agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).first()[0] == want
+    assert found.count() == found.select("p").distinct().count() == found.select("t").distinct().count() == 35
+    many = spark.range(2500).selectExpr("1 AS i", "id AS p", "cast(-id AS double) AS x", "id AS t", "cast(id AS double) AS y")  # more costs than `match` takes
+    assert K.match_on_line(many.select("i", "p", "x"), many.select("i", "t", "y"), "i", "p", "t", "x", "y").where("p + t = 2499").count() == 2500
+
+
 def test_assignment_is_cheapest(spark):
     r = np.random.default_rng(0)
     for _ in range(100):
