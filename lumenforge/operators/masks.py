@@ -160,6 +160,20 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return back_out
 
 
+def match_on_line(preds: DataFrame, targets: DataFrame, image: str, pred: str, target: str, x: str, y: str) -> DataFrame:
+    """(image, pred, target, x, y): cheapest assignment of as many predictions as targets whose cost is a convex function of y - x, such as its square.
+
+    On a line such an assignment is the one in order: swapping two crossed pairs never costs more. So no table of costs is formed; where an image has more of one side, the last of that side stay over,
+    which is not always cheapest, and `match` is the way. Rows without image or place are left out.
+    """
+
+    def ranked(d: DataFrame, key: str, at: str) -> DataFrame:
+        d = d.where(F.col(image).isNotNull() & F.col(at).isNotNull())
+        return d.select(image, key, at, F.row_number().over(W.partitionBy(image).orderBy(at, key)).alias("_k"))
+
+    return ranked(preds, pred, x).join(ranked(targets, target, y), [image, "_k"]).drop("_k")
+
+
 def match(df: DataFrame, image: str, pred: str, target: str, cost: str, most: int = 4_000_000) -> DataFrame:
     """(image, pred, target): cheapest assignment of an image's predictions to its targets (J14). A task holds one image's costs; an image of more than `most` of them ends the job."""
 
