@@ -5,7 +5,8 @@ detections count (a limit of the measure). In score order each takes the free tr
 boxes to be ignored (crowds) are taken only where no other can be, may be taken often, and their detections don't count. Ties: scores
 by detection id, overlaps by the larger true id.
 
-Matching is a fold over arrays of one image and class. Ranks run over a whole class: rows are dealt by ranges of score, counted within
+Matching goes over the images of an Arrow batch together, a rank of detections at a time, at all thresholds at once; it gives a row for each detection, not for
+each threshold. Ranks run over a whole class: rows are dealt by ranges of score, counted within
 each range and shifted by the counts of the ranges before, so no class has to fit one task. Interpolated precision at a
 recall is the largest precision at that recall or more, so it is a maximum for each of 101 steps, added up before the shuffle, and a
 running maximum over the steps from above.
@@ -13,6 +14,11 @@ running maximum over the steps from above.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,69 +28,118 @@ from ..runtime import materialise
 #: Thresholds of the measure and steps of recall (fixed values).
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 STEPS = 101
-
-
-def overlap(a: Column, b: Column, crowd: Column) -> Column:
-    """Intersection over union of two boxes (structs of x, y, w, h); over the detection a alone where b is a crowd."""
-    side = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
-    both = side("x", "w") * side("y", "h")
-    area = a["w"] * a["h"]
-    union = F.when(crowd, area).otherwise(area + b["w"] * b["h"] - both)
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+#: Pairs of boxes that a task compares at a time.
+PAIRS = 1 << 19
 
 
 def match_detections(detections: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
-    """(image_id, class, det_id, score, threshold, truth_id, ignored): the true box that each detection takes at each threshold, null for none.
+    """(image_id, class, det_id, score, taken, hits, ignored): the true box that each detection takes at each threshold, null for none, and, a bit a threshold, whether it counts as right or not at all.
 
     detections: image_id, class, det_id, score, box; truths: image_id, class, truth_id, box, crowd. Null scores come last, null crowds are none; rows without
     an image or class match nothing, and detections among them count as wrong. Detections may repeat, each counts; ids of true boxes tell
     those of an image and class apart.
     """
+    if len(thresholds) > 62:
+        raise ValueError("62 thresholds at most")
     order = [F.col("score").desc_nulls_last(), "det_id", "box"]
     d = detections.select("image_id", "class", "det_id", "score", "box").withColumn("_r", F.row_number().over(W.partitionBy("image_id", "class").orderBy(*order))).where(F.col("_r") <= most)
-    t = truths.select("image_id", "class", "truth_id", F.col("box").alias("_b"), F.coalesce("crowd", F.lit(False)).alias("_crowd"))
-    pairs = d.join(t, ["image_id", "class"]).select("image_id", "class", "_r", overlap(F.col("box"), F.col("_b"), F.col("_crowd")).alias("iou"), "truth_id", "_crowd")
-    low = min(thresholds)
-    found = pairs.where(F.col("iou") >= low).groupBy("image_id", "class", "_r").agg(F.collect_list(F.struct("iou", "truth_id", F.col("_crowd").alias("crowd"))).alias("near"))
-    found = found.select(F.col("image_id").alias("_i"), F.col("class").alias("_c"), F.col("_r").alias("_k"), "near")
-    keys = F.col("image_id").eqNullSafe(F.col("_i")) & F.col("class").eqNullSafe(F.col("_c")) & (F.col("_r") == F.col("_k"))
-    one = F.struct(F.col("_r").alias("r"), "det_id", "score", "near")
-    groups = d.join(found, keys, "left").groupBy("image_id", "class").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    each = F.transform(F.array(*[F.lit(float(x)) for x in thresholds]), lambda at: F.struct(at.alias("threshold"), _greedy(F.col("all"), at).alias("m")))
-    out = groups.select("image_id", "class", F.explode(each).alias("t")).select("image_id", "class", "t.threshold", F.explode("t.m").alias("m"))
-    return out.select("image_id", "class", F.col("m.det_id").alias("det_id"), F.col("m.score").alias("score"), "threshold", F.col("m.truth_id").alias("truth_id"), F.col("m.ignored").alias("ignored"))
-
-
-def _greedy(dets: Column, at: Column) -> Column:
-    """The detections in order with what they take, as a fold whose state is the true boxes that are gone."""
-    nothing = F.struct(F.array().cast("array<bigint>").alias("gone"), F.array().cast("array<struct<det_id:bigint,score:double,truth_id:bigint,ignored:boolean>>").alias("out"))
-
-    def step(acc: Column, d: Column) -> Column:
-        free = F.filter(F.coalesce(d["near"], F.array()), lambda c: (c["iou"] >= F.least(at, F.lit(1 - 1e-10))) & (c["crowd"] | ~F.array_contains(acc["gone"], c["truth_id"])))
-        plain, crowd = F.array_max(F.filter(free, lambda c: ~c["crowd"])), F.array_max(F.filter(free, lambda c: c["crowd"]))
-        best = F.coalesce(plain, crowd)
-        row = F.struct(d["det_id"].cast("bigint").alias("det_id"), d["score"].cast("double").alias("score"), best["truth_id"].cast("bigint").alias("truth_id"), F.coalesce(best["crowd"], F.lit(False)).alias("ignored"))
-        gone = F.when(plain.isNotNull(), F.array_append(acc["gone"], plain["truth_id"].cast("bigint"))).otherwise(acc["gone"])
-        return F.struct(gone.alias("gone"), F.array_append(acc["out"], row).alias("out"))
-
-    return F.aggregate(dets, nothing, step, lambda acc: acc["out"])
+    sides = [F.col(f"box.{c}").cast("double").alias(c) for c in "xywh"]
+    d = d.groupBy("image_id", "class").agg(F.array_sort(F.collect_list(F.struct("_r", F.col("det_id").cast("bigint").alias("id"), F.col("score").cast("double").alias("score"), *sides))).alias("dets"))
+    t = truths.where("image_id is not null and class is not null and truth_id is not null").groupBy("image_id", "class")
+    t = t.agg(F.collect_list(F.struct(F.col("truth_id").cast("bigint").alias("id"), F.coalesce("crowd", F.lit(False)).alias("crowd"), *sides)).alias("trues"))
+    groups = d.join(t, ["image_id", "class"], "left").select("image_id", "class", "dets", "trues")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dets", "trues"))
+            end = np.cumsum(n * m)
+            at = 0
+            while at < b.num_rows:  # images of at most PAIRS pairs, or one
+                before = end[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(end, before + PAIRS, "right")))
+                part = b.slice(at, to - at)
+                dets, trues = part.column("dets").flatten(), part.column("trues").flatten()
+                taken, crowd = _greedy(n[at:to], _boxes(dets), m[at:to], _boxes(trues), pc.struct_field(trues, "id").to_numpy(zero_copy_only=False), pc.struct_field(trues, "crowd").to_numpy(zero_copy_only=False), np.array(thresholds))
+                ids = pc.struct_field(trues, "id").take(pa.array(taken.ravel(), mask=taken.ravel() < 0))
+                size = pa.array(np.arange(len(taken) + 1, dtype=np.int32) * len(thresholds))
+                bits = 1 << np.arange(len(thresholds), dtype=np.int64)
+                rows = pa.array(np.repeat(np.arange(to - at), n[at:to]))
+                cells = [part.column("image_id").take(rows), part.column("class").take(rows), pc.struct_field(dets, "id"), pc.struct_field(dets, "score"), pa.ListArray.from_arrays(size, ids), pa.array(((taken >= 0) & ~crowd) @ bits), pa.array(crowd @ bits)]
+                yield pa.RecordBatch.from_arrays(cells, names=["image_id", "class", "det_id", "score", "taken", "hits", "ignored"])
+                at = to
+
+    keys = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in ("image_id", "class"))
+    return groups.mapInArrow(run, f"{keys}, det_id bigint, score double, taken array<bigint>, hits bigint, ignored bigint")
+
+
+def _boxes(a: pa.StructArray) -> np.ndarray:
+    return np.stack([pc.struct_field(a, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "xywh"])
+
+
+def _greedy(n: np.ndarray, d: np.ndarray, m: np.ndarray, t: np.ndarray, ids: np.ndarray, crowd: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(taken, ignored), a row a detection, a column a threshold: the place of the true box, -1 for none, and whether that is a crowd. n and m: detections, in order, and true boxes of each image."""
+    image = np.repeat(np.arange(len(n)), n)
+    rank = np.arange(len(image)) - (np.cumsum(n) - n)[image]
+    width = m[image]
+    a = np.repeat(np.arange(len(image)), width)
+    b = (np.cumsum(m) - m)[image][a] + np.arange(len(a)) - (np.cumsum(width) - width)[a]
+    crowd = crowd.astype(bool)
+    side = lambda p: np.maximum(0.0, np.minimum(d[p][a] + d[p + 2][a], t[p][b] + t[p + 2][b]) - np.maximum(d[p][a], t[p][b]))
+    both, area = side(0) * side(1), d[2][a] * d[3][a]
+    union = np.where(crowd[b], area, area + t[2][b] * t[3][b] - both)
+    iou = np.divide(both, union, out=np.zeros(len(a)), where=union > 0)
+    near = iou >= thresholds.min()
+    a, b, iou = a[near], b[near], iou[near]
+    by = np.lexsort((-ids[b], -iou, crowd[b], a, rank[a]))  # a rank's pairs lie together, those of a detection in order of choice
+    a, b, iou = a[by], b[by], iou[by]
+    owner = np.repeat(np.arange(len(m)), m)
+    by = np.lexsort((ids, owner))
+    box = np.empty(len(ids), np.int64)  # equal ids of an image are one box
+    box[by] = np.cumsum(np.r_[True, (np.diff(ids[by]) != 0) | (np.diff(owner[by]) != 0)])[: len(by)] - 1
+    gone = np.zeros((len(ids), len(thresholds)), bool)
+    taken, ignored = np.full((len(image), len(thresholds)), -1), np.zeros((len(image), len(thresholds)), bool)
+    cuts = np.flatnonzero(np.r_[True, np.diff(rank[a]) != 0]) if len(a) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(a)], strict=True):
+        x, y = a[lo:hi], b[lo:hi]
+        free = (iou[lo:hi, None] >= np.minimum(thresholds, 1 - 1e-10)) & (crowd[y][:, None] | ~gone[box[y]])
+        starts = np.flatnonzero(np.r_[True, np.diff(x) != 0])
+        first = np.minimum.reduceat(np.where(free, np.arange(hi - lo)[:, None], hi - lo), starts, axis=0)
+        row, col = np.nonzero(first < hi - lo)
+        won = y[first[row, col]]
+        taken[x[starts[row]], col], ignored[x[starts[row]], col] = won, crowd[won]
+        plain = ~crowd[won]
+        gone[box[won[plain]], col[plain]] = True
+    return taken, ignored
+
+
+def by_threshold(matches: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(class, threshold, hit, ignored), a row for each detection and threshold."""
+    each = [F.struct(F.lit(float(x)).alias("threshold"), _bit("hits", i).alias("hit"), _bit("ignored", i).alias("ignored")) for i, x in enumerate(thresholds)]
+    return matches.select("class", F.explode(F.array(*each)).alias("m")).select("class", "m.*")
+
+
+def _bit(mask: str, i: int) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
 
 
 def precision_recall(matches: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(class, threshold, ap, ar, positives) of each class that has true boxes: interpolated precision and largest recall."""
     positives = truths.where(~F.coalesce("crowd", F.lit(False))).groupBy("class").agg(F.count("*").alias("positives"))
-    rows = matches.where(~F.col("ignored")).select("class", "threshold", "score", "image_id", "det_id", F.col("truth_id").isNotNull().cast("long").alias("hit"))
-    rows = materialise(rows, "matches")  # ranges are sampled first: without a table the matching would run twice
-    order = [F.col("score").desc_nulls_last(), F.col("image_id"), F.col("det_id")]
-    d = materialise(rows.repartitionByRange("class", "threshold", *order).withColumn("_range", F.spark_partition_id()), "ranks")
-    inside = W.partitionBy("_range", "class", "threshold").orderBy(*order)
-    d = d.withColumns({"n": F.row_number().over(inside), "tp": F.sum("hit").over(inside)})
-    ends = d.groupBy("class", "threshold", "_range").agg(F.max("n").alias("n"), F.max("tp").alias("tp"))
-    before = W.partitionBy("class", "threshold").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as ranges
-    ends = ends.select("class", "threshold", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("tp0"))
-    d = d.join(ends, ["class", "threshold", "_range"]).join(F.broadcast(positives), "class")  # a row a class
-    tp = F.col("tp") + F.col("tp0")
-    d = d.select("class", "threshold", (tp / F.col("positives")).alias("recall"), (tp / (F.col("n") + F.col("n0"))).alias("precision"))
+    rows = materialise(matches.select("class", "score", "image_id", "det_id", "hits", "ignored"), "matches")  # ranges are sampled first: without a table the matching would run twice
+    order = [F.col("score").desc_nulls_last(), F.col("image_id"), F.col("det_id"), F.col("hits"), F.col("ignored")]
+    d = materialise(rows.repartitionByRange("class", *order[:3]).withColumn("_range", F.spark_partition_id()), "ranks")
+    each = range(len(thresholds))
+    counts = {f"tp{i}": _bit("hits", i) for i in each} | {f"n{i}": ~_bit("ignored", i) for i in each}
+    ends = d.groupBy("class", "_range").agg(*[F.count_if(c).alias(f"_{name}") for name, c in counts.items()])
+    before = W.partitionBy("class").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # as many rows as ranges
+    ends = ends.select("class", "_range", *[F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in counts])
+    inside = W.partitionBy("_range", "class").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.select("class", "_range", "hits", *[F.sum(c.cast("long")).over(inside).alias(name) for name, c in counts.items()]).where("hits <> 0")
+    d = d.join(F.broadcast(ends), ["class", "_range"]).join(F.broadcast(positives), "class")  # a row a class and range, a row a class
+    # between two hits precision falls, so the largest at any recall is that of a hit
+    each = [F.when(_bit("hits", i), F.struct(F.lit(float(x)).alias("threshold"), (F.col(f"tp{i}") + F.col(f"_tp{i}")).alias("tp"), (F.col(f"n{i}") + F.col(f"_n{i}")).alias("n"))) for i, x in enumerate(thresholds)]
+    d = d.select("class", "positives", F.explode(F.array(*each)).alias("m")).where("m is not null")
+    d = d.select("class", "m.threshold", (F.col("m.tp") / F.col("positives")).alias("recall"), (F.col("m.tp") / F.col("m.n")).alias("precision"))
     k = F.floor(F.col("recall") * 100)
     k = F.when((k + 1) * F.lit(0.01) <= F.col("recall"), k + 1).when(k * F.lit(0.01) > F.col("recall"), k - 1).otherwise(k)
     best = d.withColumn("k", F.least(k, F.lit(STEPS - 1)).cast("int")).groupBy("class", "threshold", "k").agg(F.max("precision").alias("p"), F.max("recall").alias("r"))

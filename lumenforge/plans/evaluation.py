@@ -47,9 +47,8 @@ def _boxes(t: Tables) -> tuple[DataFrame, DataFrame]:
 )
 def a32_matches(t: Tables) -> DataFrame:
     """Greedy matching of detections by class and threshold."""
-    m = E.match_detections(*_boxes(t))
-    hit = F.col("truth_id").isNotNull()
-    return m.groupBy("class", "threshold").agg(F.count("*").alias("n"), F.count_if(hit & ~F.col("ignored")).alias("hits"), F.count_if(F.col("ignored")).alias("ignored"))
+    m = E.by_threshold(E.match_detections(*_boxes(t)))
+    return m.groupBy("class", "threshold").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("ignored").alias("ignored"))
 
 
 @query(
