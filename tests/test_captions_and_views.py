@@ -98,6 +98,24 @@ def test_blocks_hold_a_bounded_number_of_products():
     assert len(list(B._runs((np.arange(3),), 10 * B.CELLS))) == 3
 
 
+def test_two_stages_equal_a_window_over_all_pairs(spark):
+    from lumenforge.operators import metrics as M
+
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist(), None if i % 9 == 0 else i % 3) for i, x in enumerate(rng.integers(-2, 3, (40, 3)).astype(float))]
+    rows += [(50, None, 1), (51, [float("nan"), 1.0, 1.0], 1), (52, [1.0, None, 0.0], 2), (55, [float("nan")] * 3, 0), (60, None, None)]
+    for data in (rows, rows[:7] + rows[40:]):
+        e = spark.createDataFrame(data, "vec_id long, u array<double>, label int")
+        asks = e.where("vec_id % 5 = 0")
+        pairs = asks.selectExpr("vec_id AS q", "u AS qu", "label AS ql").join(e.selectExpr("vec_id AS i", "u", "label AS il"), F.expr("q <> i"))
+        pairs = pairs.withColumn("s", F.round(F.aggregate(F.zip_with("qu", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 9))
+        want = M.two_stage(pairs, "q", "s", "i", 4, (F.col("ql") == F.col("il")).cast("int")).select("q", "i", "final")
+        got = B.two_stage(asks, e, 4)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "BroadcastNestedLoopJoin" in plan  # no pair is sorted or shuffled
+
+
 def test_strided_views(spark):
     a = np.arange(2 * 3 * 4 * 5, dtype=float).reshape(2, 3, 4, 5)
     d = spark.createDataFrame([(a.ravel().tolist(), 2), (a.ravel().tolist(), 9), ([], 1)], "v array<double>, n int")

@@ -79,6 +79,13 @@ def test_average_precision_and_recall(spark, seed, most):
     assert total["AP50"] == pytest.approx(100 * sum(a for (_, x), (a, _) in want.items() if x == 0.5) / len({k for k, _ in want}))
 
 
+def test_matches_are_a_row_for_each_detection(spark):
+    dets, trues = made(5)
+    m = E.match_detections(spark.createDataFrame(dets, DET), spark.createDataFrame(trues, TRUE))
+    assert m.count() == len(dets) and {len(r.taken) for r in m.collect()} == {len(E.THRESHOLDS)}
+    assert E.by_threshold(m).count() == len(dets) * len(E.THRESHOLDS)
+
+
 def test_no_rows(spark):
     d, t = spark.createDataFrame([], DET), spark.createDataFrame([], TRUE)
     assert {r.metric: r.value for r in E.evaluate(d, t).collect()} == {"AP": None, "AP50": None, "AP75": None, "AR": None}
