@@ -8,7 +8,7 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
 from ..sources.shared import open_path
-from ..sources.tar_shards import walk
+from ..sources.tar_shards import _Window, walk
 
 
 @udtf(returnType="conv_id long, turn long, role string, text string, history array<string>")
@@ -41,8 +41,9 @@ class LoadMembers:
             yield path, None, None, None, str(e)
             return
         with file:
-            for m in walk(file):
-                yield path, m.name, m.size, None if m.error else file.read_at(m.size, m.data_at), m.error
+            window = _Window(file)
+            for m in walk(file, window=window):
+                yield path, m.name, m.size, None if m.error else window.read(m.data_at, m.size), m.error
 
 
 def register(spark: SparkSession) -> None:

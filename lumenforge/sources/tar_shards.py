@@ -9,7 +9,6 @@ that can be read, and an error; reading goes on at the next header that is whole
 from __future__ import annotations
 
 import hashlib
-import io
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -46,11 +45,11 @@ def write_shards(df: DataFrame, folder: str, shard: str, member: str, content: s
     rows = df.select(F.col(shard).cast("string").alias("shard"), F.col(member).alias("member"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = tar = file = None
-        n = 0
+        now = file = None
+        n = size = 0
 
         def end() -> pa.RecordBatch:
-            tar.close()
+            file.write(bytes(2 * BLOCK + -(size + 2 * BLOCK) % tarfile.RECORDSIZE))
             file.close()
             fs.move(f"{at}.part-{mark}", at)
             return pa.record_batch([[now], [f"{folder}/{now}.tar"], pa.array([n], pa.int64())], names=["shard", "path", "members"])
@@ -58,22 +57,36 @@ def write_shards(df: DataFrame, folder: str, shard: str, member: str, content: s
         for b in batches:
             for s, name, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if s != now:
-                    if tar:
+                    if file:
                         yield end()
                     now, n, mark = s, 0, uuid.uuid4().hex
                     fs, at = open_path(f"{folder}/{s}.tar")
-                    file = fs.open_output_stream(f"{at}.part-{mark}", compression=None)
-                    tar = tarfile.open(fileobj=file, mode="w|", format=tarfile.PAX_FORMAT)
-                info = tarfile.TarInfo(name)
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
+                    file = fs.open_output_stream(f"{at}.part-{mark}", compression=None, buffer_size=_WINDOW)
+                    size = 0
+                whole = _header(name, len(data)) + data + bytes(-len(data) % BLOCK)
+                file.write(whole)
+                size += len(whole)
                 n += 1
-        if tar:
+        if file:
             yield end()
 
     return rows.repartition("shard").sortWithinPartitions("shard", "member").mapInArrow(run, "shard string, path string, members long")
 
 
+_PLAIN = tarfile.TarInfo("").tobuf(tarfile.PAX_FORMAT)
+_PLAIN_SUM = sum(_PLAIN[:148]) + 256 + sum(_PLAIN[156:]) - sum(_PLAIN[124:135])
+
+
+def _header(name: str, size: int) -> bytes:
+    """The headers of a member, as tarfile makes them; short plain names are set into a header that is made once."""
+    if len(name) > 100 or not name.isascii() or "\0" in name or name.endswith("/") or size >= 8**11:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf(tarfile.PAX_FORMAT)
+    raw, digits = name.encode(), b"%011o" % size
+    return b"%b%b%b%06o\0 %b" % (raw.ljust(100, b"\0"), _PLAIN[100:124], digits + _PLAIN[135:148], _PLAIN_SUM + sum(raw) + sum(digits), _PLAIN[156:])
+
+
 # --- walking ------------------------------------------------------------------------------------------------
 
 
@@ -118,9 +131,20 @@ def _pax(data: bytes) -> dict[str, str]:
     return out
 
 
-def walk(file: pa.NativeFile, start: int = 0, end: int | None = None) -> Iterator[Member]:
-    """Regular members whose headers begin in [start, end), and what is broken between them."""
-    w = _Window(file)
+def _plain(head: bytes) -> tuple[str, int] | None:
+    """(name, size) of a whole header of a regular file with a plain short name; None for any other, which tarfile reads."""
+    name, size = head[:100].partition(b"\0")[0], head[124:135]
+    if head[156:157] != b"0" or head[257:265] != b"ustar\x0000" or head[345] or head[135] or not name or not name.isascii() or not size.isdigit() or name.endswith(b"/"):
+        return None
+    said = head[148:154]
+    if not said.isdigit() or head[154:156] != b"\0 " or any(c in said + size for c in b"89") or int(said, 8) != sum(head) - sum(head[148:156]) + 256:
+        return None
+    return name.decode(), int(size, 8)
+
+
+def walk(file: pa.NativeFile, start: int = 0, end: int | None = None, window: _Window | None = None) -> Iterator[Member]:
+    """Regular members whose headers begin in [start, end), and what is broken between them; through a window that the caller may read contents from."""
+    w = window or _Window(file)
     end = w.size if end is None else end
     at, first, said = start, None, {}
     while at < end or first is not None:
@@ -132,6 +156,16 @@ def walk(file: pa.NativeFile, start: int = 0, end: int | None = None) -> Iterato
         if not head.strip(b"\0"):
             at += BLOCK
             continue
+        if first is None and (plain := _plain(head)):
+            name, size = plain
+            first, data_at = at, at + BLOCK
+            if data_at + size > w.size:
+                yield Member(first, w.size, name, data_at, size, "cut short")
+                return
+            at = data_at + _padded(size)
+            yield Member(first, at, name, data_at, size)
+            first = None
+            continue
         first = at if first is None else first
         try:
             info = tarfile.TarInfo.frombuf(head, "utf-8", "replace")
@@ -254,22 +288,41 @@ class _Reader(DataSourceReader):
         chosen = list(enumerate(paths)) if self.picks is None else [(i, paths[pick_of(self.seed, i, len(paths))]) for i in range(int(self.picks)) if paths]
         return [Range(i, p, *x) for i, p in chosen for x in by[p]] or [Range(-1, "", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of at most 1,000 members, or some _WINDOW of contents."""
+        held, size = [], 0
+        for row in self._members(partition):
+            held.append(row)
+            size += row[6] if row[7] is not None else 0
+            if len(held) == 1000 or size >= _WINDOW:
+                yield _cells(held)
+                held, size = [], 0
+        yield _cells(held)
+
+    def _members(self, partition: Range) -> Iterator[tuple]:
         if partition.pick < 0:
             return
         fs, at = open_path(partition.path)
         with fs.open_input_file(at) as f:
-            for m in walk(f, partition.start, partition.end):
+            window = _Window(f)
+            for m in walk(f, partition.start, partition.end, window):
                 if m.error:
                     if self.bad == "fail":
                         raise ValueError(f"{partition.path}, {m.name}: {m.error}")
                     if self.bad == "skip":
                         continue
                 key, _, ext = (m.name or "").rsplit("/", 1)[-1].partition(".")
-                content = None if m.error else f.read_at(m.size, m.data_at)
+                content = None if m.error else window.read(m.data_at, m.size)
                 yield partition.pick, partition.path, m.offset, m.name, key or None, ext or None, m.size, content, m.error
 
 
+_CELLS = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in SCHEMA.split(", "))])
+
+
+def _cells(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True) if held else [()] * len(_CELLS), _CELLS.types, strict=True)], schema=_CELLS)
+
+
 def read_shards(spark: SparkSession, index: str, picks: int | None = None, seed: int = 0, bad: str = "name") -> DataFrame:
     """The members of indexed archives (SCHEMA). With picks, that many archives drawn with replacement, each draw with its number."""
     spark.dataSource.register(TarShards)

@@ -90,3 +90,16 @@ def test_written_shards_are_read_back(spark):
     assert sorted((r.shard, r.members) for r in said) == [("0", 14), ("1", 13), ("2", 13)]
     got = sorted((r.member, bytes(r.content).decode()) for r in A.read_shards(spark, A.index_shards(spark, base)).collect())
     assert got == sorted((m, c or "") for _, m, c in rows)
+
+
+def test_plain_headers_are_tarfiles_own():
+    import tarfile
+
+    for name, size in [("a.txt", 0), ("x/" + "y" * 98, 8**10), ("dir.d/000000001.cls", 511), ("é.txt", 7), ("z" * 120, 3), ("b", 8**11 + 1)]:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        head = A._header(name, size)
+        assert head == info.tobuf(tarfile.PAX_FORMAT), name
+        plain = name.isascii() and len(name) <= 100 and size < 8**11
+        assert A._plain(head[:512]) == ((name, size) if plain else None)
+        assert A._plain(head[:148] + b"x" * 8 + head[156:512]) is None and A._plain(b"Z" + head[1:512]) is None
