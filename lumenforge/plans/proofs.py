@@ -115,6 +115,10 @@ def m4_many(t: Tables) -> DataFrame:
     return M.nearest_label(e, "u", centres, "l", "c", "centre", most=1).select("vec_id", "centre")
 
 
+#: Annotations of a document, about: a document is one cell and is read whole.
+DOCUMENT = 25_000
+
+
 @query(
     "s17_instance_sets",
     "SELECT o_orderkey::VARCHAR AS image_id, 'ADEChallengeData2016/images/validation/' || o_orderkey || '.jpg' AS image, id, (c % 7)::INT AS label, 'class ' || (c % 7) AS name, x, w, crowd FROM (SELECT l_orderkey AS o_orderkey, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_suppkey % 9 AS c, (l_partkey % 50)::DOUBLE AS x, l_quantity::DOUBLE AS w, l_linenumber = 3 AS crowd FROM lineitem) WHERE c < 7",
@@ -129,7 +133,8 @@ def s17_instances(t: Tables) -> DataFrame:
     )
     image = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"))
     classes = F.array(*[F.struct(F.lit(100 + k).alias("id"), F.lit(f"class {k}").alias("name")) for k in range(7)])
-    whole = lines.groupBy((F.col("l_orderkey") % 64).alias("part")).agg(F.collect_set(image).alias("images"), F.collect_list(one).alias("annotations")).select("part", classes.alias("categories"), "images", "annotations")
+    parts = -(-lines.count() // DOCUMENT) or 1
+    whole = lines.groupBy((F.col("l_orderkey") % parts).alias("part")).agg(F.collect_set(image).alias("images"), F.collect_list(one).alias("annotations")).select("part", classes.alias("categories"), "images", "annotations")
     whole.write.partitionBy("part").json(f"{root}/{which.annotations}")  # documents of a bounded part each
     return I.instances(t.spark, root, which).select("image_id", "image", "id", "label", "name", "x", "w", "crowd")
 
