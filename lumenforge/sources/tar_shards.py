@@ -1,7 +1,7 @@
 """Tar shards as a stream: written by tasks, split by an index of member offsets, read by range, resampled with replacement, shuffled in a bounded buffer.
 
 An archive is never one cell. A first job walks the headers of each archive and writes two tables beside each other: every member, and the
-splits, ranges of about SPLIT bytes that begin at a header. The data source makes a partition of each split; a task opens the archive,
+splits, ranges of bytes that begin at a header, as many as tasks can share and not as many as there are bytes. The data source makes a partition of each split; a task opens the archive,
 reads its range and gives a row a member. A member whose header is damaged, or that the end of the file cuts, is a row with its name, if
 that can be read, and an error; reading goes on at the next header that is whole (in damaged archives that may be one within a member).
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ from .shared import open_path
 
 BLOCK = 512
 SPLIT = 128 << 20
+#: Splits below SPLIT bytes that an index has about, or four for each core where that is more: the driver lists, sends and keeps account of each.
+SPLITS = 256
 _WINDOW = 1 << 20
 MEMBERS = "path string, offset long, end long, member string, data_at long, size long, error string"
 SCHEMA = "pick long, path string, offset long, member string, key string, ext string, size long, content binary, error string"
@@ -35,10 +37,11 @@ SCHEMA = "pick long, path string, offset long, member string, key string, ext st
 # --- writing ------------------------------------------------------------------------------------------------
 
 
-def write_shards(df: DataFrame, folder: str, shard: str, member: str, content: str) -> DataFrame:
+def write_shards(df: DataFrame, folder: str, shard: str, member: str, content: str, alter: Callable[[str, int, bytes], bytes] | None = None) -> DataFrame:
     """(shard, path, members): one archive folder/<shard>.tar for each shard, its members in name order; a null content is an empty member.
 
     A shard is written by one task under a name of its own and then renamed, so a task that is run again replaces the file by the same.
+    alter(shard, number, headers and content) may change a member's bytes as they are written, for archives that are to be damaged.
     """
     spark = df.sparkSession
     folder = make_folder(spark, folder)
@@ -64,6 +67,8 @@ def write_shards(df: DataFrame, folder: str, shard: str, member: str, content: s
                     file = fs.open_output_stream(f"{at}.part-{mark}", compression=None, buffer_size=_WINDOW)
                     size = 0
                 whole = _header(name, len(data)) + data + bytes(-len(data) % BLOCK)
+                if alter:
+                    whole = alter(s, n, whole)
                 file.write(whole)
                 size += len(whole)
                 n += 1
@@ -210,7 +215,10 @@ def _whole(head: bytes) -> bool:
 
 
 def index_shards(spark: SparkSession, folder: str, pattern: str = "*.tar", split: int = SPLIT) -> str:
-    """Walk the headers of all archives of a folder; the path of the index, whose tables are `members` and `splits`."""
+    """Walk the headers of all archives of a folder; the path of the index, whose tables are `members` and `splits`.
+
+    Splits are ranges of about `split` bytes; where those are more than SPLITS, ranges are as wide as makes SPLITS, up to SPLIT bytes.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +238,10 @@ def index_shards(spark: SparkSession, folder: str, pattern: str = "*.tar", split
     index = scratch(spark, "tar-index")
     files.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, MEMBERS).write.parquet(f"{index}/members")
     members = spark.read.schema(MEMBERS).parquet(f"{index}/members")
+    total = files.agg(F.sum("length")).first()[0] or 0  # a row
+    split = max(split, min(SPLIT, total // max(SPLITS, 4 * spark.sparkContext.defaultParallelism)))
     ranges = members.groupBy("path", F.floor(F.col("offset") / split).alias("k")).agg(F.min("offset").alias("start"), F.max("end").alias("end"), F.count("*").alias("members"))
-    ranges.select("path", "start", "end", "members").coalesce(1).write.parquet(f"{index}/splits")  # a row for each SPLIT bytes
+    ranges.select("path", "start", "end", "members").coalesce(1).write.parquet(f"{index}/splits")  # a row for each range
     return make_folder(spark, index)
 
 

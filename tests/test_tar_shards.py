@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import io
 import tarfile
+import tracemalloc
 
 import pytest
+from pyarrow import fs
+from pyspark.sql import functions as F
 
+from lumenforge.plans import catalog, flows
 from lumenforge.runtime import make_folder, scratch, write_file
 from lumenforge.sources import tar_shards as A
 
@@ -103,3 +107,25 @@ def test_plain_headers_are_tarfiles_own():
         plain = name.isascii() and len(name) <= 100 and size < 8**11
         assert A._plain(head[:512]) == ((name, size) if plain else None)
         assert A._plain(head[:148] + b"x" * 8 + head[156:512]) is None and A._plain(b"Z" + head[1:512]) is None
+
+
+def test_splits_are_no_more_than_tasks_can_share(spark):
+    base = scratch(spark, "tar")
+    names = [f"{k:05}.txt" for k in range(2000)]
+    write_file(spark, f"{base}/a.tar", archive([(n, b"x") for n in names]))
+    write_file(spark, f"{base}/b.tar", archive([("b.txt", b"y")]))
+    ranges = A._Reader({"index": A.index_shards(spark, base, split=1)}).partitions()
+    assert 200 <= len(ranges) < 300
+    with fs.LocalFileSystem().open_input_file(f"{base}/a.tar".removeprefix("file://")) as f:
+        assert [m.name for r in ranges if r.path.endswith("a.tar") for m in A.walk(f, r.start, r.end)] == names
+
+
+def test_the_driver_reads_no_archive(spark, tmp_path):
+    spark.range(64).select(F.col("id").alias("p_partkey"), F.repeat(F.lit("x"), 500_000).alias("p_name"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    tracemalloc.start()
+    folder, _ = flows._shards(catalog.Tables(spark, str(tmp_path)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20, peak  # an archive is 4 MB
+    got = {(r.path.rsplit("/", 1)[-1], r.member): r.error is None for r in A.read_shards(spark, A.index_shards(spark, folder)).select("path", "member", "error").collect()}
+    assert len(got) == 128 and [k for k, whole in got.items() if not whole] == [("0.tar", "000000000.cls")]
