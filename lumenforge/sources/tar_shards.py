@@ -239,12 +239,16 @@ def index_shards(spark: SparkSession, folder: str, pattern: str = "*.tar", split
     files.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, MEMBERS).write.parquet(f"{index}/members")
     members = spark.read.schema(MEMBERS).parquet(f"{index}/members")
     total = files.agg(F.sum("length")).first()[0] or 0  # a row
-    split = max(split, min(SPLIT, total // max(SPLITS, 4 * spark.sparkContext.defaultParallelism)))
+    split = max(split, min(SPLIT, total // _ranges(spark)))
     ranges = members.groupBy("path", F.floor(F.col("offset") / split).alias("k")).agg(F.min("offset").alias("start"), F.max("end").alias("end"), F.count("*").alias("members"))
     ranges.select("path", "start", "end", "members").coalesce(1).write.parquet(f"{index}/splits")  # a row for each range
     return make_folder(spark, index)
 
 
+def _ranges(spark: SparkSession) -> int:
+    return max(SPLITS, 4 * spark.sparkContext.defaultParallelism)
+
+
 _TYPES = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("member", pa.string()), ("data_at", pa.int64()), ("size", pa.int64()), ("error", pa.string())])
 
 
@@ -268,8 +272,19 @@ def pick_of(seed: int, i: int, n: int) -> int:
     return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) % n
 
 
+def _joined(splits: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """Splits of an archive in order, neighbours that are at most `width` bytes together as one."""
+    out = splits[:1]
+    for start, end in splits[1:]:
+        if end - out[-1][0] <= width:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 class TarShards(DataSource):
-    """Format `tar_shards`: rows of SCHEMA out of indexed archives. Options: index; picks and seed to resample archives; bad = name, skip or fail."""
+    """Format `tar_shards`: rows of SCHEMA out of indexed archives. Options: index; picks and seed to resample archives; bad = name, skip or fail; ranges, about as many as all picks are read in, one a pick at least."""
 
     @classmethod
     def name(cls) -> str:
@@ -285,6 +300,7 @@ class TarShards(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.index, self.picks, self.seed, self.bad = options["index"], options.get("picks"), int(options.get("seed", 0)), options.get("bad", "name")
+        self.ranges = int(options.get("ranges", SPLITS))
         if self.bad not in ("name", "skip", "fail"):
             raise ValueError(f"bad must be name, skip or fail, not {self.bad}")
 
@@ -296,7 +312,9 @@ class _Reader(DataSourceReader):
             by.setdefault(r["path"], []).append((r["start"], r["end"]))
         paths = list(by)
         chosen = list(enumerate(paths)) if self.picks is None else [(i, paths[pick_of(self.seed, i, len(paths))]) for i in range(int(self.picks)) if paths]
-        return [Range(i, p, *x) for i, p in chosen for x in by[p]] or [Range(-1, "", 0, 0)]
+        width = min(SPLIT, sum(x[1] - x[0] for _, p in chosen for x in by[p]) // self.ranges)
+        wide = {p: _joined(by[p], width) for _, p in chosen}
+        return [Range(i, p, *x) for i, p in chosen for x in wide[p]] or [Range(-1, "", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         """Arrow batches of at most 1,000 members, or some _WINDOW of contents."""
@@ -336,7 +354,7 @@ def _cells(held: list[tuple]) -> pa.RecordBatch:
 def read_shards(spark: SparkSession, index: str, picks: int | None = None, seed: int = 0, bad: str = "name") -> DataFrame:
     """The members of indexed archives (SCHEMA). With picks, that many archives drawn with replacement, each draw with its number."""
     spark.dataSource.register(TarShards)
-    r = spark.read.format("tar_shards").option("index", index).option("seed", str(seed)).option("bad", bad)
+    r = spark.read.format("tar_shards").option("index", index).option("seed", str(seed)).option("bad", bad).option("ranges", str(_ranges(spark)))
     return (r if picks is None else r.option("picks", str(picks))).load()
 
 

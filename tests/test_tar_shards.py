@@ -120,6 +120,17 @@ def test_splits_are_no_more_than_tasks_can_share(spark):
         assert [m.name for r in ranges if r.path.endswith("a.tar") for m in A.walk(f, r.start, r.end)] == names
 
 
+def test_many_picks_of_an_archive_share_as_many_ranges(spark):
+    base = scratch(spark, "tar")
+    names = [f"{k:05}.txt" for k in range(2000)]
+    write_file(spark, f"{base}/a.tar", archive([(n, b"x") for n in names]))
+    ranges = A._Reader({"index": A.index_shards(spark, base, split=1), "picks": "50"}).partitions()
+    assert 50 < len(ranges) <= 600  # 50 times all splits are 10,000 or more
+    with fs.LocalFileSystem().open_input_file(f"{base}/a.tar".removeprefix("file://")) as f:
+        for pick in (0, 49):
+            assert [m.name for r in ranges if r.pick == pick for m in A.walk(f, r.start, r.end)] == names
+
+
 def test_the_driver_reads_no_archive(spark, tmp_path):
     spark.range(64).select(F.col("id").alias("p_partkey"), F.repeat(F.lit("x"), 500_000).alias("p_name"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
     tracemalloc.start()
